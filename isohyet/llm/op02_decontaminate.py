@@ -28,7 +28,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,23 +107,21 @@ def rarest(wins: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def post(docs: DataFrame, keep: frozenset | None, width: int) -> DataFrame:
-    """doc_id, place (of the row in the input), n_words, and an array of
+    """doc_id, place (``monotonically_increasing_id`` of the row), n_words, and an array of
     prefix positions, each with the words before and after it."""
     sent = docs.sparkSession.sparkContext.broadcast(keep)
     entry = pa.struct([("pos", pa.int32()), ("shingle", pa.string()), ("before", pa.int32()), ("around", pa.string())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = TaskContext.get().partitionId() << 40
         for batch in batches:
             sizes, posts = [], []
             for text in batch.column("text").cast(pa.large_binary()):
                 words = words_of(text.as_py())
                 sizes.append(len(words))
                 posts.append([{"pos": i, "shingle": s.decode(), "before": min(i, width - 1), "around": b" ".join(words[max(0, i - width + 1) : i + width]).decode()} for i, s in positions(words, sent.value)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(range(place, place + len(sizes)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(posts, pa.list_(entry))], names=["doc_id", "place", "n_words", "posts"])
-            place += len(sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(sizes, pa.int64()), pa.array(posts, pa.list_(entry))], names=["doc_id", "place", "n_words", "posts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, place long, n_words long, posts array<struct<pos:int,shingle:string,before:int,around:string>>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("place")).mapInArrow(each, "doc_id long, place long, n_words long, posts array<struct<pos:int,shingle:string,before:int,around:string>>")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:

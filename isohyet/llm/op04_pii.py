@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import free_name, let, table
 
 BASE = ["email", "ip", "card", "phone"]
 ADDED = ["iban", "ssn", "secret"]
@@ -118,26 +118,27 @@ def spans_of(text: Column, kind: str, min_score: float = MIN_SCORE) -> Column:
 
 
 def find_pii(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` plus ``pii``: a struct with an array of spans for each kind."""
+    """``docs`` plus ``pii`` (underscores added if ``docs`` has it already): a
+    struct with an array of spans for each kind."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("pii", F.struct(*[spans_of(text, k, min_score).alias(k) for k in [*BASE, *ADDED]]))
+    return docs.withColumn(free_name(docs, "pii"), F.struct(*[spans_of(text, k, min_score).alias(k) for k in [*BASE, *ADDED]]))
 
 
-def listed(kinds: list[str]) -> Column:
+def listed(kinds: list[str], pii: Column) -> Column:
     """kind:start:end of all spans, by kind, then start, comma-joined."""
 
     def each(kind: str) -> Column:
-        return F.transform(F.col("pii")[kind], lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string")))
+        return F.transform(pii[kind], lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string")))
 
     return F.array_join(F.concat(*map(each, kinds)), ",")
 
 
-def masked(text: Column) -> Column:
+def masked(text: Column, pii: Column) -> Column:
     """``text`` with every span of ``pii`` (overlapping ones as one, named by
     the first) replaced by its kind in angle brackets."""
 
     def each(kind: str) -> Column:
-        return F.transform(F.col("pii")[kind], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind.upper()).alias("kind")))
+        return F.transform(pii[kind], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind.upper()).alias("kind")))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -151,6 +152,7 @@ def masked(text: Column) -> Column:
 
 def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.col("pii")[k]).cast("long").alias(f"n_{k}") for k in [*BASE, *ADDED]]
-    best = F.array_max(F.concat(*[F.transform(F.col("pii")[k], lambda x: x["score"]) for k in [*BASE, *ADDED]]))
-    return rows.select("doc_id", *counts, F.sha2(listed(BASE), 256).alias("base_sha256"), listed([*BASE, *ADDED]).alias("spans"), best.alias("top_score"))
+    pii = F.col("pii")
+    counts = [F.size(pii[k]).cast("long").alias(f"n_{k}") for k in [*BASE, *ADDED]]
+    best = F.array_max(F.concat(*[F.transform(pii[k], lambda x: x["score"]) for k in [*BASE, *ADDED]]))
+    return rows.select("doc_id", *counts, F.sha2(listed(BASE, pii), 256).alias("base_sha256"), listed([*BASE, *ADDED], pii).alias("spans"), best.alias("top_score"))

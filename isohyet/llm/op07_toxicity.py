@@ -1,10 +1,10 @@
 """Toxicity by multiple-instance learning with a noisy-or.
 
 A document is a bag of sentences. A sentence's probability is a logistic
-function of the words in it, and the document's is the noisy-or of its
-sentences: 1 - prod(1 - p). Only documents have labels; maximising their
-likelihood teaches the words' weights, and the sentences that explain a toxic
-document can then be located.
+function of the words in it and of their beginnings (so that inflected forms
+count together), and the document's is the noisy-or of its sentences:
+1 - prod(1 - p). Only documents have labels; maximising their likelihood teaches
+the weights, and the sentences that explain a toxic document can then be located.
 
 Learning is on a bounded sample (``SAMPLE`` documents of each label at most, in
 the order of a hash of the id, whole texts), in one task; it returns a table of
@@ -31,16 +31,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_remainder, table
+from .common import free_name, id_remainder, table
 
 FOLDS, HELD_OUT = 5, 0
-#: Labelled documents of each label, and words, that the model is fitted on.
+#: Labelled documents of each label, and features, that the model is fitted on.
 SAMPLE, FEATURES, MIN_DOCS = 4000, 2000, 4
-STEPS, RATE, L2 = 400, 0.1, 0.002
-BIAS = ""  # no word is empty
+STEPS, RATE, L2 = 400, 0.1, 1e-4
+#: Evidence (nats of the G test) that a feature must have.
+MIN_GAIN = 8.0
+BIAS = ""  # no feature is empty
+#: Features: whole words, and beginnings of so many letters with a hyphen.
+STEMS = (4, 5, 6)
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"[^\W\d_]+")
-#: Sentences at this probability are reported.
-OFFENDING = 0.5
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
@@ -50,11 +52,15 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
             yield m.start(), m.end(), words
 
 
-def choose_words(texts: list[str], labels: np.ndarray) -> list[str]:
-    """Words whose presence differs most between the labels (G test)."""
+def features(words: list[str]) -> set[str]:
+    return set(words).union(*({f"{w[:k]}-" for w in words if len(w) > k} for k in STEMS))
+
+
+def choose_features(texts: list[str], labels: np.ndarray) -> list[str]:
+    """Features whose presence differs most between the labels (G test)."""
     seen = [Counter(), Counter()]
     for text, y in zip(texts, labels, strict=True):
-        seen[int(y)].update({w for _, _, words in sentences(text) for w in words})
+        seen[int(y)].update(set().union(*(features(words) for _, _, words in sentences(text))))
     n = [int((labels == 0).sum()), int((labels == 1).sum())]
 
     def g(word: str) -> float:
@@ -64,18 +70,18 @@ def choose_words(texts: list[str], labels: np.ndarray) -> list[str]:
                 score += had * math.log(had / (n[k] * share)) if had else 0.0
         return score
 
-    words = [w for w in seen[0] | seen[1] if seen[0][w] + seen[1][w] >= MIN_DOCS]
-    return sorted(words, key=lambda w: (-g(w), w))[:FEATURES]
+    gains = {w: g(w) for w in seen[0] | seen[1] if seen[0][w] + seen[1][w] >= MIN_DOCS}
+    return sorted((w for w, x in gains.items() if x >= MIN_GAIN), key=lambda w: (-gains[w], w))[:FEATURES]
 
 
 def fit(texts: list[str], labels: np.ndarray) -> dict[str, float]:
-    """Weights of words, and of the bias, by Adam on the bags' likelihood."""
-    vocabulary = choose_words(texts, labels)
+    """Weights of features, and of the bias, by Adam on the bags' likelihood."""
+    vocabulary = choose_features(texts, labels)
     index = {w: i for i, w in enumerate(vocabulary)}
     doc_of, sent_of, word_of, plain = [], [], [], np.zeros(len(texts))
     for d, text in enumerate(texts):
         for _, _, words in sentences(text):
-            known = sorted({index[w] for w in words if w in index})
+            known = sorted(index[w] for w in features(words) if w in index)
             if known:
                 sent_of += [len(doc_of)] * len(known)
                 word_of += known
@@ -93,7 +99,7 @@ def fit(texts: list[str], labels: np.ndarray) -> dict[str, float]:
         # d loss / d strength: 1 for clean bags, -(1 - p) / p for toxic ones.
         pull = np.where(labels == 1, -1 / np.expm1(np.clip(strength, 1e-6, 50)), 1.0) * weight
         each = pull[doc_of] * sigmoid(z)
-        slope = np.append(np.bincount(word_of, each[sent_of], len(w)) + L2 * w / len(w), each.sum() + (pull * plain).sum() * sigmoid(b))
+        slope = np.append(np.bincount(word_of, each[sent_of], len(w)) + L2 * w, each.sum() + (pull * plain).sum() * sigmoid(b))
         m1, m2 = 0.9 * m1 + 0.1 * slope, 0.999 * m2 + 0.001 * slope**2
         move = RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -117,40 +123,48 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str,
     return {r["word"]: r["weight"] for r in rows.repartition(1).mapInPandas(learn, "word string, weight double").collect()}
 
 
-def score(text: str, model: dict[str, float], words: frozenset) -> tuple[float, list[dict]]:
+def by_kind(model: dict[str, float]) -> list[tuple[int | None, dict[str, float]]]:
+    """The weights of words (None) and of beginnings of each length."""
+    stems = [(k, {f[:-1]: w for f, w in model.items() if f.endswith("-") and len(f) == k + 1}) for k in STEMS]
+    return [(None, {f: w for f, w in model.items() if f != BIAS and not f.endswith("-")}), *stems]
+
+
+def score(text: str, bias: float, kinds: list) -> tuple[float, list[dict]]:
     """Noisy-or over the sentences, and the offending ones."""
-    bias, strength, plain, found = model[BIAS], 0.0, 0, []
+    strength, plain, found = 0.0, 0, []
     for start, end, tokens in sentences(text):
-        known = words.intersection(tokens)
-        if not known:
+        z = bias
+        for k, weights in kinds:
+            known = weights.keys() & set(tokens if k is None else [t[:k] for t in tokens if len(t) > k])
+            z += sum(map(weights.__getitem__, known))
+        if z == bias:
             plain += 1
             continue
-        z = bias + sum(map(model.__getitem__, known))
         s = max(z, 0.0) + math.log1p(math.exp(-abs(z)))
         strength += s
-        if z >= 0:
+        if z >= 0:  # as likely offending as not
             found.append({"start": start, "end": end, "score": -math.expm1(-s)})
     strength += plain * math.log1p(math.exp(bias))
     return -math.expm1(-strength), found
 
 
 def score_toxicity(docs: DataFrame, model: dict[str, float]) -> DataFrame:
-    """All columns of ``docs`` plus score (0 to 1) and offending: sentences as
-    code point offsets with their probability."""
+    """All columns of ``docs`` plus toxicity (0 to 1) and offending (sentences
+    as code point offsets with their probability), underscores added to these
+    names if ``docs`` has them already."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     entry = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
-    taken = {c.lower() for c in docs.columns} & {"toxicity", "offending"}
-    docs = docs.drop(*taken) if taken else docs
-    span = T.StructType().add("start", "int").add("end", "int").add("score", "double")
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("offending", T.ArrayType(span))])
+    names = free_name(docs, "toxicity"), free_name(docs, "offending")
+    span = T.StructType().add("start", "integer").add("end", "integer").add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.ArrayType(span))])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        words = frozenset(model) - {BIAS}
+        kinds = by_kind(model)
         for batch in batches:
-            got = [score(t.as_py() or "", model, words) if model else (0.0, []) for t in batch.column("text")]
+            got = [score(t.as_py() or "", model[BIAS], kinds) if model else (0.0, []) for t in batch.column("text")]
             columns = [*batch.columns, pa.array([x for x, _ in got], pa.float64()), pa.array([x for _, x in got], pa.list_(entry))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "toxicity", "offending"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(each, schema)
 

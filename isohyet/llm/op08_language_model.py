@@ -168,7 +168,7 @@ class Levels:
             found = successors.find(at * np.int64(m.words + 1) + np.maximum(word[rows], 0))
             found[word[rows] < 0] = -1
             rows, found = rows[found >= 0], found[found >= 0]
-            p[rows] = 10.0 ** (-logs[found] * QUANTUM)
+            p[rows] = 10.0 ** (logs[found] * -QUANTUM)
         many = np.flatnonzero(m.pieces(count) > 1)
         if len(many):  # contexts spread over files: the sum over their parts
             keys, widths = self.spread()

@@ -59,14 +59,15 @@ def simhash(text: bytes, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
+    """doc_id, place (``monotonically_increasing_id``) and fp, the fingerprint
+    as a signed long, of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([simhash(t.as_py() or b"") for t in texts], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array([simhash(t.as_py() or b"") for t in texts], pa.int64())], names=["doc_id", "place", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("place")).mapInArrow(each, "doc_id long, place long, fp long")
 
 
 def _bit(n: Column) -> Column:
@@ -141,7 +142,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of every row of ``docs``."""
+    """doc_id, place, fp, component (a fingerprint in it) and component_id of
+    every row of ``docs``."""
     rows = checkpointed(fingerprints(docs))
     classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(classes.select("fp")))
@@ -150,8 +152,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A class is its own root or one link from it; only roots of several classes
     # have an entry in `least`.
     ids = rooted.join(least, "root", "left").join(classes.select(F.col("fp").alias("root"), F.col("first_id").alias("root_id")), "root")
-    ids = checkpointed(ids.select(F.col("fp"), F.least("first_id", "other_id", "root_id").alias("component_id")))
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = checkpointed(ids.select("fp", F.col("root").alias("component"), F.least("first_id", "other_id", "root_id").alias("component_id")))
+    return rows.join(ids, "fp").select("doc_id", "place", "fp", "component", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """place of one row of each component: the smallest id, then place."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place"))["place"]
+    return near_duplicates(docs).groupBy("component").agg(first.alias("place")).select("place")
 
 
 def op9_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
