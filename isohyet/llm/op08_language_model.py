@@ -48,7 +48,8 @@ END = b" "
 #: at for a file of each level.
 BLOCK_BYTES, BLOCK_TOKENS = 4 << 20, 4 << 20
 LEVEL1_WORDS, LEVEL2_TOKENS, LEAST_FILES = 1 << 19, 1 << 20, 64
-#: Logs of probabilities are kept as multiples of this.
+#: Logs of probabilities are kept as multiples of this, rounded down so that
+#: the probabilities of a context never add up to more than one.
 QUANTUM = 2.0**-12
 
 
@@ -299,7 +300,7 @@ def build_pairs(pairs: DataFrame, model: Model, partitions: int) -> DataFrame:
             p = np.maximum(n - model.discount, 1e-12) / of[local]
             arrays = ef.named("context", ef.encode(distinct, model.words + 1)) | ef.named("pointer", ef.encode(ends, len(keys) + 1))
             arrays |= ef.named("successor", ef.encode(local * np.int64(model.words + 1) + word, len(distinct) * (model.words + 1)))
-            ef.write(f"{model.uri}/pairs-{k}", arrays | {"log": np.minimum(np.round(-np.log10(p) / QUANTUM), 65535).astype(np.uint16)})
+            ef.write(f"{model.uri}/pairs-{k}", arrays | {"log": np.minimum(np.ceil(-np.log10(p) / QUANTUM), 65535).astype(np.uint16)})
             wide = np.flatnonzero(model.pieces(of) > 1)
             lines = [[k] * (len(wide) + 1), [-1, *distinct[wide].tolist()], [len(keys), *np.diff(ends)[wide].tolist()]]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in lines], names=["file", "context", "width"])
