@@ -319,7 +319,8 @@ def write_spread(lines: DataFrame, uri: str) -> None:
         ef.write(f"{uri}/spread", {"files": np.unique(file), "context": keys, "width": np.bincount(at, width[context >= 0], len(keys)).astype(np.int64)})
         yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64())], names=["n"])
 
-    lines.coalesce(1).mapInArrow(each, "n long").collect()
+    # Only the lines are moved: coalesce would build all files in one task.
+    lines.repartition(1).mapInArrow(each, "n long").collect()
 
 
 def train(docs: DataFrame, discount: float = DISCOUNT) -> Model:
