@@ -135,13 +135,13 @@ def mapped(uri: str) -> dict[str, np.ndarray]:
     fs, path = pafs.FileSystem.from_uri(uri)
     if isinstance(fs, pafs.LocalFileSystem):
         with open(path, "rb") as f:
-            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)  # maps outnumber the open files allowed
     else:
         with fs.open_input_stream(path) as f, tempfile.TemporaryFile() as copy:
             while chunk := f.read(1 << 24):
                 copy.write(chunk)
             copy.flush()
-            data = mmap.mmap(copy.fileno(), 0, access=mmap.ACCESS_READ)
+            data = mmap.mmap(copy.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
     size = int.from_bytes(data[:8], "little")
     return {k: np.frombuffer(data, np.dtype(t), n, 8 + size + at) for k, (t, n, at) in json.loads(data[8 : 8 + size]).items()}
 

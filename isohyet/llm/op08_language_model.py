@@ -46,8 +46,8 @@ DISCOUNT = 0.8
 END = b" "
 #: Bytes of text taken at a time, tokens counted at a time, and the size aimed
 #: at for a file of each level.
-BLOCK_BYTES, BLOCK_TOKENS = 4 << 20, 4 << 20
-LEVEL1_WORDS, LEVEL2_TOKENS, LEAST_FILES = 1 << 19, 1 << 20, 64
+BLOCK_BYTES, BLOCK_TOKENS = 4 << 20, 2 << 20
+LEVEL1_WORDS, LEVEL2_TOKENS, LEAST_FILES = 1 << 19, 1 << 19, 64
 #: Logs of probabilities are kept as multiples of this, rounded down so that
 #: the probabilities of a context never add up to more than one.
 QUANTUM = 2.0**-12
@@ -207,15 +207,15 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.
     held: list[pa.RecordBatch] = []
 
     def joined() -> tuple[int, dict[str, np.ndarray]]:
-        t = pa.Table.from_batches(held)
-        return held[0].column("file")[0].as_py(), {c: t.column(c).to_numpy() for c in t.column_names}
+        t, k = pa.Table.from_batches(held), held[0].column("file")[0].as_py()
+        held.clear()  # else the rows are in memory twice while they are coded
+        return k, {c: t.column(c).to_numpy() for c in t.column_names if c != "file"}
 
     for batch in batches:
         for _, rows in grouped(batch.column("file").to_numpy()):
             part = batch.slice(int(rows[0]), len(rows))
             if held and held[0].column("file")[0].as_py() != part.column("file")[0].as_py():
                 yield joined()
-                held = []
             held.append(part)
     if held:
         yield joined()
@@ -305,7 +305,7 @@ def build_pairs(pairs: DataFrame, model: Model, partitions: int) -> DataFrame:
             lines = [[k] * (len(wide) + 1), [-1, *distinct[wide].tolist()], [len(keys), *np.diff(ends)[wide].tolist()]]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in lines], names=["file", "context", "width"])
 
-    return pairs.repartition(partitions, "file").sortWithinPartitions("file").mapInArrow(each, "file long, context long, width long")
+    return pairs.repartition(max(partitions, model.files), "file").sortWithinPartitions("file").mapInArrow(each, "file long, context long, width long")
 
 
 def write_spread(lines: DataFrame, uri: str) -> None:
