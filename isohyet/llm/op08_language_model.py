@@ -163,9 +163,13 @@ class Levels:
             if self.second[k] is None:
                 continue
             contexts, pointers, successors, logs = self.second[k]
-            at = contexts.find(context[rows])
+            # A context is searched once, however many of the tokens follow it.
+            distinct, inverse = np.unique(context[rows], return_inverse=True)
+            at = contexts.find(distinct)
+            there = np.maximum(at, 0)
+            wide = np.where(at >= 0, (pointers.access(there + 1) - pointers.access(there)).astype(np.int64), 0)
+            width[rows], at = wide[inverse], at[inverse]
             rows, at = rows[at >= 0], at[at >= 0]
-            width[rows] = (pointers.access(at + 1) - pointers.access(at)).astype(np.int64)
             found = successors.find(at * np.int64(m.words + 1) + np.maximum(word[rows], 0))
             found[word[rows] < 0] = -1
             rows, found = rows[found >= 0], found[found >= 0]
