@@ -5,8 +5,9 @@ the columns of documents. ``run`` writes each stage's result as Parquet to the
 folder that the cluster shares and reads it again, so that a lost executor never
 reaches back over a stage.
 
-A row is known by its place in the Parquet files it is read from, which is the
-same each time they are read; so rows that repeat an id are told apart.
+A stage that joins rows to what was found of them numbers the rows and writes
+them with their numbers first; so rows that repeat an id are told apart, and no
+number depends on how a later read splits the files.
 """
 
 from __future__ import annotations
@@ -33,22 +34,26 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, str]:
-    name = free_name(docs, "place")
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    """``docs`` with a number a row, written once and read again, and the name
+    of the new column."""
+    name, spark = free_name(docs, "place"), docs.sparkSession
+    path = f"{shared_dir(spark)}/placed-{uuid.uuid4().hex}"
+    docs.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path), name
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the smallest id."""
-    kept = op09_simhash.representatives(docs)
     rows, name = _placed(docs)
+    kept = op09_simhash.representatives(rows, name)
     return rows.join(small_or_shuffled(kept.withColumnRenamed("place", name), MAX_BROADCAST_ROWS), name, "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of whose words a twentieth or more are benchmark text."""
-    found = op02_decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    dirty = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
     rows, name = _placed(docs)
+    found = op02_decontaminate.find_contamination(rows, table(spark, sf_dir, "benchmark"), place=name)
+    dirty = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
     return rows.join(small_or_shuffled(dirty.select(F.col("place").alias(name)), MAX_BROADCAST_ROWS), name, "left_anti").select(docs.columns)
 
 

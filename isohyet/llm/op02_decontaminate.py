@@ -51,7 +51,7 @@ def shingles(words: list[bytes]) -> list[bytes]:
     return [a + b" " + b for a, b in zip(words, words[1:])] if len(words) > 1 else list(words)
 
 
-def windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+def windows(benchmark: DataFrame, width: int = WINDOW, place: str | None = None) -> DataFrame:
     """win, item_id, words, at, shingle: the shingles of every window."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +106,11 @@ def rarest(wins: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(first)).where("rank = 1").select("shingle", "at", "len", "words", "item_id")
 
 
-def post(docs: DataFrame, keep: frozenset | None, width: int) -> DataFrame:
-    """doc_id, place (``monotonically_increasing_id`` of the row), n_words, and an array of
-    prefix positions, each with the words before and after it."""
+def post(docs: DataFrame, keep: frozenset | None, width: int, place: str | None = None) -> DataFrame:
+    """doc_id, place (the column of that name, else ``monotonically_increasing_id``
+    of the row), n_words, and an array of prefix positions, each with the words
+    before and after it."""
+    at = F.monotonically_increasing_id() if place is None else F.col(place)
     sent = docs.sparkSession.sparkContext.broadcast(keep)
     entry = pa.struct([("pos", pa.int32()), ("shingle", pa.string()), ("before", pa.int32()), ("around", pa.string())])
 
@@ -121,10 +123,10 @@ def post(docs: DataFrame, keep: frozenset | None, width: int) -> DataFrame:
                 posts.append([{"pos": i, "shingle": s.decode(), "before": min(i, width - 1), "around": b" ".join(words[max(0, i - width + 1) : i + width]).decode()} for i, s in positions(words, sent.value)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(sizes, pa.int64()), pa.array(posts, pa.list_(entry))], names=["doc_id", "place", "n_words", "posts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("place")).mapInArrow(each, "doc_id long, place long, n_words long, posts array<struct<pos:int,shingle:string,before:int,around:string>>")
+    return docs.select(F.col("doc_id").cast("long"), "text", at.alias("place")).mapInArrow(each, "doc_id long, place long, n_words long, posts array<struct<pos:int,shingle:string,before:int,around:string>>")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, place: str | None = None) -> DataFrame:
     """doc_id, place, n_words, n_hit (words inside any occurrence of a window),
     items (sorted ids of items with one), one row per row of ``docs``."""
     wins = windows(benchmark, width)
@@ -132,7 +134,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
     # Written once: it is used twice, and each use would count all texts anew.
     prefix = checkpointed(rarest(wins, count_shingles(docs, keep)).withColumnsRenamed({"shingle": "key", "words": "window"}))
     keep = shingle_filter(prefix.select(F.col("key").alias("shingle")))
-    rows = post(docs, keep, width).select("doc_id", "place", "n_words", F.explode_outer("posts").alias("post"))
+    rows = post(docs, keep, width, place).select("doc_id", "place", "n_words", F.explode_outer("posts").alias("post"))
     # A row without a post must not meet the others in one partition.
     key = F.coalesce(F.col("post.shingle"), F.concat(F.lit("\n"), F.col("place").cast("string")))
     start = F.col("post.pos") - F.col("at")

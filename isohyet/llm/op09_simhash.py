@@ -58,16 +58,18 @@ def simhash(text: bytes, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, place (``monotonically_increasing_id``) and fp, the fingerprint
-    as a signed long, of every row."""
+def fingerprints(docs: DataFrame, place: str | None = None) -> DataFrame:
+    """doc_id, place (the column of that name, else
+    ``monotonically_increasing_id``) and fp, the fingerprint as a signed long, of
+    every row."""
+    at = F.monotonically_increasing_id() if place is None else F.col(place)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array([simhash(t.as_py() or b"") for t in texts], pa.int64())], names=["doc_id", "place", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("place")).mapInArrow(each, "doc_id long, place long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", at.alias("place")).mapInArrow(each, "doc_id long, place long, fp long")
 
 
 def _bit(n: Column) -> Column:
@@ -141,10 +143,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, place: str | None = None) -> DataFrame:
     """doc_id, place, fp, component (a fingerprint in it) and component_id of
     every row of ``docs``."""
-    rows = checkpointed(fingerprints(docs))
+    rows = checkpointed(fingerprints(docs, place))
     classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(classes.select("fp")))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
@@ -156,10 +158,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(ids, "fp").select("doc_id", "place", "fp", "component", "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, place: str | None = None) -> DataFrame:
     """place of one row of each component: the smallest id, then place."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place"))["place"]
-    return near_duplicates(docs).groupBy("component").agg(first.alias("place")).select("place")
+    return near_duplicates(docs, place).groupBy("component").agg(first.alias("place")).select("place")
 
 
 def op9_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:

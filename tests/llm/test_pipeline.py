@@ -50,6 +50,27 @@ def test_run_and_empty(spark, stages):
         assert stage(spark, none, SF).count() == 0
 
 
+def test_places_outlast_other_splits(spark, tmp_path, monkeypatch):
+    """The files are split in another way from the operator's end on, as when an
+    executor is lost."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)] * 2
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/docs")
+    real = op09_simhash.near_duplicates
+
+    def then_split(*a):
+        out = real(*a)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return out
+
+    monkeypatch.setattr(op09_simhash, "near_duplicates", then_split)
+    spark.conf.set("spark.sql.files.minPartitionNum", "8")
+    try:
+        kept = [r.doc_id for r in cp.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), SF).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted(kept) == list(range(40))
+
+
 def test_registered():
     import __spark_entry__ as e
 
