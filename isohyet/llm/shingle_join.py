@@ -1,0 +1,130 @@
+"""Exact near-duplicate links: Jaccard similarity of sets of word shingles.
+
+A set's prefix, its first n - ceil(t n) + 1 shingles in one order of all
+shingles, shares a shingle with the prefix of every set that is similar to
+degree ``t``; so prefixes are posted and sets that meet are verified on their
+texts. The order is by hash, after it those shingles that are frequent in a
+sample: the sample decides how much work there is, never what is found.
+
+Equal sets collapse to a class first. Where many classes meet in one shingle,
+each is first held against ``STARS`` of them; only pairs that those links leave
+apart are looked at one by one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed
+from .op09_simhash import components
+
+WIDTH, NUM, DEN = 5, 4, 5  # five words, similarity four fifths, in whole numbers
+SEED = 42
+#: One text in so many is sampled, and how often a frequent shingle is in it.
+SAMPLE, FREQUENT, MAX_FREQUENT = 16, 3, 500_000
+STARS = 4
+
+
+def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct XXH64 of all shingles; fewer words than ``width`` are one."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    width = min(width, len(words))
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1].tolist()
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def frequent(docs: DataFrame, place: str) -> np.ndarray:
+    """Shingles that several texts of a sample have, sorted."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text").cast(pa.large_binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py()).view(np.int64))], names=["key"])
+
+    some = docs.where(F.pmod(F.xxhash64(place), F.lit(SAMPLE)) == 0).select("text")
+    rows = some.mapInArrow(each, "key long").groupBy("key").count().where(F.col("count") >= FREQUENT)
+    return np.sort(np.array([r["key"] for r in rows.orderBy(F.desc("count"), "key").limit(MAX_FREQUENT).collect()], np.int64).view(np.uint64))
+
+
+def posted(docs: DataFrame, place: str, late: np.ndarray) -> DataFrame:
+    """place, n (size of the set), digest (of the set) and its prefix."""
+    sent = docs.sparkSession.sparkContext.broadcast(late)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, digests, prefixes = [], [], []
+            for t in batch.column("text").cast(pa.large_binary()):
+                s = shingle_set(t.as_py())
+                n = len(s)
+                last = np.isin(s, sent.value)
+                sizes.append(n)
+                digests.append(xxhash.xxh128_hexdigest(s.tobytes()))
+                prefixes.append(np.concatenate([s[~last], s[last]])[: n - -(-NUM * n // DEN) + 1 if n else 0].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(sizes, pa.int32()), pa.array(digests, pa.string()), pa.array(prefixes, pa.list_(pa.int64()))], names=["place", "n", "digest", "prefix"])
+
+    return docs.select(F.col(place).alias("place"), "text").mapInArrow(each, "place long, n int, digest string, prefix array<long>")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, place: str) -> DataFrame:
+    """The pairs (a, b) of places whose sets are similar."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, last, x = [], None, None
+            for a, s, t in zip(batch.column("a").to_pylist(), batch.column("s").cast(pa.large_binary()), batch.column("t").cast(pa.large_binary()), strict=True):
+                if a != last:
+                    last, x = a, shingle_set(s.as_py())
+                y = shingle_set(t.as_py())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    texts = lambda at, text: docs.select(F.col(place).alias(at), F.col("text").alias(text))
+    rows = pairs.join(texts("b", "t"), "b").join(texts("a", "s"), "a").select("a", "b", "s", "t")
+    return rows.mapInArrow(each, "a long, b long")
+
+
+def _may(n: Column, at: Column, m: Column, to: Column) -> Column:
+    """Whether sets of n and m shingles that meet first at these positions can
+    share enough: lengths, and what is left of both from there on."""
+    fits = (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & ((NUM + DEN) * F.least(n - at, m - to) >= NUM * (n + m))
+    return fits
+
+
+def linked(docs: DataFrame, place: str) -> DataFrame:
+    """Links (a, b) of places that join all rows of ``docs`` with similar sets,
+    one or several steps apart. Empty sets are equal."""
+    rows = checkpointed(posted(docs, place, frequent(docs, place)))
+    classes = rows.groupBy("digest").agg(F.min("place").alias("cls"))
+    equal = rows.join(classes, "digest").where(F.col("place") != F.col("cls")).select(F.col("cls").alias("a"), F.col("place").alias("b"))
+    equal = checkpointed(equal)
+    firsts = rows.join(equal.select(F.col("b").alias("place")), "place", "left_anti")
+    each = firsts.select("place", "n", F.posexplode("prefix").alias("at", "key"))
+    meet = each.groupBy("key").agg(F.collect_list(F.struct("place", "n", "at")).alias("all")).where(F.size("all") > 1)
+    meet = checkpointed(meet.select("key", "all"))
+    stars = F.slice(F.array_sort("all", lambda x, y: F.when(F.xxhash64(x["place"]) < F.xxhash64(y["place"]), -1).when(F.xxhash64(x["place"]) > F.xxhash64(y["place"]), 1).otherwise(0)), 1, STARS)
+    one, other = F.col("one"), F.col("other")
+    ordered = [F.least(one["place"], other["place"]).alias("a"), F.greatest(one["place"], other["place"]).alias("b")]
+    may = (one["place"] != other["place"]) & _may(one["n"], one["at"], other["n"], other["at"])
+    first = meet.select("all", F.explode(stars).alias("one")).select("one", F.explode("all").alias("other")).where(may).select(*ordered).distinct()
+    tried = checkpointed(first)
+    links = checkpointed(similar(tried, docs, place))
+    roots = checkpointed(components(links))
+    # Where more than STARS meet, the pairs that are still apart.
+    crowd = meet.where(F.size("all") > STARS).select("key", F.explode("all").alias("x"))
+    crowd = crowd.join(roots.withColumnRenamed("node", "place"), F.col("x.place") == F.col("place"), "left").select("key", "x", F.coalesce("root", "x.place").alias("root"))
+    crowd = checkpointed(crowd)
+    left, right = crowd.select("key", F.col("x").alias("one"), F.col("root").alias("r1")), crowd.select("key", F.col("x").alias("other"), F.col("root").alias("r2"))
+    rest = left.join(right, "key").where((one["place"] < other["place"]) & (F.col("r1") != F.col("r2")) & _may(one["n"], one["at"], other["n"], other["at"]))
+    rest = rest.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti")
+    return equal.union(links).union(similar(checkpointed(rest), docs, place))
