@@ -195,3 +195,16 @@ def test_streams_resume(spark, tmp_path):
     put(5, 10)
     got = inc.run_once(stream(), str(tmp_path / "out"), str(tmp_path / "state")).orderBy("event_id").collect()
     assert [r.target for r in got] == [0, 0, 0, 3, 3, 3, 6, 6, 6, 9, 9, 9, 12, 12, 12]
+
+
+def test_targets_of_all_events(spark):
+    from conftest import SF
+    from isohyet.plans import catalogue
+
+    got = {r.event_id: (r.event_type, r.target, r.moved) for r in catalogue.QUERIES["stream_state_target_whole"](spark, SF).collect()}
+    held, want = {}, {}
+    for e in spark.read.parquet(f"{SF}/events.parquet").toPandas().sort_values(["ts", "event_id"]).itertuples():
+        moved = e.event_type not in held or abs(e.value - held[e.event_type]) >= 20
+        held[e.event_type] = e.value if moved else held[e.event_type]
+        want[e.event_id] = (e.event_type, held[e.event_type], moved)
+    assert got == want
