@@ -30,12 +30,22 @@ MIN_SCORE = 0.5
 CONTEXT = 40
 #: Pattern, prior score and context words of each kind.
 LOCAL = "A-Za-z0-9._%+-"
+#: Characters of an IBAN by country, from the registry of ISO 13616.
+IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LENGTHS = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?+[A-Z0-9]){{{n - 4}}}" for n, c in IBAN.items())
+#: The whole number: by its country's length; of other countries the whole run.
+IBAN_TEXT = rf"(?:{_LENGTHS}|(?!{'|'.join(IBAN.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:\x20?+[A-Z0-9]){{11,30}}+)"
 KINDS = {
     "email": (rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.8, "mail|contact|write"),
     "ip": (r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++", 0.5, "ip|addr|host|server|login"),
     "card": (r"[0-9](?:[\x20-]?+[0-9])++", 0.3, "card|visa|master|credit|payment"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.5, "tel|phone|call|mobil|fax"),
-    "iban": (r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+", 0.1, "iban|bank|account|konto"),
+    # The head alone, so that a number is found behind what only looks like one.
+    "iban": (rf"(?={IBAN_TEXT})[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{{2}}", 0.1, "iban|bank|account|konto"),
     "ssn": (r"[0-9](?<![0-9-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.2, "ssn|social|security"),
     "secret": (r"[=:]\x20?[\"']?[A-Za-z0-9+/_-]{32,}+", 0.2, "token|secret|key|passw|auth"),
 }
@@ -104,6 +114,9 @@ def spans_of(text: Column, kind: str, min_score: float = MIN_SCORE) -> Column:
     if kind == "secret":  # the sign and quote before it are not part of it
         head = lambda v: F.length(F.regexp_extract(v, "^[=:]\\x20?[\"']?", 0))
         found = F.transform(found, lambda x: F.struct((x["start"] + head(x["value"])).alias("start"), x["end"].alias("end"), F.substr(x["value"], head(x["value"]) + 1).alias("value")))
+    if kind == "iban":  # 34 characters at most, each after a space
+        whole = lambda x: F.regexp_extract(F.substr(text, x["start"] + 1, F.lit(70)), f"^{IBAN_TEXT}", 0)
+        found = F.transform(F.transform(found, lambda x: F.struct(x["start"].alias("start"), whole(x).alias("value"))), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))
     if kind in VALID:
         found = F.filter(found, lambda x: VALID[kind](x["value"]))
 

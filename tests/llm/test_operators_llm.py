@@ -430,6 +430,18 @@ def test_components_of_chains(spark):
     assert got == {i: 0 for i in range(1, 201)} | {1001: 1000, 1002: 1000}
 
 
+def test_iban_ends_by_country(spark):
+    cases = {
+        "IBAN DE89 3704 0044 0532 0130 00 Please pay": ["DE89 3704 0044 0532 0130 00"],
+        "account GB82WEST12345698765432 2024": ["GB82WEST12345698765432"],
+        "iban DE12 DE89370400440532013000 A1": ["DE89370400440532013000"],
+        "bank NO93 8601 1117 947, BE68 5390 0754 7034 X": ["NO93 8601 1117 947", "BE68 5390 0754 7034"],
+        "IBAN DE88 3704 0044 0532 0130 00 Please pay": [],
+    }
+    d = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    assert [[s.value for s in r.pii["iban"]] for r in q4.find_pii(d).orderBy("doc_id").collect()] == list(cases.values())
+
+
 # 10 licences -----------------------------------------------------------------
 def test_licenses(spark, docs, none):
     d = spark.createDataFrame(
