@@ -59,10 +59,12 @@ def obv_mfi_cci(bars: DataFrame, n: int) -> DataFrame:
     return rows.withColumns({"obv": F.coalesce(P.cumulative(F.sum("_v")), F.lit(0.0)), "mfi": F.try_divide(100 * pos, pos + neg), "cci": F.try_divide(F.col("tp") - F.col("ma"), 0.015 * md)})
 
 
-def barrier_exits(bars: DataFrame, entries: DataFrame, stop: float, take: float, hold: int) -> DataFrame:
+def barrier_exits(bars: DataFrame, entries: DataFrame, stop: float, take: float, hold: int, close_last: bool = False) -> DataFrame:
     """First exit of each entry within ``hold`` bars: stop before take within a
     bar, else the close of the last bar. Entries without a full future and no
-    hit have no row. The join is on the symbol and blocks of ``hold`` bars."""
+    hit have no row, or with ``close_last`` leave at the close of the symbol's last
+    bar: an entry on it after no bar, at its own price. The join is on the symbol
+    and blocks of ``hold`` bars."""
     e = entries.select("symbol", F.col("date").alias("entry_date"), F.col("t").alias("et"), F.col("close").alias("entry"))
     e = e.withColumn("block", F.explode(F.array(F.floor((F.col("et") + 1) / hold), F.floor((F.col("et") + hold) / hold)))).distinct()
     later = bars.withColumn("block", F.floor(F.col("t") / hold))
@@ -73,6 +75,12 @@ def barrier_exits(bars: DataFrame, entries: DataFrame, stop: float, take: float,
     price = F.when(stopped, F.col("entry") * (1 - stop)).when(taken, F.col("entry") * (1 + take)).otherwise(F.col("close"))
     first = F.min(F.struct(k.cast("int").alias("k"), reason.alias("reason"), price.alias("px")))
     out = rows.where(stopped | taken | (k == hold)).groupBy("symbol", "entry_date", "entry").agg(first.alias("x"))
+    if close_last:
+        last = bars.groupBy("symbol").agg(F.max("t").alias("lt"), F.max_by("close", "t").alias("px"))
+        cut = entries.select("symbol", F.col("date").alias("entry_date"), F.col("t").alias("et"), F.col("close").alias("entry")).join(last, "symbol").where(F.col("lt") < F.col("et") + hold)
+        cut = cut.join(out.select("symbol", "entry_date"), ["symbol", "entry_date"], "left_anti")
+        at_end = F.struct((F.col("lt") - F.col("et")).cast("int").alias("k"), F.lit("time").alias("reason"), F.col("px"))
+        out = out.union(cut.select("symbol", "entry_date", "entry", at_end.alias("x")))
     return out.select("symbol", F.col("entry_date").alias("date"), F.col("x.k").alias("bars_held"), F.col("x.reason").alias("reason"), (F.col("x.px") / F.col("entry") - 1).alias("ret"))
 
 

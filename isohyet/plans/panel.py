@@ -253,3 +253,13 @@ def breakout_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bars(spark, sf_dir).withColumns({"pivot_high": P.guarded(F.max("high"), "high", P.rows(-20, -1), 20), "mv": P.mean("volume", 20)})
     ok = (F.col("close") > F.col("pivot_high")) & (F.col("volume") > 1.2 * F.col("mv")) & (F.col("high") - F.col("close") <= 0.5 * (F.col("high") - F.col("low")))
     return rows.where(ok).select("symbol", "date", "close", "pivot_high", r(F.col("volume") / F.col("mv")).alias("volume_ratio"))
+
+
+@query()
+def barrier_exit_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exits of every breakout signal; ``barrier_exit`` and its SQL enter at
+    every 25th bar and leave out what is still open at the end."""
+    rows = bars(spark, sf_dir)
+    entries = rows.join(breakout_signals(spark, sf_dir).select("symbol", "date"), ["symbol", "date"], "left_semi")
+    out = market.barrier_exits(rows, entries, stop=0.1, take=0.2, hold=20, close_last=True)
+    return out.select("symbol", "date", "bars_held", "reason", r("ret").alias("ret"))

@@ -208,3 +208,29 @@ def test_targets_of_all_events(spark):
         held[e.event_type] = e.value if moved else held[e.event_type]
         want[e.event_id] = (e.event_type, held[e.event_type], moved)
     assert got == want
+
+
+def test_exits_of_all_breakouts(spark):
+    from conftest import SF
+    from isohyet.plans import base, catalogue
+
+    panel = {k: g.sort_values("t").reset_index(drop=True) for k, g in base.bars(spark, SF).toPandas().groupby("symbol")}
+    got = {(x.symbol, x.date): (x.bars_held, x.reason, x.ret) for x in catalogue.QUERIES["barrier_exit_breakouts"](spark, SF).collect()}
+    want = {}
+    for s, d in catalogue.QUERIES["breakout_signals"](spark, SF).select("symbol", "date").collect():
+        g = panel[s]
+        i = g.index[g["date"] == d][0]
+        entry, later = g.close[i], g.iloc[i + 1 : i + 21]
+        out = (len(later), "time", later.close.iloc[-1] if len(later) else entry)
+        for k, b in enumerate(later.itertuples(), 1):
+            if b.low <= entry * 0.9 or b.high >= entry * 1.2:
+                out = (k, "stop", entry * 0.9) if b.low <= entry * 0.9 else (k, "take", entry * 1.2)
+                break
+        want[s, d] = (*out[:2], pytest.approx(out[2] / entry - 1, abs=2e-6))
+    assert want and got == want
+
+
+def test_open_exits_close_at_the_last_bar(spark):
+    bars = spark.createDataFrame([("a", i, 10.0, 10.0 + i / 10, 9.9, 10.0 + i / 10) for i in range(1, 7)], "symbol string, t int, open double, high double, low double, close double").withColumn("date", F.col("t"))
+    out = market.barrier_exits(bars, bars.where("t in (1, 4, 6)"), 0.2, 0.3, 4, close_last=True).orderBy("date").collect()
+    assert [(x.date, x.bars_held, x.reason, round(x.ret, 6)) for x in out] == [(1, 4, "time", round(10.5 / 10.1 - 1, 6)), (4, 2, "time", round(10.6 / 10.4 - 1, 6)), (6, 0, "time", 0.0)]
