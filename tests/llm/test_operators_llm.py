@@ -8,6 +8,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -160,6 +161,45 @@ def test_html_articles(spark):
         assert q3.main_text(r.html) == "\n\n".join(filter(None, parts))
 
 
+def test_html_ratios_decide(spark):
+    """Without any mark, and without roles at all; the share right is of the
+    method alone. Another threshold selects other paths."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [q3.main_text(x) for x in pages]
+    alone = [q3.main_text(x, roles=None) for x in pages]
+    assert np.mean([a == b for a, b in zip(alone, want)]) >= 0.9
+    assert [q3.main_text(x, 0.2, None) for x in pages] != alone != [q3.main_text(x, 1.0, None) for x in pages]
+    marks = q3.MARKS
+    try:
+        q3.MARKS = frozenset()
+        assert np.mean([q3.main_text(x) == y for x, y in zip(pages, want)]) >= 0.9
+    finally:
+        q3.MARKS = marks
+
+
+def test_html_unmarked_boilerplate():
+    body = "<p>A long paragraph, with much to say; it goes on, and on.</p>" * 4
+    teaser = "<div><p>Short teaser.</p></div>"
+    text = "\n\n".join(["A long paragraph, with much to say; it goes on, and on."] * 4)
+    assert q3.main_text(f"<body><div id=a>{body}</div>{teaser}{teaser}</body>") == text
+    assert q3.main_text(f"<body>{teaser}<article>{body}</article>{teaser}</body>") == text
+    # No article is lost for its class, and states are no marks.
+    assert q3.main_text(f'<body class="single has-sidebar"><article class="post share-enabled">{body}</article></body>') == text
+    # Cards in articles do not outweigh the text beside them.
+    card = "<article class=card><a>More.</a></article>"
+    assert q3.main_text(f"<body><div class=text>{body}</div>{card}</body>") == text
+    assert q3.main_text(f"<article>{body}<div class=comments><p>A long comment, by a reader; it goes on.</p></div></article>") == text
+    assert q3.main_text("<article><p>x, y.</p><figure><img><figcaption>Seen.</figcaption></figure></article>") == "x, y.\n\nSeen."
+    assert q3.main_text('<div data-x="hidden words"><p>x</p></div>') == "x" and q3.main_text("<p hidden>x</p>") == ""
+
+
+@pytest.mark.parametrize("page", ["<div>some text. " * 20000, "<b>x</b>" * 100_000, "<a '" * 50_000, '<p class="' * 50_001])
+def test_html_linear(page):
+    began = time.process_time()
+    q3.main_text(page)
+    assert time.process_time() - began < 5
+
+
 # 4 personal data -------------------------------------------------------------
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -212,7 +252,6 @@ def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     got = q5.pack_documents(docs).collect()
     pieces = collections.defaultdict(list)
     for r in got:
@@ -238,7 +277,6 @@ def test_encoding_is_exact():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     encode, rng = q5.encoder(None), random.Random(2)
     bits = [" ", "  ", "\n", " \n", "\n\n", "\t", "'s", "n't", "a", "Bc", "é", "中", "12", ".", "!!", "<|endoftext|>", "\x00", "\x1c", "\x85", "_", "-", "😀", "\r\n", " "]
     for _ in range(1500):
