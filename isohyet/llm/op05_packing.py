@@ -15,7 +15,8 @@ one block at a time and a lost executor's partitions are simply read again.
 
 Ids are those of ``tokenizers``. A space that touches no other white space
 always starts a new token of a byte-level vocabulary, so texts are cut there and
-the ids of the stretches kept in a bounded table. Other texts are encoded whole.
+the ids of the stretches kept in a bounded table. Other texts, and those that
+hold the name of an added token, are encoded whole.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are
 packed each; other columns are ignored; an empty table gives no rows.
@@ -84,10 +85,10 @@ def encoder(path: str | None):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # their names in a text are text
         _encoders[path] = tok, stretch_encoder(path, tok), [{}, {}]
     tok, one, tables = _encoders[path]
-    mixed, plain = re.compile(r" \s|\s |\x00"), re.compile(r" ?\S+").fullmatch
+    added = "".join(f"|{re.escape(t.content)}" for t in tok.get_added_tokens_decoder().values())
+    mixed, plain = re.compile(rf" \s|\s |\x00{added}"), re.compile(r" ?\S+").fullmatch
     feed = tok.encode("\n").ids[0]
 
     def fresh(parts: set[str]) -> dict[str, bytes]:
