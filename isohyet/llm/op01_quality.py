@@ -8,7 +8,9 @@ every document is held against the same fixed threshold.
 
 Only DataFrame functions run: a counting pass and a scoring pass over the
 texts, neither of which shuffles a text. What goes to the driver is one number
-a cell.
+a cell. Over ``MAX_BROADCAST_IDS`` trusted ids the target is counted in a pass
+of its own, whose join shuffles texts, dealt by id and text so that an id with
+many rows is split; rows without an id take no part in it.
 
 Defined cases: a null, empty or blank text has no words, score 0 and
 ``base_failed``; a null doc_id is never trusted; repeated rows give a row each;
@@ -23,13 +25,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, small_or_shuffled, split_words, table
+from .common import checkpointed, let, split_words, table
 
 BUCKETS = 1 << 15
 #: Mean log-ratio a document must reach.
 THRESHOLD = -0.1
-#: Ids of trusted documents that may be broadcast; more are joined by a shuffle.
-MAX_BROADCAST_IDS = 2_000_000
+#: Ids of trusted documents that may be broadcast; more are joined by a shuffle,
+#: in which an id's rows are dealt over so many parts.
+MAX_BROADCAST_IDS, SALTS = 2_000_000, 16
 
 
 def repeated_words(hashes: Column, width: int = 8) -> Column:
@@ -67,13 +70,26 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(cell, target, raw): n-grams of the trusted and of all documents."""
-    ids = small_or_shuffled(trusted.select(F.col("doc_id").alias("trusted_id")).dropna().distinct(), MAX_BROADCAST_IDS)
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
-    cells = rows.select(F.col("trusted_id").isNotNull().cast("long").alias("good"), split_words(F.col("text")).alias("words"))
+    ids = checkpointed(trusted.select(F.col("doc_id").alias("trusted_id")).dropna().distinct())
+    if ids.count() <= MAX_BROADCAST_IDS:
+        rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("trusted_id"), "left")
+        cells = _cells(rows.select(F.col("trusted_id").isNotNull().cast("long").alias("good"), "text"), buckets)
+        return cells.groupBy("cell").agg(F.sum("good").alias("target"), F.count("*").alias("raw"))
+    raw = _cells(docs.select(F.lit(0).alias("good"), "text"), buckets).groupBy("cell").agg(F.count("*").alias("raw"))
+    salt = F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int").alias("salt")
+    ids = ids.select("trusted_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("trusted_salt"))
+    some = docs.select("doc_id", "text", salt).dropna(subset=["doc_id"])
+    some = some.join(ids, (F.col("doc_id") == F.col("trusted_id")) & (F.col("salt") == F.col("trusted_salt")), "left_semi")
+    target = _cells(some.select(F.lit(1).alias("good"), "text"), buckets).groupBy("cell").agg(F.count("*").alias("target"))
+    return raw.join(target, "cell", "left").select("cell", F.coalesce("target", F.lit(0)).alias("target"), "raw")
+
+
+def _cells(rows: DataFrame, buckets: int) -> DataFrame:
+    """(good, cell) of every n-gram of ``rows`` (good, text)."""
+    cells = rows.select("good", split_words(F.col("text")).alias("words"))
     cells = cells.select("good", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.size("words").alias("n_words"))
     # Both uses of `hashes` keep Spark from computing it anew for each pair.
-    cells = cells.where(F.size("hashes") == F.col("n_words")).select("good", F.explode(grams(F.col("hashes"), buckets)).alias("cell"))
-    return cells.groupBy("cell").agg(F.sum("good").alias("target"), F.count("*").alias("raw"))
+    return cells.where(F.size("hashes") == F.col("n_words")).select("good", F.explode(grams(F.col("hashes"), buckets)).alias("cell"))
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> list[float]:

@@ -81,12 +81,15 @@ def base_rules(text):
     return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(inside), failed
 
 
-def test_quality(spark, docs, rows, none):
+def test_quality(spark, docs, rows, none, monkeypatch):
     trusted = spark.createDataFrame([(i,) for i in range(0, 40, 2)] + [(None,)], "doc_id long")
     got = q1.score_quality(docs, trusted).collect()
     key = lambda r: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
     assert multiset((r.doc_id, *key(r)) for r in got) == multiset((i, *base_rules(t)) for i, t in rows)
     assert not any(r.kept for r in got if r.base_failed) and all(r.kept == (r.llr >= q1.THRESHOLD) for r in got if not r.base_failed)
+    monkeypatch.setattr(q1, "MAX_BROADCAST_IDS", 0)  # the way without a broadcast
+    assert multiset(map(tuple, q1.score_quality(docs, trusted).collect())) == multiset(map(tuple, got))
+    monkeypatch.undo()
     assert q1.score_quality(none, trusted).count() == 0
     assert all(r.llr == 0 for r in q1.score_quality(docs.limit(9), trusted.limit(0)).collect())
 
@@ -339,6 +342,9 @@ def test_toxicity(spark, docs, none):
     # Labels of held-out rows change nothing.
     other = labels.where("toxic is not null").withColumn("toxic", F.when(common.id_remainder(F.col("doc_id"), 5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert q7.train(d, other) == model
+    # Rows that repeat an id, or label it twice, are one example.
+    twice = labels.where("toxic is not null").union(labels.where("toxic = 1").withColumn("toxic", F.lit(0)))
+    assert q7.train(d.union(d), twice) == model
     messy = q7.score_toxicity(docs, model)
     assert messy.count() == docs.count() and messy.columns[-2:] == ["toxicity_", "offending_"]
     assert all(r.toxicity_ == 0 for r in messy.where("text is null or trim(text) = ''").collect())
@@ -346,6 +352,39 @@ def test_toxicity(spark, docs, none):
     assert q7.train(d, labels.limit(0)) == {} and q7.score_toxicity(d, {}).first().toxicity == 0
 
 
+def test_toxicity_by_brute_force(spark):
+    """Scores and likelihood by products over all sentences; the fitted weights
+    are where the likelihood of the documents no longer rises."""
+    rng = random.Random(9)
+    texts, y = [], []
+    for i in range(300):
+        y.append(int(i % 3 == 0))
+        s = [" ".join(rng.choice(["oak", "elm", "ash", "fir"]) for _ in range(4)) for _ in range(rng.randint(1, 4))]
+        texts.append(". ".join([*s, rng.choice(["vilewort", "oak"])] if y[-1] else s) + (" elm" if i % 7 else " vilewort"))
+    model = q7.fit(texts, np.array(y))
+
+    def p_of(text, weights):
+        clean = 1.0
+        for part in re.split(r"[.!?\n]", text):
+            ws = re.findall(r"[^\W\d_]+", part.lower())
+            if ws:
+                has = {*ws, *(f"{w[:k]}-" for w in ws for k in q7.STEMS if len(w) > k)}
+                clean *= 1 - 1 / (1 + math.exp(-weights[q7.BIAS] - sum(weights.get(f, 0) for f in has)))
+        return 1 - clean
+
+    def loss(weights):
+        p = [min(max(p_of(t, weights), 1e-9), 1 - 1e-9) for t in texts]
+        return -sum(math.log(q if k else 1 - q) for q, k in zip(p, y)) / len(y) + q7.L2 / 2 * sum(w * w for f, w in weights.items() if f != q7.BIAS)
+
+    assert len(model) > 1
+    for t in texts[:60]:
+        assert q7.score(t, model[q7.BIAS], q7.by_kind(model))[0] == pytest.approx(p_of(t, model), abs=1e-9)
+    best = loss(model)
+    for f in list(model)[:6]:
+        for step in (-0.3, 0.3):
+            assert loss(model | {f: model[f] + step}) > best - 1e-4
+
+
 # 8 language model ------------------------------------------------------------
 @pytest.mark.parametrize("n, universe", [(0, 9), (1, 1), (7, 1 << 62), (1000, 1 << 20), (3000, 3500), (5000, 1 << 40), (40, 1 << 50)])
 def test_elias_fano(n, universe):
