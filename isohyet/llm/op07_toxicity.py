@@ -7,8 +7,8 @@ count together), and the document's is the noisy-or of its sentences:
 the weights, and the sentences that explain a toxic document can then be located.
 
 Learning is on a bounded sample (``SAMPLE`` documents of each label at most, in
-the order of a hash of the id, whole texts), in one task; it returns a table of
-at most ``FEATURES`` weights. Scoring is one pass of a partition-wise function
+the order of a hash of the id, one whole text an id), in one task; it returns a
+table of at most ``FEATURES`` weights. Scoring is one pass of a partition-wise function
 over all texts with those weights, without a shuffle.
 
 Defined cases: a null or empty text has no sentence and score 0; documents
@@ -108,11 +108,14 @@ def fit(texts: list[str], labels: np.ndarray) -> dict[str, float]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """The model, learned from labelled documents that are not held out."""
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().where(id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT).dropDuplicates(["doc_id"])
+    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().where(id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = usable.where("toxic = 1").orderBy(order, "doc_id").limit(sample).union(usable.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
     # At most 2 * sample rows of two numbers: the bound of this broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.struct(F.xxhash64("text").alias("hash"), "text").alias("own"))
+    # Rows that repeat an id are reduced before they are moved to one task.
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("own")["text"].alias("text"))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "toxic": []}), *batches]).sort_values(["doc_id", "text"], kind="stable")
