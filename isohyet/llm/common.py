@@ -57,12 +57,15 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
-    Only where none is set, as in tests, a temporary one is made and set."""
+    Only where none is set and Spark is local, as in tests, a temporary one is
+    made and set; a cluster must name one."""
     sc = spark.sparkContext
     place = sc._jsc.sc().getCheckpointDir()
     if place.isDefined():
         return place.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="isohyet-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
