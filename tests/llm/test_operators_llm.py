@@ -8,6 +8,7 @@ import html
 import math
 import random
 import re
+import textwrap
 import time
 import zlib
 
@@ -533,6 +534,34 @@ def test_licenses(spark, docs, none):
     assert all(r.digest == empty for r in q10.scan_licenses(docs.where("text is null or trim(text) = ''"), q10.known_digests(spark)).collect())
 
 
+def test_whole_license_texts(spark):
+    """Licences and notices, whole, in other case, punctuation, spelling and
+    wrapping, behind comment signs, and with another copyright line."""
+    text = {f.name: f.read_text() for f in q10.TEXTS.glob("*.txt")}
+    mit = text["MIT.txt"].replace("<year> <copyright holders>", "2020 An Author")
+    body = " ".join(mit.split("\n\n", 2)[2].split())
+    bare = re.sub(r"(?m)^[0-9]\. ", "* ", text["BSD-3-Clause.txt"])
+    cases = [
+        (mit.upper().replace("SUBLICENSE", "SUB-LICENCE"), "MIT", "MIT"),
+        ("\n".join(f"// {x}" for x in textwrap.wrap(body, 40)), "MIT", "MIT"),
+        ("int a;\n" + "\n".join(f" * {x}" for x in text["Apache-2.0.notice.txt"].split("\n")) + "\nint b;", None, "Apache-2.0"),
+        (bare, "BSD-3-Clause", "BSD-3-Clause"),
+        (text["GPL-3.0.txt"].replace(";", ","), "GPL-3.0", "GPL-3.0"),
+        (mit + "\n\n" + text["ISC.txt"], None, "ISC,MIT"),
+        (mit[:-30], None, ""),
+        ("Some software. " + body, None, ""),
+    ]
+    cases += [(t, n.removesuffix(".txt").removesuffix(".notice"), None) for n, t in text.items()]
+    d = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    for r in q10.scan_licenses(d, q10.known_digests(spark)).collect():
+        _, whole, inside = cases[r.doc_id]
+        assert r.license == whole and (inside is None or r.notices == inside), (r.doc_id, r)
+    long = spark.createDataFrame([(1, "Released under the MIT License.\n" * 20000 + "x\n" * 20000)], "doc_id long, text string")
+    assert q10.scan_licenses(long, q10.known_digests(spark)).first().n_notices == 20000
+    with pytest.raises(ValueError):
+        q10.known_digests(spark, [("x", "no word of the list")])
+
+
 # queries ---------------------------------------------------------------------
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_queries_cover_their_table(spark, name):
