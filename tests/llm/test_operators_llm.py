@@ -408,45 +408,61 @@ def test_elias_fano_file(tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["x"]
 
 
-def lm_brute(rows):
+def lm_brute(rows, order):
     tokens = [[*(t or "").encode().lower().split(), b" "] for _, t in rows]
     train = [w for (i, _), w in zip(rows, tokens) if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
     c = collections.Counter(w for t in train for w in t)
-    pairs = collections.Counter(p for t in train for p in zip([None, *t], t))
-    width = collections.Counter(u for u, _ in pairs)
-    c0, n, v = dict(c) | {None: len(train)}, sum(c.values()), len(c)
+    grams = collections.Counter(tuple([None, *t][i : i + k]) for t in train for i in range(len(t) + 1) for k in range(2, order + 1) if i + k <= len(t) + 1)
+    width, of = collections.Counter(g[:-1] for g in grams), collections.Counter()
+    for g, x in grams.items():
+        of[g[:-1]] += x
+    n, v = sum(c.values()), len(c)
     out = []
     for t in tokens:
-        base = [(c[w] + 1) / (n + v + 1) for w in t]
-        p = [max(pairs[u, w] - 0.8, 0) / c0[u] + 0.8 * width[u] / c0[u] * b if c0.get(u) else b for u, w, b in zip([None, *t], t, base)]
-        out.append((len(t), sum(c[w] > 0 for w in t), sum(map(math.log10, base)), sum(map(math.log10, p))))
+        base, full = [(c[w] + 1) / (n + v + 1) for w in t], [None, *t]
+        score = 0.0
+        for i, b in enumerate(base):
+            for k in range(2, order + 1):
+                h = tuple(full[i + 2 - k : i + 1]) if i + 2 >= k else ()
+                if h and of[h]:
+                    b = max(grams[*h, t[i]] - 0.8, 0) / of[h] + 0.8 * width[h] / of[h] * b
+            score += math.log10(b)
+        out.append((len(t), sum(c[w] > 0 for w in t), sum(map(math.log10, base)), score))
     return out, n
 
 
-def test_language_model(spark, docs, rows, none):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, docs, rows, none, order):
     held = common.id_remainder(F.col("doc_id"), 7) == 2
-    model = q8.train(docs.where(~held))
+    model = q8.train(docs.where(~held), order)
     got = sorted((tuple(r) for r in q8.score_texts(docs, model).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[3]))
-    brute, n = lm_brute(rows)
+    brute, n = lm_brute(rows, order)
     want = sorted(((i, *b) for (i, _), b in zip(rows, brute)), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[3]))
     assert model.tokens == n
     for a, b in zip(got, want, strict=True):
-        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-9) and b[4] - a[1] * q8.QUANTUM <= a[4] <= b[4] + 1e-9 * a[1]
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-9) and b[4] - a[1] * order * q8.QUANTUM <= a[4] <= b[4] + 1e-9 * a[1]
     assert q8.score_texts(none, model).count() == 0
-    empty = q8.train(none)
+    empty = q8.train(none, order)
     assert all(r.n_known == 0 and r.score == 0 for r in q8.score_texts(docs.where("text = ''"), empty).collect())
 
 
-def test_spread_contexts(spark):
-    """One context holds a third of all tokens, over several files."""
+def test_spread_contexts(spark, monkeypatch):
+    """One context holds a third of all tokens, over several tries; tries share
+    few stores; probabilities after a context add up to one at most."""
+    monkeypatch.setattr(q8, "MAX_STORES", 5)
     rng = random.Random(8)
     texts = [" ".join(x for _ in range(200) for x in ("hot", f"w{rng.randint(0, 400)}", f"v{rng.randint(0, 9)}")) for _ in range(60)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     model = q8.train(d.where(common.id_remainder(F.col("doc_id"), 7) != 2))
-    assert model.pieces(np.array([60 * 200]))[0] > 1
-    brute, _ = lm_brute(list(enumerate(texts)))
+    assert model.pieces(np.array([60 * 200]))[0] > 1 and model.tries > model.stores
+    brute, _ = lm_brute(list(enumerate(texts)), 3)
     got = {r.doc_id: r.score for r in q8.score_texts(d, model).collect()}
-    assert all(b[3] - b[0] * q8.QUANTUM <= got[i] <= b[3] + 1e-6 for i, b in enumerate(brute))
+    assert all(b[3] - 3 * b[0] * q8.QUANTUM <= got[i] <= b[3] + 1e-6 for i, b in enumerate(brute))
+    with pytest.raises(ValueError):
+        q8.train(d, 1)
+    monkeypatch.setattr(q8, "MAX_WORDS", 10)
+    with pytest.raises(OverflowError):
+        q8.train(d)
 
 
 # 9 near-duplicates -----------------------------------------------------------
