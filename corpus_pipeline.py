@@ -7,7 +7,13 @@ reaches back over a stage.
 
 A stage that joins rows to what was found of them numbers the rows and writes
 them with their numbers first; so rows that repeat an id are told apart, and no
-number depends on how a later read splits the files.
+number depends on how a later read splits the files, or on whether the frame
+given is a file at all.
+
+Defined cases, of every stage: an empty table gives no rows; other columns, of
+whatever name, are kept as they are by all stages but the last; a row whose only
+columns are null is a row like any other. What a stage does with null texts,
+ties and repeated rows is said at the stage.
 """
 
 from __future__ import annotations
@@ -27,7 +33,11 @@ MAX_BROADCAST_ROWS = 1_000_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the noisy-or model holds to be toxic."""
+    """Drops the documents that the noisy-or model holds to be toxic.
+
+    A null or empty text has no sentence and stays; rows with one text have one
+    score and go or stay together; a null id is never learned from; without
+    labels of both kinds every row stays."""
     model = op07_toxicity.train(docs, table(spark, sf_dir, "labels"))
     name = free_name(docs, "toxicity")
     return op07_toxicity.score_toxicity(docs, model).where(F.col(name) < TOXIC).select(docs.columns)
@@ -46,7 +56,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document of each group of near-duplicates: the smallest id.
 
     Two documents are linked if their fingerprints are those of op9's near
-    copies, or if their sets of five-word shingles are similar to 0.8."""
+    copies, or if their sets of five-word shingles are similar to 0.8. Null and
+    empty texts are one group; repeated rows are one group; of a group's rows of
+    the smallest id the first in the input stays, and a row with a null id only
+    if the whole group has none."""
     rows, name = _placed(docs)
     found = checkpointed(op09_simhash.near_duplicates(rows, name))
     first = found.groupBy("component").agg(F.min("place").alias("a"))
@@ -60,15 +73,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of whose words a twentieth or more are benchmark text."""
+    """Drops documents of whose words a twentieth or more are benchmark text.
+
+    A null or wordless text has no hit and stays; repeated rows go or stay
+    together; null or wordless benchmark items find nothing."""
     rows, name = _placed(docs)
     found = op02_decontaminate.find_contamination(rows, table(spark, sf_dir, "benchmark"), place=name)
-    dirty = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    return rows.join(small_or_shuffled(dirty.select(F.col("place").alias(name)), MAX_BROADCAST_ROWS), name, "left_anti").select(docs.columns)
+    dirty = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("place").alias(name))
+    # Written once: counting it and joining it would search all texts twice.
+    return rows.join(small_or_shuffled(checkpointed(dirty), MAX_BROADCAST_ROWS), name, "left_anti").select(docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by the name of its kind; n_chars follows."""
+    """Replaces personal data by the name of its kind; n_chars follows.
+
+    A null text stays null, an empty one empty; overlapping spans are replaced
+    once, by the kind of the first; repeated rows are changed alike."""
     name = free_name(docs, "pii")
     rows = op04_pii.find_pii(docs)
     text = F.when(F.col("text").isNotNull(), op04_pii.masked(F.col("text"), F.col(name))).alias("text")
@@ -77,7 +97,10 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of equal length."""
+    """The pieces of all documents in sequences of equal length.
+
+    A null or empty text is its end id; repeated rows are packed each; a null id
+    stays null."""
     return op05_packing.with_digest(op05_packing.pack_documents(docs))
 
 
