@@ -72,6 +72,14 @@ def test_places_outlast_other_splits(spark, tmp_path, monkeypatch):
     assert sorted(kept) == list(range(40))
 
 
+def test_frames_that_are_no_files(spark):
+    """Rows dealt anew, as by a shuffle: places must still tell them apart."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage in (cp.near_duplicates, cp.decontamination):
+        want = sorted(r.doc_id for r in stage(spark, docs, SF).collect())
+        assert sorted(r.doc_id for r in stage(spark, docs.repartition(4), SF).collect()) == want
+
+
 def test_similar_shingle_sets_are_one_group(spark):
     """Links and groups by brute-force Jaccard; near copies in a crowd, too."""
     rng = random.Random(3)
@@ -99,7 +107,7 @@ def test_similar_shingle_sets_are_one_group(spark):
     for a, b in pairs:
         x, y = sorted((find(a), find(b)))
         group[y] = x
-    rows = docs.withColumn("place", F.col("doc_id")).localCheckpoint()
+    rows = docs.withColumn("place", F.col("doc_id")).checkpoint()
     links = {(r.a, r.b) for r in shingle_join.linked(rows, "place").collect()}
     got = {n: r for n, r in op09_simhash.components(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
     assert links <= pairs and len(pairs) > 100
