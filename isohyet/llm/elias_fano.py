@@ -189,9 +189,11 @@ def quantised(logs: np.ndarray, quantum: float) -> dict[str, np.ndarray]:
     return {"code": place[steps], "table": table}
 
 
-def probability(arrays: dict[str, np.ndarray], name: str, i: np.ndarray, quantum: float) -> np.ndarray:
+def probability(arrays: dict[str, np.ndarray], name: str, i: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """The numbers of which ``quantised`` kept logs; ``powers`` has that of every
+    multiple of the quantum."""
     code, table = arrays[f"{name}.code"][i], arrays[f"{name}.table"]
-    return 10.0 ** ((table[code] if len(table) else code) * -quantum)
+    return powers[table][code] if len(table) else powers[code]
 
 
 class Writer:

@@ -63,6 +63,7 @@ MAX_WORDS = 3_000_000_000
 #: Logs of probabilities are kept as multiples of this, rounded down so that
 #: the probabilities of a context never add up to more than one.
 QUANTUM = 2.0**-12
+POWERS = 10.0 ** (np.arange(1 << 16) * -QUANTUM)
 
 
 @dataclass(frozen=True)
@@ -205,25 +206,26 @@ class Levels:
         return self.tries[k]
 
     def second(self, context: np.ndarray, count: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each word after its context: discounted probability (0 if not seen
-        there), how many different successors the context has, and trie and
-        place of the pair (-1 if not seen)."""
+        """Of each different pair, in order of the context: discounted
+        probability (0 if not seen), how many different successors the context
+        has, and trie and place of the pair (-1 if not seen)."""
         m = self.model
         p, width, place = np.zeros(len(context)), np.zeros(len(context), np.int64), np.full(len(context), -1, np.int64)
         file = trie_of(m, context, count, word)
         for k, rows in grouped(file):
             if (trie := self.trie(k)) is None:
                 continue
-            # A context is searched once, however many of the tokens follow it.
-            distinct, inverse = np.unique(context[rows], return_inverse=True)
-            at = trie.contexts.find(distinct)
+            # A context is searched once, however many pairs begin with it.
+            own = context[rows]
+            new = np.append(True, own[1:] != own[:-1])
+            at, rank = trie.contexts.find(own[new]), np.cumsum(new) - 1
             first, last = trie.pointers[2].between(np.maximum(at, 0))
-            width[rows] = np.where(at >= 0, last - first, 0)[inverse]
-            keep = np.flatnonzero((at[inverse] >= 0) & (word[rows] >= 0))
-            rows, own = rows[keep], inverse[keep]
-            found = trie.second.find(at[own] * np.int64(m.words + 1) + word[rows], first[own], last[own])
+            width[rows] = np.where(at >= 0, last - first, 0)[rank]
+            keep = np.flatnonzero((at[rank] >= 0) & (word[rows] >= 0))
+            rows, rank = rows[keep], rank[keep]
+            found = trie.second.find(at[rank] * np.int64(m.words + 1) + word[rows], first[rank], last[rank])
             rows, found = rows[found >= 0], found[found >= 0]
-            p[rows], place[rows] = ef.probability(trie.arrays, "log2", found, QUANTUM), found
+            p[rows], place[rows] = ef.probability(trie.arrays, "log2", found, POWERS), found
         many = np.flatnonzero(m.pieces(count) > 1)
         if len(many):  # contexts spread over tries: the sum over their parts
             keys, widths = self.wide()["context"], self.wide()["width"]
@@ -238,14 +240,18 @@ class Levels:
         p, weight, place = np.zeros(len(context)), np.ones(len(context)), np.full(len(context), -1, np.int64)
         for k, rows in grouped(file):
             trie = self.trie(k)
-            first, last = trie.pointers[level].between(context[rows])
+            rows = rows[np.argsort(context[rows])]
+            own = context[rows]
+            new = np.append(True, own[1:] != own[:-1])
+            rank = np.cumsum(new) - 1
+            first, last = (x[rank] for x in trie.pointers[level].between(own[new]))
             some = np.flatnonzero(last > first)  # none follow the end of a text
             rows, first, last = rows[some], first[some], last[some]
-            weight[rows] = ef.probability(trie.arrays, f"rest{level - 1}", context[rows], QUANTUM)
+            weight[rows] = ef.probability(trie.arrays, f"rest{level - 1}", context[rows], POWERS)
             keep = np.flatnonzero(word[rows] >= 0)
             found = trie.words[level].find(word[rows[keep]], first[keep], last[keep])
             rows, found = rows[keep[found >= 0]], found[found >= 0]
-            p[rows], place[rows] = ef.probability(trie.arrays, f"log{level}", found, QUANTUM), found
+            p[rows], place[rows] = ef.probability(trie.arrays, f"log{level}", found, POWERS), found
         return p, weight, place
 
 
@@ -508,9 +514,16 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             before, of = np.roll(ids, 1), np.roll(counts, 1)
             before[starts], of[starts] = model.words, model.documents
             known = np.flatnonzero((before >= 0) & (of > 0))
-            p, file, place = unigram.copy(), np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64)
-            seen, width, file[known], place[known] = levels.second(before[known], of[known], ids[known])
-            p[known] = seen + np.where(width > 0, model.discount * width / of[known], 1.0) * unigram[known]
+            # Each different pair is searched once; pairs are in order, so that
+            # neighbours in a trie are searched after one another.
+            span = np.int64(model.words + 2)
+            key, at, pair = np.unique(before[known] * span + ids[known] + 1, return_index=True, return_inverse=True)
+            seen, width, tries, found = levels.second(key // span, of[known[at]], key % span - 1)
+            weight = np.where(width > 0, model.discount * width / of[known[at]], 1.0)
+            p = unigram.copy()
+            p[known] = seen[pair] + weight[pair] * unigram[known]
+            file, place = np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64)
+            file[known], place[known] = tries[pair], found[pair]
             for level in range(3, model.order + 1):
                 # What was found for the token before is the context now.
                 file, context = np.roll(file, 1), np.roll(place, 1)
