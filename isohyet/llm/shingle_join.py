@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small_or_shuffled
 from .op09_simhash import components
 
 WIDTH, NUM, DEN = 5, 4, 5  # five words, similarity four fifths, in whole numbers
@@ -29,6 +29,8 @@ SEED = 42
 #: One text in so many is sampled, and how often a frequent shingle is in it.
 SAMPLE, FREQUENT, MAX_FREQUENT = 16, 3, 500_000
 STARS = 4
+#: Places of the texts to be compared that may be broadcast.
+MAX_BROADCAST_PLACES = 1_000_000
 
 
 def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -66,7 +68,8 @@ def posted(docs: DataFrame, place: str, late: np.ndarray) -> DataFrame:
             for t in batch.column("text").cast(pa.large_binary()):
                 s = shingle_set(t.as_py())
                 n = len(s)
-                last = np.isin(s, sent.value)
+                late = sent.value
+                last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(n, bool)
                 sizes.append(n)
                 digests.append(xxhash.xxh128_hexdigest(s.tobytes()))
                 prefixes.append(np.concatenate([s[~last], s[last]])[: n - -(-NUM * n // DEN) + 1 if n else 0].view(np.int64))
@@ -89,7 +92,10 @@ def similar(pairs: DataFrame, docs: DataFrame, place: str) -> DataFrame:
                 keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = lambda at, text: docs.select(F.col(place).alias(at), F.col("text").alias(text))
+    # Only the texts of pairs are moved.
+    named = pairs.select(F.explode(F.array("a", "b")).alias(place)).distinct()
+    some = docs.select(place, "text").join(small_or_shuffled(checkpointed(named), MAX_BROADCAST_PLACES), place, "left_semi")
+    texts = lambda at, text: some.select(F.col(place).alias(at), F.col("text").alias(text))
     rows = pairs.join(texts("b", "t"), "b").join(texts("a", "s"), "a").select("a", "b", "s", "t")
     return rows.mapInArrow(each, "a long, b long")
 
