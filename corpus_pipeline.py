@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import op02_decontaminate, op04_pii, op05_packing, op07_toxicity, op09_simhash, shingle_join
+from isohyet.llm import op02_decontaminate, op04_pii, op05_packing, op07_toxicity, op09_simhash
 from isohyet.llm.common import checkpointed, free_name, shared_dir, small_or_shuffled, table
 
 #: A document at this probability is rejected.
@@ -55,20 +55,12 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, str]:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the smallest id.
 
-    Two documents are linked if their fingerprints are those of op9's near
-    copies, or if their sets of five-word shingles are similar to 0.8. Null and
-    empty texts are one group; repeated rows are one group; of a group's rows of
-    the smallest id the first in the input stays, and a row with a null id only
-    if the whole group has none."""
+    Two documents are linked as op9's contract has it: fingerprints of three-word
+    shingles at two bits or fewer. Null and empty texts are one group; repeated
+    rows are one group; of a group's rows of the smallest id the first in the
+    input stays, and a row with a null id only if the whole group has none."""
     rows, name = _placed(docs)
-    found = checkpointed(op09_simhash.near_duplicates(rows, name))
-    first = found.groupBy("component").agg(F.min("place").alias("a"))
-    near = found.join(first, "component").select("a", F.col("place").alias("b")).where("a != b")
-    root = op09_simhash.components(near.union(shingle_join.linked(rows, name)))
-    group = F.coalesce("root", "place")
-    found = found.join(root.withColumnRenamed("node", "place"), "place", "left").select("doc_id", "place", group.alias("group"))
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place"))["place"]
-    kept = checkpointed(found.groupBy("group").agg(least.alias(name)).select(name))
+    kept = checkpointed(op09_simhash.representatives(rows, name).withColumnRenamed("place", name))
     return rows.join(small_or_shuffled(kept, MAX_BROADCAST_ROWS), name, "left_semi").select(docs.columns)
 
 
