@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from isohyet.llm import op02_decontaminate, op09_simhash, registry, shingle_join
+from isohyet.llm import op02_decontaminate, op09_simhash, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,6 +34,11 @@ def test_columns_and_order(stages):
 
 
 def test_decisions_take_effect(stages, spark):
+    # By brute force: the smallest id of every group of the fingerprints.
+    from test_operators_llm import component_brute
+
+    before = [(r.doc_id, r.text) for r in stages["toxicity"].select("doc_id", "text").collect()]
+    assert sorted({c for _, _, c in component_brute(before)}) == sorted(r.doc_id for r in stages["near_duplicates"].collect())
     kept = op09_simhash.near_duplicates(stages["near_duplicates"])
     assert kept.count() == kept.select("component").distinct().count()
     found = op02_decontaminate.find_contamination(stages["decontamination"], spark.read.parquet(f"{SF}/benchmark.parquet"))
@@ -80,43 +84,6 @@ def test_frames_that_are_no_files(spark):
         assert sorted(r.doc_id for r in stage(spark, docs.repartition(4), SF).collect()) == want
 
 
-def test_similar_shingle_sets_are_one_group(spark):
-    """Links and groups by brute-force Jaccard; near copies in a crowd, too."""
-    rng = random.Random(3)
-    word = lambda: f"w{rng.randrange(10**6)}"
-    texts: list[str | None] = ["", None, "a b", "A  b", "a b c"]
-    for size, copies in [(60, 30), (120, 30), (40, 8), (200, 8), (6, 5), (9, 5)]:
-        base = [word() for _ in range(size)]
-        for _ in range(copies):
-            copy = list(base)
-            for _ in range(rng.randrange(1 + size // 25)):
-                copy[rng.randrange(size)] = word()
-            texts.append(" ".join(copy + [word() for _ in range(rng.randrange(2))]))
-    texts += [" ".join(["one very common line of words"] * 3 + [word() for _ in range(30)]) for _ in range(40)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    words = [(t or "").lower().split() for t in texts]
-    sets = [frozenset(zip(*[w[i:] for i in range(min(5, len(w)))])) for w in words]
-    pairs = {(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
-    group = list(range(len(texts)))
-
-    def find(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for a, b in pairs:
-        x, y = sorted((find(a), find(b)))
-        group[y] = x
-    rows = docs.withColumn("place", F.col("doc_id")).checkpoint()
-    links = {(r.a, r.b) for r in shingle_join.linked(rows, "place").collect()}
-    got = {n: r for n, r in op09_simhash.components(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
-    assert links <= pairs and len(pairs) > 100
-    assert [got.get(i, i) for i in range(len(texts))] == [find(i) for i in range(len(texts))]
-    kept = {r.doc_id for r in cp.near_duplicates(spark, docs, SF).collect()}
-    assert not any(a in kept and b in kept for a, b in pairs)
-    assert {i for i in range(len(texts)) if i == find(i)} >= kept
-
-
 def test_registered():
     import __spark_entry__ as e
 
