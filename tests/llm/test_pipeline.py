@@ -38,7 +38,7 @@ def test_decisions_take_effect(stages, spark):
     from test_operators_llm import component_brute
 
     before = [(r.doc_id, r.text) for r in stages["toxicity"].select("doc_id", "text").collect()]
-    assert sorted({c for _, _, c in component_brute(before)}) == sorted(r.doc_id for r in stages["near_duplicates"].collect())
+    assert sorted({c for _, _, c in component_brute(before)}) == sorted({r.doc_id for r in stages["near_duplicates"].collect()})
     kept = op09_simhash.near_duplicates(stages["near_duplicates"])
     assert kept.count() == kept.select("component").distinct().count()
     found = op02_decontaminate.find_contamination(stages["decontamination"], spark.read.parquet(f"{SF}/benchmark.parquet"))
