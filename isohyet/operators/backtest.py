@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import physics
 from .windows import Ordered
 
 
 def trend_signal(gap: Column, before: Column, threshold: Column) -> Column:
-    """1 if the gap is positive and rising, -1 if under the threshold and
-    falling, else 0."""
-    return F.when((gap > 0) & (gap > before), 1).when((gap < threshold) & (gap < before), -1).otherwise(0)
+    """1 if the gap rises and is above the threshold, -1 whenever it does not
+    rise, else 0; 0 also while there is no threshold."""
+    rises = gap > before
+    return F.when(threshold.isNull(), 0).when(rises & (gap > threshold), 1).when(~F.coalesce(rises, F.lit(False)), -1).otherwise(0)
 
 
 def target_position(signal: Column, weight: Column) -> Column:
@@ -22,18 +25,19 @@ def target_position(signal: Column, weight: Column) -> Column:
 
 
 def band_hysteresis(df: DataFrame, by: Sequence[str], order: str, target: str, band: str, name: str = "position") -> DataFrame:
-    """Positions that follow a target only when it moves by the band or more.
-    A fold over each entity's ordered targets, inside the JVM."""
-    items = F.sort_array(F.collect_list(F.struct(order, F.col(target).alias("_t"), F.col(band).alias("_b"), F.struct(*[c for c in df.columns if c not in by]).alias("_row"))))
-    zero = F.struct(F.lit(None).cast("double").alias("p"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        p = F.when(acc["p"].isNull() | (F.abs(x["_t"] - acc["p"]) >= x["_b"]), x["_t"]).otherwise(acc["p"])
-        return F.struct(p.alias("p"), F.concat(acc["out"], F.array(p)).alias("out"))
-
-    rows = df.groupBy(*by).agg(items.alias("_s"))
-    out = rows.select(*by, F.explode(F.arrays_zip(F.col("_s"), F.aggregate("_s", zero, step)["out"].alias("_p"))).alias("_z"))
-    return out.select(*by, "_z._s._row.*", F.col("_z")["_p"].alias(name))
+    """Positions that follow a target only when it moves by the band or more: a
+    fold over each entity's targets in order, one pass of a function an entity."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        out, held = [], None
+        for t, b in zip(pdf[target].tolist(), pdf[band].tolist(), strict=True):
+            held = t if held is None or abs(t - held) >= b else held
+            out.append(held)
+        return pdf.assign(**{name: out})
+
+    return df.groupBy(*by).applyInPandas(follow, schema)
 
 
 def performance(df: DataFrame, by: Sequence[str], order: str, ret: str, periods: int) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import Ordered, ewm
+from .windows import Ordered, ewms
 
 P = Ordered(["symbol"], ["date"])
 
@@ -35,16 +35,16 @@ def rsi(bars: DataFrame, n: int) -> DataFrame:
     d = P.change("close")
     rows = bars.select("symbol", "date", F.greatest(d, F.lit(0.0)).alias("gain"), F.greatest(-d, F.lit(0.0)).alias("loss"), d.isNull().alias("first"))
     rows = rows.withColumns({c: F.when(~F.col("first"), F.col(c)) for c in ("gain", "loss")})
-    rows = ewm(ewm(rows, ["symbol"], ["date"], "gain", 1.0 / n, "up", n), ["symbol"], ["date"], "loss", 1.0 / n, "down", n)
+    rows = ewms(rows, ["symbol"], ["date"], [("up", "gain", 1.0 / n, n), ("down", "loss", 1.0 / n, n)])
     return rows.withColumn("rsi", F.try_divide(100 * F.col("up"), F.col("up") + F.col("down")))
 
 
 def macd_trix(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, n: int = 12) -> DataFrame:
-    by, order, rows = ["symbol"], ["date"], bars.select("symbol", "date", "close")
-    for name, value, span in (("_f", "close", fast), ("_s", "close", slow), ("_1", "close", n), ("_2", "_1", n), ("_3", "_2", n)):
-        rows = ewm(rows, by, order, value, 2.0 / (span + 1), name)
+    span = lambda name, value, k: (name, value, 2.0 / (k + 1), 1)
+    rows = bars.select("symbol", "date", "close")
+    rows = ewms(rows, ["symbol"], ["date"], [span("_f", "close", fast), span("_s", "close", slow), span("_1", "close", n), span("_2", "_1", n), span("_3", "_2", n)])
     rows = rows.withColumns({"macd": F.col("_f") - F.col("_s"), "trix": 100 * P.pct_change("_3")})
-    return ewm(rows, by, order, "macd", 2.0 / (signal + 1), "signal").withColumn("hist", F.col("macd") - F.col("signal"))
+    return ewms(rows, ["symbol"], ["date"], [span("signal", "macd", signal)]).withColumn("hist", F.col("macd") - F.col("signal"))
 
 
 def obv_mfi_cci(bars: DataFrame, n: int) -> DataFrame:
@@ -59,28 +59,23 @@ def obv_mfi_cci(bars: DataFrame, n: int) -> DataFrame:
     return rows.withColumns({"obv": F.coalesce(P.cumulative(F.sum("_v")), F.lit(0.0)), "mfi": F.try_divide(100 * pos, pos + neg), "cci": F.try_divide(F.col("tp") - F.col("ma"), 0.015 * md)})
 
 
-def barrier_exits(bars: DataFrame, entries: DataFrame, stop: float, take: float, hold: int, close_last: bool = False) -> DataFrame:
+def barrier_exits(bars: DataFrame, entries: DataFrame, stop: float, take: float, hold: int) -> DataFrame:
     """First exit of each entry within ``hold`` bars: stop before take within a
-    bar, else the close of the last bar. Entries without a full future and no
-    hit have no row, or with ``close_last`` leave at the close of the symbol's last
-    bar: an entry on it after no bar, at its own price. The join is on the symbol
-    and blocks of ``hold`` bars."""
+    bar, else the close of the last bar there is: an entry on a symbol's last bar
+    leaves after no bar, at its own price. The join is on the symbol and blocks
+    of ``hold`` bars."""
     e = entries.select("symbol", F.col("date").alias("entry_date"), F.col("t").alias("et"), F.col("close").alias("entry"))
-    e = e.withColumn("block", F.explode(F.array(F.floor((F.col("et") + 1) / hold), F.floor((F.col("et") + hold) / hold)))).distinct()
+    last = bars.groupBy("symbol").agg(F.max("t").alias("lt"))
+    ends = e.join(last, "symbol").withColumn("final", F.least(F.col("lt"), F.col("et") + hold))
+    blocks = ends.withColumn("block", F.explode(F.array_distinct(F.array(F.floor(F.col("et") / hold), F.floor(F.col("final") / hold)))))
     later = bars.withColumn("block", F.floor(F.col("t") / hold))
-    rows = e.join(later, ["symbol", "block"]).where((F.col("t") > F.col("et")) & (F.col("t") <= F.col("et") + hold))
-    stopped, taken = F.col("low") <= F.col("entry") * (1 - stop), F.col("high") >= F.col("entry") * (1 + take)
+    rows = blocks.join(later, ["symbol", "block"]).where((F.col("t") >= F.col("et")) & (F.col("t") <= F.col("final")))
     k = F.col("t") - F.col("et")
+    stopped, taken = (k > 0) & (F.col("low") <= F.col("entry") * (1 - stop)), (k > 0) & (F.col("high") >= F.col("entry") * (1 + take))
     reason = F.when(stopped, "stop").when(taken, "take").otherwise("time")
     price = F.when(stopped, F.col("entry") * (1 - stop)).when(taken, F.col("entry") * (1 + take)).otherwise(F.col("close"))
     first = F.min(F.struct(k.cast("int").alias("k"), reason.alias("reason"), price.alias("px")))
-    out = rows.where(stopped | taken | (k == hold)).groupBy("symbol", "entry_date", "entry").agg(first.alias("x"))
-    if close_last:
-        last = bars.groupBy("symbol").agg(F.max("t").alias("lt"), F.max_by("close", "t").alias("px"))
-        cut = entries.select("symbol", F.col("date").alias("entry_date"), F.col("t").alias("et"), F.col("close").alias("entry")).join(last, "symbol").where(F.col("lt") < F.col("et") + hold)
-        cut = cut.join(out.select("symbol", "entry_date"), ["symbol", "entry_date"], "left_anti")
-        at_end = F.struct((F.col("lt") - F.col("et")).cast("int").alias("k"), F.lit("time").alias("reason"), F.col("px"))
-        out = out.union(cut.select("symbol", "entry_date", "entry", at_end.alias("x")))
+    out = rows.where(stopped | taken | (F.col("t") == F.col("final"))).groupBy("symbol", "entry_date", "entry").agg(first.alias("x"))
     return out.select("symbol", F.col("entry_date").alias("date"), F.col("x.k").alias("bars_held"), F.col("x.reason").alias("reason"), (F.col("x.px") / F.col("entry") - 1).alias("ret"))
 
 

@@ -11,8 +11,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNBOUNDED = Window.unboundedPreceding
 
@@ -145,21 +147,24 @@ def ranked_pct(df: DataFrame, group: Sequence[str], value: str, name: str) -> Da
     return df.withColumn(name, (less + 1 + (ties - 1) / 2) / F.count("*").over(w))
 
 
+def ewms(df: DataFrame, by: Sequence[str], order: Sequence[str], means: Sequence[tuple[str, str, float, int]]) -> DataFrame:
+    """Exponentially weighted means with ``adjust=False``, seeded by the first
+    non-null value: for each (name, value, alpha, min_periods) a column, which
+    later ones may have as their value. One pass of a function an entity for all
+    of them; an entity's series must fit a task."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name, *_ in means]])
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order), kind="stable")
+        for name, value, alpha, least in means:
+            pdf[name] = pdf[value].astype(float).ewm(alpha=alpha, adjust=False, ignore_na=True, min_periods=least).mean()
+        return pdf
+
+    return df.groupBy(*by).applyInPandas(each, schema)
+
+
 def ewm(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, alpha: float, name: str, min_periods: int = 1) -> DataFrame:
-    """Exponentially weighted mean with ``adjust=False``: seeded by the first
-    non-null value. A fold over each entity's sorted series, inside the JVM;
-    an entity's series is one row of the grouping, so it must fit a task."""
-    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v"), F.struct(*[c for c in df.columns if c not in by]).alias("_row")))).alias("_s"))
-
-    def step(acc: Column, x: Column) -> Column:
-        seen = acc["n"] + F.when(x["_v"].isNotNull(), 1).otherwise(0)
-        mean = F.when(x["_v"].isNull(), acc["m"]).when(acc["m"].isNull(), x["_v"]).otherwise(acc["m"] * (1 - alpha) + x["_v"] * alpha)
-        shown = F.when(seen >= min_periods, mean)
-        return F.struct(mean.alias("m"), seen.alias("n"), F.concat(acc["out"], F.array(shown)).alias("out"))
-
-    zero = F.struct(F.lit(None).cast("double").alias("m"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("out"))
-    out = rows.select(*by, F.explode(F.arrays_zip(F.col("_s"), F.aggregate("_s", zero, step)["out"].alias("_e"))).alias("_z"))
-    return out.select(*by, "_z._s._row.*", F.col("_z")["_e"].alias(name))
+    return ewms(df, by, order, [(name, value, alpha, min_periods)])
 
 
 def islands(df: DataFrame, by: Sequence[str], order: str, flag: str | Column, min_length: int = 1) -> DataFrame:

@@ -149,12 +149,32 @@ def ewm_wilder_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ewm(rows, ["symbol"], ["date"], "tr", 1.0 / 14, "e", 14).select("symbol", "date", r("e", 4).alias("atr_wilder"))
 
 
-@query()
+def ewm_fold(rows: str, out: str, means: list[tuple[str, str, str]]) -> str:
+    """Recursive SQL of exponentially weighted means without nulls but leading
+    ones: (name, value, alpha), of ``rows`` or of the means before it."""
+    made = {name: value for name, value, _ in means}
+    seed = {name: (value if value not in made else made[value]) for name, value, _ in means}
+    while any(v in made for v in seed.values()):
+        seed = {n: made.get(v, v) for n, v in seed.items()}
+    first = ", ".join(f"cast({seed[name]} as double) as {name}" for name, *_ in means)
+    step: dict[str, str] = {}
+    for name, value, alpha in means:
+        new = step.get(value, f"x.{value}")
+        step[name] = f"(case when f.{name} is null then {new} else f.{name} * (1 - {alpha}) + {new} * {alpha} end)"
+    return f"{out} as (select symbol, date, t, {first} from {rows} where t = 1 union all select x.symbol, x.date, x.t, {', '.join(f'{e} as {n}' for n, e in step.items())} from {out} f join {rows} x on x.symbol = f.symbol and x.t = f.t + 1)"
+
+
+@query(f"""with recursive {BARS}, g as (select symbol, date, t, greatest(close - lag(close) over ({W}), 0) as d, greatest(lag(close) over ({W}) - close, 0) as e from bars),
+g2 as (select symbol, date, t, case when t > 1 then d end as gain, case when t > 1 then e end as loss from g),
+{ewm_fold("g2", "m", [("up", "gain", "(1.0::double / 14)"), ("down", "loss", "(1.0::double / 14)")])}
+select symbol, date, round(case when t > 14 and up + down <> 0 then 100 * up / (up + down) end, 4) as rsi from m""")
 def rsi_wilder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.rsi(bars(spark, sf_dir), 14).select("symbol", "date", r("rsi", 4).alias("rsi"))
 
 
-@query()
+@query(f"""with recursive {BARS}, {ewm_fold("bars", "m", [("f0", "close", "(2.0::double / 13)"), ("s0", "close", "(2.0::double / 27)"), ("e1", "close", "(2.0::double / 13)"), ("e2", "e1", "(2.0::double / 13)"), ("e3", "e2", "(2.0::double / 13)")])},
+k as (select symbol, date, t, f0 - s0 as macd, 100 * (e3 / lag(e3) over ({W}) - 1) as trix from m), {ewm_fold("k", "n", [("signal", "macd", "(2.0::double / 10)")])}
+select symbol, date, round(macd, 4) as macd, round(signal, 4) as signal, round(macd - signal, 4) as hist, round(trix, 4) as trix from k join n using (symbol, date)""")
 def macd_trix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.macd_trix(bars(spark, sf_dir)).select("symbol", "date", *[r(c, 4).alias(c) for c in ("macd", "signal", "hist", "trix")])
 
@@ -212,17 +232,6 @@ def group_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir).select("symbol", "date", r(z, 4).alias("z"), r(scaled).alias("scaled"))
 
 
-@query(f"""with {BARS}, e as (select * from bars where t % 25 = 0),
-x as (select e.symbol, e.date, e.t, e.close as entry, b.t - e.t as k, b.low <= e.close * 0.9 as stop, b.high >= e.close * 1.2 as take, b.close as px
- from e join bars b on b.symbol = e.symbol and b.t > e.t and b.t <= e.t + 20),
-y as (select symbol, date, min(struct_pack(k := case when stop or take or k = 20 then k end, reason := case when stop then 'stop' when take then 'take' else 'time' end, px := case when stop then entry * 0.9 when take then entry * 1.2 else px end)) filter (stop or take or k = 20) as f, any_value(entry) as entry from x group by symbol, date)
-select symbol, date, cast(f.k as integer) as bars_held, f.reason as reason, round(f.px / entry - 1, 6) as ret from y where f is not null""")
-def barrier_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bars(spark, sf_dir)
-    out = market.barrier_exits(rows, rows.where("t % 25 = 0"), stop=0.1, take=0.2, hold=20)
-    return out.select("symbol", "date", "bars_held", "reason", r("ret").alias("ret"))
-
-
 @query(f"""with {BARS}, {WEEKLY}, x as (select *, row_number() over (partition by symbol order by week_end) as t,
  greatest(high - low, abs(high - lag(close) over (partition by symbol order by week_end)), abs(low - lag(close) over (partition by symbol order by week_end))) as tr from weekly),
 y as (select symbol, week_end, close, case when count(close) over w >= 10 then avg(close) over w end as sma, case when count(tr) over w >= 10 then avg(tr) over w end as atr, case when count(close) over w >= 10 then stddev_pop(close) over w end as sd from x window w as (partition by symbol order by week_end rows between 9 preceding and current row)),
@@ -247,7 +256,10 @@ def vcp_contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.contractions(market.zigzag(bars(spark, sf_dir), 0.3))
 
 
-@query(f"""with {BARS}, x as (select *, case when count(high) over p >= 20 then max(high) over p end as pivot_high, case when count(volume) over v >= 20 then avg(volume) over v end as mv from bars window p as ({W} rows between 20 preceding and 1 preceding), v as ({W} rows between 19 preceding and current row))
+BREAKOUTS = f"""x as (select *, case when count(high) over p >= 20 then max(high) over p end as pivot_high, case when count(volume) over v >= 20 then avg(volume) over v end as mv from bars window p as ({W} rows between 20 preceding and 1 preceding), v as ({W} rows between 19 preceding and current row))"""
+
+
+@query(f"""with {BARS}, {BREAKOUTS}
 select symbol, date, close, pivot_high, round(volume / mv, 6) as volume_ratio from x where close > pivot_high and volume > 1.2 * mv and (high - close) <= 0.5 * (high - low)""")
 def breakout_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bars(spark, sf_dir).withColumns({"pivot_high": P.guarded(F.max("high"), "high", P.rows(-20, -1), 20), "mv": P.mean("volume", 20)})
@@ -255,11 +267,14 @@ def breakout_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(ok).select("symbol", "date", "close", "pivot_high", r(F.col("volume") / F.col("mv")).alias("volume_ratio"))
 
 
-@query()
-def barrier_exit_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exits of every breakout signal; ``barrier_exit`` and its SQL enter at
-    every 25th bar and leave out what is still open at the end."""
+@query(f"""with {BARS}, {BREAKOUTS}, e as (select symbol, date, t, close as entry from x where close > pivot_high and volume > 1.2 * mv and (high - close) <= 0.5 * (high - low)),
+y as (select e.symbol, e.date, e.entry, b.t - e.t as k, b.t > e.t and b.low <= e.entry * 0.9 as stop, b.t > e.t and b.high >= e.entry * 1.2 as take, b.close as px, b.t = max(b.t) over (partition by e.symbol, e.date) as final
+ from e join bars b on b.symbol = e.symbol and b.t between e.t and e.t + 20),
+z as (select *, row_number() over (partition by symbol, date order by k) as nth from y where stop or take or final)
+select symbol, date, cast(k as integer) as bars_held, case when stop then 'stop' when take then 'take' else 'time' end as reason, round(case when stop then entry * 0.9 when take then entry * 1.2 else px end / entry - 1, 6) as ret from z where nth = 1""")
+def barrier_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exits of every breakout signal."""
     rows = bars(spark, sf_dir)
     entries = rows.join(breakout_signals(spark, sf_dir).select("symbol", "date"), ["symbol", "date"], "left_semi")
-    out = market.barrier_exits(rows, entries, stop=0.1, take=0.2, hold=20, close_last=True)
+    out = market.barrier_exits(rows, entries, stop=0.1, take=0.2, hold=20)
     return out.select("symbol", "date", "bars_held", "reason", r("ret").alias("ret"))

@@ -14,9 +14,9 @@ M = Ordered([], ["month"])
 
 SIGNAL = f"""{MONTHLY}, g as (select month, t, value / 100000 - n / 100.0 as gap, value from monthly),
 h as (select *, case when count(gap) over (order by month rows between 2 preceding and current row) >= 3 then avg(gap) over (order by month rows between 2 preceding and current row) end as ma3 from g),
-k as (select *, lag(ma3) over (order by month) as before, case when count(ma3) over (order by month rows between 23 preceding and current row) >= 12 then quantile_cont(ma3, 0.2) over (order by month rows between 23 preceding and current row) end as thr,
+k as (select *, lag(ma3) over (order by month) as before, case when count(ma3) over (order by month rows between 24 preceding and 1 preceding) >= 12 then quantile_cont(ma3, 0.2) over (order by month rows between 24 preceding and 1 preceding) end as thr,
  case when count(value) over (order by month rows between 23 preceding and current row) >= 12 then (value - min(value) over (order by month rows between 23 preceding and current row)) / nullif(max(value) over (order by month rows between 23 preceding and current row) - min(value) over (order by month rows between 23 preceding and current row), 0) end as pct from h),
-s as (select *, case when ma3 > 0 and ma3 > before then 1 when ma3 < thr and ma3 < before then -1 else 0 end as signal, case when pct <= 0.25 then 1.2 when pct >= 0.8 then 0.0 else 1.2 * (0.8 - pct) / (0.8 - 0.25) end as weight from k where thr is not null and before is not null and pct is not null),
+s as (select *, case when ma3 > before and ma3 > thr then 1 when not ma3 > before then -1 else 0 end as signal, case when pct <= 0.25 then 1.2 when pct >= 0.8 then 0.0 else 1.2 * (0.8 - pct) / (0.8 - 0.25) end as weight from k where thr is not null and before is not null and pct is not null),
 targets as (select month, t, signal, weight, greatest(0.0, least(1.0, (0.5 + 0.3 * signal) * weight)) as target, row_number() over (order by month) as i from s)"""
 
 
@@ -24,7 +24,7 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = monthly(spark, sf_dir).withColumn("gap", F.col("value") / 100000 - F.col("n") / 100)
     m = m.withColumn("ma3", M.mean("gap", 3))
     span = M.rows(-23)
-    thr = M.guarded(F.percentile("ma3", 0.2), "ma3", span, 12)
+    thr = M.quantile_before("ma3", 0.2, 24, 12)  # of months before this one
     low, high = F.min("value").over(span), F.max("value").over(span)
     pct = F.when(F.count("value").over(span) >= 12, F.try_divide(F.col("value") - low, high - low))
     m = m.withColumns({"before": M.lag("ma3"), "thr": thr, "pct": pct}).where("thr is not null and before is not null and pct is not null")

@@ -37,17 +37,10 @@ def stream_dedup_notify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(spark, out).groupBy("user_id", "event_type").agg(F.count("*").alias("seen"))
 
 
-@query("""with recursive e as (select event_type, event_id, value, row_number() over (partition by event_type order by ts, event_id) as i from events where event_id % 7 = 0),
-f as (select event_type, event_id, i, value as target, true as moved from e where i = 1 union all select e.event_type, e.event_id, e.i, case when abs(e.value - f.target) >= 20 then e.value else f.target end, abs(e.value - f.target) >= 20 from f join e on e.event_type = f.event_type and e.i = f.i + 1)
-select event_type, event_id, target, moved from f""")
+@query("""with e as (select event_type, list(event_id order by ts, event_id) as ids, list_reduce(list([value] order by ts, event_id), lambda a, x: list_append(a, case when abs(x[1] - a[len(a)]) >= 20 then x[1] else a[len(a)] end)) as targets from events group by 1),
+x as (select event_type, unnest(ids) as event_id, unnest(targets) as target, unnest(range(1, len(ids) + 1)) as i from e)
+select event_type, event_id, target, i = 1 or target <> lag(target) over (partition by event_type order by i) as moved from x""")
 def stream_state_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finished(spark, inc.last_target(inc.event_stream(reachable(spark), sf_dir).where("event_id % 7 = 0"), 20.0))
-
-
-@query()
-def stream_state_target_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets over all events; ``stream_state_target`` and its SQL take every
-    seventh."""
     return finished(spark, inc.last_target(inc.event_stream(reachable(spark), sf_dir), 20.0))
 
 

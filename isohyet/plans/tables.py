@@ -9,6 +9,7 @@ from ..operators import frames, physics as ph
 from .base import query, r, table
 
 YEARS = list(range(1995, 2002))
+MONTHS = list(range(1, 13))
 
 
 @query("""with g as (select o_custkey % 5 as region, cast(year(o_orderdate) as integer) as year, count(distinct o_custkey) as customers, count(*) as orders from orders where o_totalprice > 100000 group by 1, 2),
@@ -54,12 +55,12 @@ def pivot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.fillna(0).toDF("year", "f", "o", "p")
 
 
-@query("""select cast(year(o_orderdate) as integer) as year, cast(month(o_orderdate) as integer) as month, round(sum(o_totalprice), 2) as total from orders where month(o_orderdate) <= 3 group by 1, 2""")
+@query("""select cast(year(o_orderdate) as integer) as year, cast(month(o_orderdate) as integer) as month, round(sum(o_totalprice), 2) as total from orders group by 1, 2""")
 def unpivot_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide year by month, and back to long rows."""
     rows = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "o_totalprice")
-    wide = rows.groupBy("year").pivot("month", [1, 2, 3]).agg(F.sum("o_totalprice"))
-    long = wide.unpivot(["year"], ["1", "2", "3"], "month", "total").dropna()
+    wide = rows.groupBy("year").pivot("month", MONTHS).agg(F.sum("o_totalprice"))
+    long = wide.unpivot(["year"], [str(m) for m in MONTHS], "month", "total").dropna()
     return long.select("year", F.col("month").cast("int").alias("month"), r("total", 2).alias("total"))
 
 
