@@ -1,7 +0,0 @@
-"""Column functions, gathered from the operators that define them."""
-
-from ..operators.joins import haversine, in_box, in_ring
-from ..operators.physics import *  # noqa: F403
-from ..operators.statistics import normal_two_sided, t_two_sided, weighted_corr, weighted_mean
-
-__all__ = ["haversine", "in_box", "in_ring", "normal_two_sided", "t_two_sided", "weighted_corr", "weighted_mean"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared
+
 EARTH_KM = 6371.0088
 
 
@@ -50,11 +53,16 @@ def in_intervals(points: DataFrame, intervals: DataFrame, by: Sequence[str], dat
     return points.join(days, [*by, date], "left_semi")
 
 
-def overlaps(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Pairs of intervals (a_start, a_end), (b_start, b_end) of an entity that
-    overlap, and the overlap's ends."""
-    pairs = a.join(b, list(by)).where(F.greatest("a_start", "b_start") <= F.least("a_end", "b_end"))
-    return pairs.withColumns({"start": F.greatest("a_start", "b_start"), "end": F.least("a_end", "b_end")})
+def overlaps(a: DataFrame, b: DataFrame, by: Sequence[str], days: int = 8) -> DataFrame:
+    """Pairs of intervals of dates (a_start, a_end), (b_start, b_end) of an
+    entity that overlap, and the overlap's ends. Both are listed by blocks of
+    ``days`` days, which are part of the key, so that an entity with very many
+    intervals is split; a pair is kept in the block in which its overlap begins."""
+    block = lambda d: F.floor(F.datediff(F.col(d), F.lit("1970-01-01").cast("date")) / days)
+    a, b = (x.withColumn("_block", F.explode(F.sequence(block(f"{n}_start"), block(f"{n}_end")))) for x, n in ((a, "a"), (b, "b")))
+    start, end = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
+    pairs = a.join(b, [*by, "_block"]).withColumns({"start": start, "end": end}).where("start <= end")
+    return pairs.where(F.col("_block") == block("start")).drop("_block")
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -65,11 +73,41 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def nearest(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, k: int) -> DataFrame:
-    """The ``k`` nearest sites (slat, slon) of each point (lat, lon). Sites are
-    a reference table; each is compared, with a running k-smallest a point."""
-    near = points.join(F.broadcast(sites)).withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")))
-    best = near.groupBy(point_id).agg(F.sort_array(F.collect_list(F.struct("km", site_id))).alias("_s"))
-    return best.select(point_id, F.posexplode(F.slice("_s", 1, k)).alias("_i", "_x")).select(point_id, (F.col("_i") + 1).alias("place"), f"_x.{site_id}", "_x.km")
+    """The ``k`` nearest sites (slat, slon) of each point (lat, lon).
+
+    Sites are dealt to cells of latitude and longitude, about ``k`` to a cell.
+    Points look up the cells around their own, in rings that double until no
+    site outside them can be nearer than the k-th found; only points that are
+    still open go on to the next round. Every lookup is an equi-join on the cell,
+    and every round is written to the shared folder."""
+    n = max(1, sites.count())
+    size = 360.0 / max(1, min(360, math.isqrt(max(1, n // k))))
+    columns = math.ceil(360 / size)
+    cell = lambda lat, lon: (F.floor((lat + 90) / size).alias("_i"), F.pmod(F.floor((lon + 180) / size), F.lit(columns)).alias("_j"))
+    stored = sites.select(site_id, "slat", "slon", *cell(F.col("slat"), F.col("slon")))
+    open_points, found, ring = points.select(point_id, "lat", "lon"), None, 1
+    while True:
+        whole = (2 * ring + 1) * size >= 360
+        near = F.sequence(F.lit(-ring), F.lit(ring))
+        cells = open_points.select("*", *cell(F.col("lat"), F.col("lon")))
+        cells = cells.withColumn("_di", F.explode(near)).withColumn("_dj", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)) if whole else near))
+        cells = cells.withColumns({"_i": F.col("_i") + F.col("_di"), "_j": F.pmod(F.col("_j") + F.col("_dj"), F.lit(columns))})
+        rows = cells.join(stored, ["_i", "_j"]).withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")))
+        w = Window.partitionBy(point_id).orderBy("km", site_id)
+        best = rows.select(point_id, "lat", "lon", site_id, "km").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+        # The nearest that anything outside the rings can be.
+        across = F.asin(F.cos(F.radians("lat")) * math.sin(math.radians(min(90.0, ring * size)))) if not whole else F.lit(math.pi)
+        bound = EARTH_KM * F.least(F.lit(math.radians(ring * size)), across)
+        best = shared(best.withColumn("_bound", bound))
+        last = ring * size >= 180
+        done = best.groupBy(point_id).agg(F.count("*").alias("_n"), F.max("km").alias("_far"), F.first("_bound").alias("_b"))
+        done = done.where((F.col("_n") >= k) & (F.col("_far") < F.col("_b")) | F.lit(last)).select(point_id)
+        part = best.join(done, point_id, "left_semi").select(point_id, "place", site_id, "km")
+        found = part if found is None else found.unionByName(part)
+        open_points = shared(open_points.join(done, point_id, "left_anti"))
+        if last or open_points.isEmpty():
+            return found
+        ring *= 2
 
 
 def in_box(lat: Column, lon: Column, south: float, north: float, west: float, east: float) -> Column:

@@ -79,54 +79,73 @@ def barrier_exits(bars: DataFrame, entries: DataFrame, stop: float, take: float,
     return out.select("symbol", F.col("entry_date").alias("date"), F.col("x.k").alias("bars_held"), F.col("x.reason").alias("reason"), (F.col("x.px") / F.col("entry") - 1).alias("ret"))
 
 
-def low_volatility_days(weeks: DataFrame, days: DataFrame, n: int, lookback: int, q: float, after: int) -> DataFrame:
-    """Days up to ``after`` days after a week whose range and bandwidth were
-    both in the lowest ``q`` of the ``lookback`` weeks before it."""
-    s = Ordered(["symbol"], ["week_end"])
-    rows = weeks.withColumn("tr", true_range(s))
-    sma = s.mean("close", n)
-    rows = rows.withColumns({"ratio": s.mean("tr", n) / sma, "bandwidth": 4 * s.std("close", n, ddof=0) / sma})
-    calm = (F.col("ratio") <= s.quantile_before("ratio", q, lookback, 10)) & (F.col("bandwidth") <= s.quantile_before("bandwidth", q, lookback, 10))
-    flagged = rows.withColumn("calm", calm).where("calm").select("symbol", "week_end")
-    # Each flag covers a few days: listing them makes the range join an equi-join.
-    open_days = flagged.select("symbol", F.explode(F.sequence(F.date_add("week_end", 1), F.date_add("week_end", after))).alias("date"))
-    return days.join(open_days, ["symbol", "date"], "left_semi")
+def calm(rows: DataFrame, by: list[str], order: list[str], n: int, lookback: int, q: float) -> DataFrame:
+    """Rows on which the smoothed true range or the bandwidth ranks in the lowest
+    ``q`` of the ``lookback`` rows up to it."""
+    s = Ordered(by, order)
+    rows = ewms(rows.withColumn("_tr", true_range(s)), by, order, [("_atr", "_tr", 1.0 / n, n)])
+    rows = rows.withColumn("_bbw", 4 * s.std("close", n, ddof=0) / s.mean("close", n))
+    least = max(5, lookback // 5)
+    low = F.least(s.rank_last("_atr", lookback, least), s.rank_last("_bbw", lookback, least))
+    return rows.withColumn("_low", low).where(F.col("_low") <= q)
+
+
+def low_volatility_days(days: DataFrame, n: int, weeks: tuple[int, float], daily: tuple[int, float], after: int) -> DataFrame:
+    """Calm days in the ``after`` + 1 days that follow a calm week; ``weeks`` and
+    ``daily`` are the rows looked back on and the share of them."""
+    flagged = calm(weekly(days), ["symbol"], ["week_end"], n, *weeks)
+    # Each flag covers a bounded number of days: listing them makes the range
+    # join an equi-join.
+    open_days = flagged.select("symbol", F.explode(F.sequence(F.date_add("week_end", 1), F.date_add("week_end", after + 1))).alias("date")).distinct()
+    return calm(days, ["symbol"], ["date"], n, *daily).join(open_days, ["symbol", "date"], "left_semi")
 
 
 def zigzag(bars: DataFrame, reversal: float) -> DataFrame:
-    """Swing points that a move of ``reversal`` or more confirms. True
-    sequential state: one function call a symbol, on its bars in order."""
+    """Swing points that a move of ``reversal`` or more confirms. A bar that sets
+    an extreme does not confirm it; before the first swing a low is looked for
+    first. True sequential state: one function call a symbol, on its bars."""
 
     def swings(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        out, direction = [], 0
-        top = low = None
-        for row in pdf.itertuples(index=False):
-            if top is None or row.high > top[1]:
-                top = (row.date, row.high)
-                if direction > 0:
-                    low = (row.date, row.low)
-            if low is None or row.low < low[1]:
-                low = (row.date, row.low)
-                if direction < 0:
-                    top = (row.date, row.high)
-            if direction >= 0 and row.low <= top[1] * (1 - reversal):
-                out.append((row.symbol, *top, "high"))
-                direction, low, top = -1, (row.date, row.low), (row.date, row.high)
-            elif direction <= 0 and row.high >= low[1] * (1 + reversal):
-                out.append((row.symbol, *low, "low"))
-                direction, top, low = 1, (row.date, row.high), (row.date, row.low)
-        return pd.DataFrame(out, columns=["symbol", "date", "price", "kind"])
-
-    return bars.select("symbol", "date", "high", "low").groupBy("symbol").applyInPandas(swings, "symbol string, date date, price double, kind string")
-
-
-def contractions(swings: DataFrame) -> DataFrame:
-    """High-to-next-low legs with their drop; ``valid`` if the last three drops
-    shrink and no later low is under the first of them."""
-    w = Window.partitionBy("symbol").orderBy("date")
-    legs = swings.withColumns({"low_date": F.lead("date").over(w), "low": F.lead("price").over(w), "next_kind": F.lead("kind").over(w)})
-    legs = legs.where("kind = 'high' and next_kind = 'low'").withColumn("drop", 1 - F.col("low") / F.col("price"))
-    d1, d2 = F.lag("drop", 1).over(w), F.lag("drop", 2).over(w)
-    valid = (F.col("drop") < d1) & (d1 < d2) & (F.least("low", F.lag("low", 1).over(w)) >= F.lag("low", 2).over(w))
-    return legs.select("symbol", F.col("date").alias("high_date"), F.col("price").alias("high"), "low_date", "low", F.round("drop", 6).alias("drop"), F.coalesce(valid, F.lit(False)).alias("valid"))
+        pdf = pdf.sort_values("t")
+        highs, lows, out, trend = pdf["high"].tolist(), pdf["low"].tolist(), [], 0
+        top = bottom = 0  # bars of the extremes
+        for i in range(1, len(pdf)):
+            higher, lower = highs[i] > highs[top], lows[i] < lows[bottom]
+            if trend == 0:
+                top, bottom = (i if higher else top), (i if lower else bottom)
+            rose = highs[i] - lows[bottom] >= reversal * lows[bottom] and bottom < i
+            fell = highs[top] - lows[i] >= reversal * highs[top] and top < i
+            if (trend == 0 or (trend < 0 and not lower)) and rose:
+                out.append((bottom, lows[bottom], "low"))
+                trend, top = 1, i
+            elif (trend == 0 or (trend > 0 and not higher)) and fell:
+                out.append((top, highs[top], "high"))
+                trend, bottom = -1, i
+            elif trend > 0 and higher:
+                top = i
+            elif trend < 0 and lower:
+                bottom = i
+        at = [k for k, _, _ in out]
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "date": pdf["date"].iloc[at].tolist(), "t": pdf["t"].iloc[at].tolist(), "price": [x for _, x, _ in out], "kind": [x for _, _, x in out]})
+
+    return bars.select("symbol", "date", "t", "high", "low").groupBy("symbol").applyInPandas(swings, "symbol string, date date, t long, price double, kind string")
+
+
+def contractions(swings: DataFrame, min_drop: float, max_drop: float, min_bars: int, need: int) -> DataFrame:
+    """Legs from a high to the next low, without a high between, at least
+    ``min_bars`` long and of a drop within bounds; ``valid`` if the last ``need``
+    drops shrink and no later low of theirs is at or under the first."""
+    w = Window.partitionBy("symbol").orderBy("t")
+    later = w.rangeBetween(1, Window.unboundedFollowing)
+    low = F.min(F.when(F.col("kind") == "low", F.struct("t", "date", "price"))).over(later)
+    high = F.min(F.when(F.col("kind") == "high", F.col("t"))).over(later)
+    legs = swings.withColumns({"low": low, "next": high}).where("kind = 'high' and low is not null and (next is null or next >= low.t)")
+    legs = legs.withColumn("drop", (F.col("price") - F.col("low.price")) / F.col("price"))
+    legs = legs.where((F.col("low.t") - F.col("t") >= min_bars) & F.col("drop").between(min_drop, max_drop))
+    back = range(need - 1)
+    shrink = [F.lag("drop", k + 1).over(w) > (F.lag("drop", k).over(w) if k else F.col("drop")) for k in back]
+    above = [(F.lag("low.price", k).over(w) if k else F.col("low.price")) > F.lag("low.price", need - 1).over(w) for k in back]
+    valid = F.lit(True)
+    for test in [*shrink, *above]:
+        valid = valid & test
+    return legs.select("symbol", F.col("date").alias("high_date"), F.col("price").alias("high"), F.col("low.date").alias("low_date"), F.col("low.price").alias("low"), "drop", F.coalesce(valid, F.lit(False)).alias("valid"))

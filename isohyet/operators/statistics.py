@@ -48,11 +48,6 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return out.where(ok, None)
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
-
-
 def trend(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Slope, intercept, r, n of a least-squares line, and t of the slope."""
     out = df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"), F.regr_count(F.col(y), F.col(x)).alias("n"))
@@ -88,12 +83,14 @@ def weighted_mean(x: str | Column, w: str | Column) -> Column:
     return F.try_divide(F.sum(x * w), F.sum(F.when(known, w)))
 
 
-def weighted_corr(x: str, y: str, w: str) -> Column:
-    n, mx, my = F.sum(w), F.sum(F.col(x) * F.col(w)), F.sum(F.col(y) * F.col(w))
-    cov = F.sum(F.col(x) * F.col(y) * F.col(w)) / n - mx * my / (n * n)
-    vx = F.sum(F.col(x) * F.col(x) * F.col(w)) / n - F.pow(mx / n, 2)
-    vy = F.sum(F.col(y) * F.col(y) * F.col(w)) / n - F.pow(my / n, 2)
-    return F.try_divide(cov, F.sqrt(vx * vy))
+def weighted_corr(df: DataFrame, by: Sequence[str], x: str, y: str, w: str, name: str) -> DataFrame:
+    """Weighted correlation of each group. Values are taken from their weighted
+    mean first: raw sums of products would cancel where means are large."""
+    over = Window.partitionBy(*by)
+    mean = lambda c: F.sum(F.col(c) * F.col(w)).over(over) / F.sum(w).over(over)
+    rows = df.withColumns({"_dx": F.col(x) - mean(x), "_dy": F.col(y) - mean(y)})
+    dot = lambda a, b: F.sum(F.col(a) * F.col(b) * F.col(w))
+    return rows.groupBy(*by).agg(F.try_divide(dot("_dx", "_dy"), F.sqrt(dot("_dx", "_dx") * dot("_dy", "_dy"))).alias(name))
 
 
 def average_rank(value: str, by: Sequence[str]) -> Column:
@@ -102,11 +99,11 @@ def average_rank(value: str, by: Sequence[str]) -> Column:
 
 
 def weighted_quantile(df: DataFrame, by: Sequence[str], value: str, weight: str, q: float) -> DataFrame:
-    """Linear interpolation of the value at cumulative weight ``q``, where each
-    value stands at the middle of its weight."""
+    """Linear interpolation of the value at ``q`` of the cumulative share of
+    weight, the least value below the first share, the greatest above the last."""
     w = Window.partitionBy(*by).orderBy(value, weight)
     total = F.sum(weight).over(Window.partitionBy(*by))
-    rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).withColumn("p", (F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight) / 2) / total)
+    rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).withColumn("p", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) / total)
     rows = rows.withColumns({"p0": F.lag("p").over(w), "v0": F.lag(value).over(w)})
     at = F.when(F.col("p0").isNull(), F.col(value)).otherwise(F.col("v0") + (F.col(value) - F.col("v0")) * F.try_divide(q - F.col("p0"), F.col("p") - F.col("p0")))
     inside = F.min_by(at, F.struct("p", value)).alias("_a")

@@ -93,10 +93,13 @@ def weighted_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _pair(spark, sf_dir)
     k = k.withColumns({"rx": st.average_rank("x", ["year"]), "ry": st.average_rank("y", ["year"])})
     eff = F.sum("w") * F.sum("w") / F.sum(F.col("w") * F.col("w"))
-    return k.groupBy("year").agg(r(st.weighted_corr("x", "y", "w"), 5).alias("pearson"), r(st.weighted_corr("rx", "ry", "w"), 5).alias("spearman"), r(eff, 4).alias("n_eff"))
+    out = k.groupBy("year").agg(r(eff, 4).alias("n_eff"))
+    for x, y, name in (("x", "y", "pearson"), ("rx", "ry", "spearman")):
+        out = out.join(st.weighted_corr(k, ["year"], x, y, "w", name).withColumn(name, r(name, 5)), "year")
+    return out
 
 
-@query(f"""with {CELL_YEAR}, x as (select year, value, cos(radians(lat * 10.0)) as w from cells), p as (select year, value, (sum(w) over (partition by year order by value, w rows unbounded preceding) - w / 2) / sum(w) over (partition by year) as p, w from x),
+@query(f"""with {CELL_YEAR}, x as (select year, value, cos(radians(lat * 10.0)) as w from cells), p as (select year, value, sum(w) over (partition by year order by value, w rows unbounded preceding) / sum(w) over (partition by year) as p, w from x),
 q as (select *, lag(p) over (partition by year order by value, w) as p0, lag(value) over (partition by year order by value, w) as v0 from p)
 select year, round(min(struct_pack(p := p, v := case when p0 is null then value else v0 + (value - v0) * (0.75 - p0) / (p - p0) end)).v, 4) as q75 from q where p >= 0.75 group by 1""")
 def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,13 +191,13 @@ def lanczos_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly(spark, sf_dir).select("month", r(band, 4).alias("band")).dropna()
 
 
-@query(f"""with {GRID}, y as (select lat, lon, avg(value) as v from grid group by 1, 2), z as (select * from y where lon in (select lon from y group by 1 having count(*) = 12)), t as (select unnest([0.0, 1.5, 3.25, 7.75, 11.0, 15.0]) as x)
-select lon, cast(x as double) as x, round(case when x <= 0 then a0.v when x >= 11 then a11.v else a.v + (b.v - a.v) * (x - floor(x)) end, 4) as v from t cross join (select distinct lon from z) l left join z a using (lon) left join z b using (lon) left join z a0 using (lon) left join z a11 using (lon)
-where a.lat = least(floor(x), 10) and b.lat = least(floor(x), 10) + 1 and a0.lat = 0 and a11.lat = 11""")
+@query(f"""with {GRID}, z as (select lat, lon, avg(value) as v from grid group by 1, 2), t as (select unnest([0.0, 1.5, 3.25, 7.75, 11.0, 15.0]) as x), q as (select lon, x, min(lat) as lo, max(lat) as hi from z, t group by 1, 2),
+c as (select lon, x, least(greatest(x, lo), hi) as pos from q), n as (select c.lon, c.x, c.pos, max(z.lat) filter (z.lat <= c.pos) as i, min(z.lat) filter (z.lat >= c.pos) as j from c join z on z.lon = c.lon group by 1, 2, 3)
+select lon, cast(x as double) as x, round(case when i = j then a.v else a.v + (b.v - a.v) * (pos - i) / (j - i) end, 4) as v from n join z a using (lon) join z b using (lon) where a.lat = i and b.lat = j""")
 def interp1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values at given latitudes, clamped at the ends, of complete columns."""
+    """Values at given latitudes, clamped at the ends of each column; where a
+    latitude is missing its neighbours count."""
     z = grid(spark, sf_dir).groupBy("lat", "lon").agg(F.avg("value").alias("v"))
-    z = z.withColumn("full", F.count("*").over(Window.partitionBy("lon"))).where("full = 12")
     s = Ordered(["lon"], ["lat"])
     legs = z.select("lon", "lat", "v", s.lag("lat", -1).alias("lat1"), s.lag("v", -1).alias("v1"), F.min("lat").over(Window.partitionBy("lon")).alias("lo"), F.max("lat").over(Window.partitionBy("lon")).alias("hi"))
     legs = legs.withColumn("x", F.explode(F.array(*map(F.lit, [0.0, 1.5, 3.25, 7.75, 11.0, 15.0]))))

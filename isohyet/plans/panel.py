@@ -232,28 +232,53 @@ def group_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir).select("symbol", "date", r(z, 4).alias("z"), r(scaled).alias("scaled"))
 
 
-@query(f"""with {BARS}, {WEEKLY}, x as (select *, row_number() over (partition by symbol order by week_end) as t,
- greatest(high - low, abs(high - lag(close) over (partition by symbol order by week_end)), abs(low - lag(close) over (partition by symbol order by week_end))) as tr from weekly),
-y as (select symbol, week_end, close, case when count(close) over w >= 10 then avg(close) over w end as sma, case when count(tr) over w >= 10 then avg(tr) over w end as atr, case when count(close) over w >= 10 then stddev_pop(close) over w end as sd from x window w as (partition by symbol order by week_end rows between 9 preceding and current row)),
-z as (select *, atr / sma as ratio, 4 * sd / sma as bandwidth from y),
-q as (select *, coalesce(ratio <= case when count(ratio) over w >= 10 then quantile_cont(ratio, 0.3) over w end and bandwidth <= case when count(bandwidth) over w >= 10 then quantile_cont(bandwidth, 0.3) over w end, false) as calm from z window w as (partition by symbol order by week_end rows between 52 preceding and 1 preceding)),
-f as (select * from q where calm)
-select distinct b.symbol, b.date, b.close from bars b join f on b.symbol = f.symbol and b.date > f.week_end and b.date <= f.week_end + 7""")
+def calm_sql(rows: str, date: str, n: int, lookback: int, q: float, out: str) -> str:
+    """Recursive SQL of ``market.calm`` over ``rows`` (symbol, ``date``, t)."""
+    w, least = f"partition by symbol order by {date}", max(5, lookback // 5)
+    rank = lambda c: f"case when len(l_{c}) >= {least} then (len(list_filter(l_{c}, lambda v: v < l_{c}[len(l_{c})])) + (len(list_filter(l_{c}, lambda v: v = l_{c}[len(l_{c})])) + 1) / 2.0) / len(l_{c}) end"
+    alpha = f"(1.0::double / {n})"
+    return f"""{out}_tr as (select *, greatest(high - low, abs(high - lag(close) over ({w})), abs(low - lag(close) over ({w}))) as tr from {rows}),
+{out}_m as (select symbol, t, cast(tr as double) as m from {out}_tr where t = 1 union all select x.symbol, x.t, f.m * (1 - {alpha}) + x.tr * {alpha} from {out}_m f join {out}_tr x on x.symbol = f.symbol and x.t = f.t + 1),
+{out}_v as (select x.*, case when x.t >= {n} then m end as atr, case when x.t >= {n} then 4 * stddev_pop(close) over (partition by x.symbol order by x.t rows between {n - 1} preceding and current row) / avg(close) over (partition by x.symbol order by x.t rows between {n - 1} preceding and current row) end as bbw from {out}_tr x join {out}_m f on x.symbol = f.symbol and x.t = f.t),
+{out}_l as (select symbol, {date}, list(atr) filter (atr is not null) over k as l_atr, list(bbw) filter (bbw is not null) over k as l_bbw from {out}_v window k as (partition by symbol order by t rows between {lookback - 1} preceding and current row)),
+{out} as (select symbol, {date} from {out}_l where least({rank("atr")}, {rank("bbw")}) <= {q})"""
+
+
+@query(f"""with recursive {BARS}, {WEEKLY}, weeks as (select *, row_number() over (partition by symbol order by week_end) as t from weekly), {calm_sql("weeks", "week_end", 20, 52, 0.35, "cw")}, {calm_sql("bars", "date", 20, 252, 0.2, "cd")}
+select symbol, date, close from bars join cd using (symbol, date) where exists (select 1 from cw where cw.symbol = bars.symbol and bars.date between cw.week_end + 1 and cw.week_end + 41)""")
 def low_volatility_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days in the week after one in which both range and bandwidth were low."""
-    rows = bars(spark, sf_dir)
-    return market.low_volatility_days(market.weekly(rows), rows, 10, 52, 0.3, 7).select("symbol", "date", "close")
+    """Calm days in the weeks after a calm week."""
+    return market.low_volatility_days(bars(spark, sf_dir), 20, (52, 0.35), (252, 0.2), 40).select("symbol", "date", "close")
 
 
-@query()
+ZIGZAG = """zz as (
+  select symbol, t, 0 as trend, high as mx, t as mi, low as mn, t as ni, cast(null as bigint) as st, cast(null as double) as sp, cast(null as varchar) as kind from bars where t = 1
+  union all
+  select symbol, t, case when up then 1 when down then -1 else trend end,
+         case when up or (trend >= 0 and hi > mx) then hi else mx end, case when up or (trend >= 0 and hi > mx) then t else mi end,
+         case when down or (trend <= 0 and lo < mn) then lo else mn end, case when down or (trend <= 0 and lo < mn) then t else ni end,
+         case when up then ni2 when down then mi2 end, case when up then mn2 when down then mx2 end, case when up then 'low' when down then 'high' end
+  from (select *, (trend = 0 or (trend = -1 and not lo < mn)) and hi - mn2 >= 0.3 * mn2 and ni2 < t as up,
+               not ((trend = 0 or (trend = -1 and not lo < mn)) and hi - mn2 >= 0.3 * mn2 and ni2 < t) and (trend = 0 or (trend = 1 and not hi > mx)) and mx2 - lo >= 0.3 * mx2 and mi2 < t as down
+        from (select x.symbol, x.t, f.trend, f.mx, f.mi, f.mn, f.ni, x.high as hi, x.low as lo,
+                     case when f.trend = 0 and x.high > f.mx then x.high else f.mx end as mx2, case when f.trend = 0 and x.high > f.mx then x.t else f.mi end as mi2,
+                     case when f.trend = 0 and x.low < f.mn then x.low else f.mn end as mn2, case when f.trend = 0 and x.low < f.mn then x.t else f.ni end as ni2
+              from zz f join bars x on x.symbol = f.symbol and x.t = f.t + 1))),
+swings as (select zz.symbol, b.date, st as t, sp as price, kind from zz join bars b on b.symbol = zz.symbol and b.t = st where kind is not null)"""
+
+
+@query(f"""with recursive {BARS}, {ZIGZAG} select * from swings""")
 def zigzag_swings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.zigzag(bars(spark, sf_dir), 0.3)
 
 
-@query()
+@query(f"""with recursive {BARS}, {ZIGZAG}, h as (select s.*, (select min(struct_pack(t := l.t, d := l.date, p := l.price)) from swings l where l.symbol = s.symbol and l.kind = 'low' and l.t > s.t) as low, (select min(x.t) from swings x where x.symbol = s.symbol and x.kind = 'high' and x.t > s.t) as nxt from swings s where kind = 'high'),
+legs as (select symbol, t, date as high_date, price as high, low.d as low_date, low.p as low, (price - low.p) / price as dr from h where low is not null and (nxt is null or nxt >= low.t) and low.t - t >= 1 and (price - low.p) / price between 0.03 and 0.99)
+select symbol, high_date, high, low_date, low, round(dr, 6) as drop, coalesce(lag(dr) over w > dr and lag(dr, 2) over w > lag(dr) over w and low > lag(low, 2) over w and lag(low) over w > lag(low, 2) over w, false) as valid from legs window w as (partition by symbol order by t)""")
 def vcp_contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contractions between swings, and whether the last three shrink."""
-    return market.contractions(market.zigzag(bars(spark, sf_dir), 0.3))
+    """Contractions between swings, and whether the last three shrink. Bounds are
+    wide here, as the prices of line items jump."""
+    return market.contractions(market.zigzag(bars(spark, sf_dir), 0.3), 0.03, 0.99, 1, 3).withColumn("drop", r("drop"))
 
 
 BREAKOUTS = f"""x as (select *, case when count(high) over p >= 20 then max(high) over p end as pivot_high, case when count(volume) over v >= 20 then avg(volume) over v end as mv from bars window p as ({W} rows between 20 preceding and 1 preceding), v as ({W} rows between 19 preceding and current row))"""

@@ -86,9 +86,9 @@ def semi_join_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(big, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("select c.c_custkey, c.c_name from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)")
+@query("select c.c_custkey, c.c_name from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and year(o.o_orderdate) = 1996)")
 def anti_join_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where(F.year("o_orderdate") == 1996).select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query(f"""with {DAILY}, a as (select date, n as click from daily where event_type = 'click'), b as (select date, n as view_ from daily where event_type = 'view' and n % 2 = 0), c as (select date, n as error from daily where event_type = 'error')

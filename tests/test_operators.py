@@ -136,6 +136,54 @@ def test_zigzag_and_barriers(spark):
     assert swings == [(10.0, "low"), (13.0, "high"), (8.0, "low")]
     out = market.barrier_exits(bars, bars.where("t in (1, 3, 5)"), 0.2, 0.3, 4).orderBy("date").collect()
     assert [(r.bars_held, r.reason) for r in out] == [(2, "take"), (2, "stop"), (3, "take")]
+    # A bar that sets an extreme does not confirm it, and lows come first.
+    jumps = [(10, 10), (20, 10), (21, 20)]
+    bars = spark.createDataFrame([("s", date(2024, 1, i + 1), float(h), float(low), i + 1) for i, (h, low) in enumerate(jumps)], "symbol string, date date, high double, low double, t int")
+    assert [(r.t, r.price, r.kind) for r in market.zigzag(bars, 1 / 3).collect()] == [(1, 10.0, "low")]
+
+
+def test_trend_signal(spark):
+    """Rows with a known answer: gap, gap before, threshold, signal, and the
+    position that follows the target by bands of a tenth."""
+    known = [(3.513333, 2.826667, -8.006667, 1), (5.763333, 3.513333, -8.006667, 1), (-6.916667, -6.653333, -3.7, -1), (-7.016667, -6.916667, -3.930667, -1), (-5.0, -6.0, -3.7, 0), (1.0, 1.0, 0.0, -1), (1.0, 0.0, None, 0)]
+    d = spark.createDataFrame(known, "gap double, before double, thr double, want int")
+    assert d.where(backtest.trend_signal(F.col("gap"), F.col("before"), F.col("thr")) != F.col("want")).count() == 0
+    path = spark.createDataFrame([("a", 1, 0.96, 0.1), ("a", 2, 0.873, 0.1), ("a", 3, 0.85, 0.1), ("a", 4, 0.8, 0.1), ("b", 1, 0.0, 0.1)], "k string, t int, target double, band double")
+    got = [(r.k, r.t, r.position) for r in backtest.band_hysteresis(path, ["k"], "t", "target", "band").orderBy("k", "t").collect()]
+    assert got == [("a", 1, 0.96), ("a", 2, 0.96), ("a", 3, 0.85), ("a", 4, 0.85), ("b", 1, 0.0)]
+
+
+def test_ewm_is_linear(spark):
+    """Ten times the series takes about ten times as long, not a hundred."""
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        df = spark.range(n).select(F.lit("a").alias("k"), "id", F.rand(1).alias("v"))
+        began = time.perf_counter()
+        assert ewm(df, ["k"], ["id"], "v", 0.1, "m").agg(F.max("m")).first()[0] < 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * max(took[0], 0.2)
+
+
+def test_nearest_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pts = [(i, float(a), float(b)) for i, (a, b) in enumerate(np.c_[rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60)])] + [(60, 89.9, 10.0), (61, 0.0, 179.99)]
+    sites = [(i, float(a), float(b)) for i, (a, b) in enumerate(np.c_[rng.uniform(-90, 90, 300), rng.uniform(-180, 180, 300)])]
+    km = lambda a, b, c, d: 2 * 6371.0088 * np.arcsin(np.sqrt(np.sin(np.radians(c - a) / 2) ** 2 + np.cos(np.radians(a)) * np.cos(np.radians(c)) * np.sin(np.radians(d - b) / 2) ** 2))
+    want = {(p, k + 1): s for p, a, b in pts for k, (_, s) in enumerate(sorted((km(a, b, c, d), s) for s, c, d in sites)[:3])}
+    got = joins.nearest(spark.createDataFrame(pts, "p long, lat double, lon double"), spark.createDataFrame(sites, "s long, slat double, slon double"), "p", "s", 3)
+    assert {(r.p, r.place): r.s for r in got.collect()} == want
+    few = joins.nearest(spark.createDataFrame(pts, "p long, lat double, lon double"), spark.createDataFrame(sites[:2], "s long, slat double, slon double"), "p", "s", 3)
+    assert few.count() == 2 * len(pts)
+
+
+def test_weighted_statistics(spark):
+    d = spark.createDataFrame([("a", 1e9 + i, 1e9 + i, 1.0 + i) for i in range(5)], "k string, x double, y double, w double")
+    assert statistics.weighted_corr(d, ["k"], "x", "y", "w", "r").first().r == pytest.approx(1.0)
+    q = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 1.0), ("a", 3.0, 2.0)], "k string, v double, w double")
+    for at in (0.1, 0.25, 0.4, 0.6, 1.0):
+        assert statistics.weighted_quantile(q, ["k"], "v", "w", at).first()["quantile"] == pytest.approx(np.interp(at, [0.25, 0.5, 1.0], [1, 2, 3]))
 
 
 def test_frames(spark):
@@ -232,5 +280,5 @@ def test_exits_of_all_breakouts(spark):
 
 def test_open_exits_close_at_the_last_bar(spark):
     bars = spark.createDataFrame([("a", i, 10.0, 10.0 + i / 10, 9.9, 10.0 + i / 10) for i in range(1, 7)], "symbol string, t int, open double, high double, low double, close double").withColumn("date", F.col("t"))
-    out = market.barrier_exits(bars, bars.where("t in (1, 4, 6)"), 0.2, 0.3, 4, close_last=True).orderBy("date").collect()
+    out = market.barrier_exits(bars, bars.where("t in (1, 4, 6)"), 0.2, 0.3, 4).orderBy("date").collect()
     assert [(x.date, x.bars_held, x.reason, round(x.ret, 6)) for x in out] == [(1, 4, "time", round(10.5 / 10.1 - 1, 6)), (4, 2, "time", round(10.6 / 10.4 - 1, 6)), (6, 0, "time", 0.0)]
