@@ -38,6 +38,8 @@ def query(sql: str | None = None) -> Callable:
     """Registers a function under its name, with its SQL if there is one."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = tie_free(sql)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fields, panel, series, storms, strategies, streams, tables  # noqa: F401
+from . import atmosphere, fields, panel, series, storms, strategies, streams, tables  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -249,7 +249,7 @@ def test_targets_of_all_events(spark):
     from conftest import SF
     from isohyet.plans import catalogue
 
-    got = {r.event_id: (r.event_type, r.target, r.moved) for r in catalogue.QUERIES["stream_state_target_whole"](spark, SF).collect()}
+    got = {r.event_id: (r.event_type, r.target, r.moved) for r in catalogue.QUERIES["stream_state_target"](spark, SF).collect()}
     held, want = {}, {}
     for e in spark.read.parquet(f"{SF}/events.parquet").toPandas().sort_values(["ts", "event_id"]).itertuples():
         moved = e.event_type not in held or abs(e.value - held[e.event_type]) >= 20
@@ -263,7 +263,7 @@ def test_exits_of_all_breakouts(spark):
     from isohyet.plans import base, catalogue
 
     panel = {k: g.sort_values("t").reset_index(drop=True) for k, g in base.bars(spark, SF).toPandas().groupby("symbol")}
-    got = {(x.symbol, x.date): (x.bars_held, x.reason, x.ret) for x in catalogue.QUERIES["barrier_exit_breakouts"](spark, SF).collect()}
+    got = {(x.symbol, x.date): (x.bars_held, x.reason, x.ret) for x in catalogue.QUERIES["barrier_exit"](spark, SF).collect()}
     want = {}
     for s, d in catalogue.QUERIES["breakout_signals"](spark, SF).select("symbol", "date").collect():
         g = panel[s]
