@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import reachable
+from ..session import reachable, shared_root
 from ..streaming import incremental as inc
 from .base import query, r
 
 
 def place(spark: SparkSession) -> str:
-    """A new folder in the shared one (spark.checkpoint.dir) if it is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="isohyet-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared one (spark.checkpoint.dir)."""
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def finished(spark: SparkSession, result: DataFrame) -> DataFrame:
@@ -31,10 +29,18 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(spark, out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("mean").alias("mean"))
 
 
-@query("select user_id, event_type, count(*) - count(*) + 1 as seen from events group by 1, 2")
+@query("""select user_id, event_type, min(struct_pack(ts := ts, event_id := event_id)).event_id as event_id, min(ts) as ts from events group by 1, 2""")
 def stream_dedup_notify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = inc.notify_once(inc.event_stream(reachable(spark), sf_dir), ["user_id", "event_type"], "60 days")
-    return finished(spark, out).groupBy("user_id", "event_type").agg(F.count("*").alias("seen"))
+    """Which event of each key was told of, and when it was."""
+    out = inc.notify_once(inc.event_stream(reachable(spark), sf_dir), ["user_id", "event_type"], "7 days")
+    return finished(spark, out).select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""with x as (select event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - interval 1 day]) as start from events) select start, event_type, count(*) as n from x where start + interval 2 day <= (select max(ts) from events) - interval 1 hour group by 1, 2""")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of two days, one a day, that are closed."""
+    out = inc.sliding(inc.event_stream(reachable(spark), sf_dir), "2 days", "1 day", "1 hour")
+    return finished(spark, out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("""with e as (select event_type, list(event_id order by ts, event_id) as ids, list_reduce(list([value] order by ts, event_id), lambda a, x: list_append(a, case when abs(x[1] - a[len(a)]) >= 20 then x[1] else a[len(a)] end)) as targets from events group by 1),
@@ -44,6 +50,9 @@ def stream_state_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(spark, inc.last_target(inc.event_stream(reachable(spark), sf_dir), 20.0))
 
 
-@query()
+@query("""with s as (select user_id, ts, sum(case when ts - before <= interval 12 hour then 0 else 1 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as sess from (select *, lag(ts) over (partition by user_id order by ts, event_id) as before from events)),
+g as (select user_id, sess, min(ts) as start, max(ts) as last, count(*) as n from s group by 1, 2) select user_id, start, n from g where last + interval 12 hour <= (select max(ts) from events) - interval 1 hour""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finished(spark, inc.user_sessions(inc.event_stream(reachable(spark), sf_dir), "12 hours", "1 hour"))
+    """Sessions that are closed by event time."""
+    out = inc.user_sessions(inc.event_stream(reachable(spark), sf_dir), "12 hours", "1 hour")
+    return finished(spark, out).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")

@@ -33,8 +33,25 @@ def user_sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
 
 
 def notify_once(stream: DataFrame, keys: list[str], late: str) -> DataFrame:
-    """The first event of each key; keys are forgotten after ``late``."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    """The first event of each key, by time, then id. A key is forgotten ``late``
+    after its last event; its state is one flag, kept in the checkpoint."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    wait = int(pd.Timedelta(late).total_seconds() * 1000)
+
+    def first(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        if not state.exists:
+            yield pdf.head(1)
+        state.update((True,))
+        last = int(pdf["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + wait)
+
+    marked = stream.withWatermark("ts", late)
+    return marked.groupBy(*keys).applyInPandasWithState(first, stream.schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def last_target(stream: DataFrame, band: float) -> DataFrame:
