@@ -9,7 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from isohyet.operators import backtest, frames, joins, learning, market, physics, signal, statistics
+from isohyet.functions import air
+from isohyet.operators import backtest, frames, joins, learning, market, physics, signal, sphere, statistics
 from isohyet.operators.windows import Ordered, ewm, interpolated, islands, merged_intervals, ranked_pct
 
 S = Ordered(["k"], ["t"])
@@ -282,3 +283,37 @@ def test_open_exits_close_at_the_last_bar(spark):
     bars = spark.createDataFrame([("a", i, 10.0, 10.0 + i / 10, 9.9, 10.0 + i / 10) for i in range(1, 7)], "symbol string, t int, open double, high double, low double, close double").withColumn("date", F.col("t"))
     out = market.barrier_exits(bars, bars.where("t in (1, 4, 6)"), 0.2, 0.3, 4).orderBy("date").collect()
     assert [(x.date, x.bars_held, x.reason, round(x.ret, 6)) for x in out] == [(1, 4, "time", round(10.5 / 10.1 - 1, 6)), (4, 2, "time", round(10.6 / 10.4 - 1, 6)), (6, 0, "time", 0.0)]
+
+
+def test_sphere(spark):
+    """Known fields: solid rotation has no divergence, and twice its rate as
+    vorticity; a missing cell makes its neighbours null; smoothers keep sums."""
+    a, rate = 6.371e6, 1e-5
+    cells = [(i, j, -50.0 + 10 * i) for i in range(11) for j in range(36)]
+    rows = [(i, j, lat, rate * a * math.cos(math.radians(lat)), 0.0, float(i * 36 + j)) for i, j, lat in cells]
+    d = spark.createDataFrame(rows, "i int, j int, lat double, u double, v double, z double")
+    div, vor = sphere.divergence_vorticity(d, "u", "v", 10.0, 36)
+    got = d.select("i", "lat", div.alias("d"), vor.alias("z")).collect()
+    for r in got:
+        if r.i in (0, 10):
+            assert r.d is None and r.z is None
+        else:
+            assert abs(r.d) < 1e-18 and r.z == pytest.approx(2 * rate * math.sin(math.radians(r.lat)), abs=2e-7)
+    east, _ = sphere.differences(d.where("j <> 5"), "z", 10.0, 36)
+    assert {r.j for r in d.where("j <> 5").select("j", east.alias("e")).where("e is null").collect()} == {4, 6}
+    smooth = {(r.i, r.j): r.s for r in sphere.with_nine_point(d, "z", "s", 36).collect()}
+    assert smooth[5, 10] == pytest.approx(5 * 36 + 10) and smooth[0, 3] == 3.0
+    z = np.array([x[5] for x in rows]).reshape(11, 36)
+    k = np.exp(-np.arange(-4, 5) ** 2 / 2)
+    pad = np.pad(z, ((4, 4), (0, 0)), mode="symmetric")
+    want = sum(w * pad[n : n + 11] for n, w in enumerate(k / k.sum()))
+    for r in sphere.gaussian(d, "z", "i", 11, 1.0, ["i", "j"]).collect():
+        assert r.z == pytest.approx(want[r.i, r.j])
+
+
+def test_air(spark):
+    one = spark.range(1)
+    lcl, w = air.lcl_temperature(F.lit(300.0), F.lit(100.0)), air.mixing_ratio(F.lit(1000.0), F.lit(293.15), F.lit(100.0))
+    r = one.select(lcl.alias("lcl"), w.alias("w"), air.coriolis(F.lit(30.0)).alias("f"), air.true_wind(F.lit(3.0), F.lit(90.0), F.lit(0.0), F.lit(0.0))[1].alias("d"), air.direction_from(F.lit(0.0), F.lit(-5.0)).alias("n"), air.kelvin(F.lit(20.0), F.lit(18.0)).alias("k"), air.enso_phase(F.lit(-0.6)).alias("p")).first()
+    assert r.lcl == pytest.approx(300) and r.w == pytest.approx(0.01487, abs=2e-4) and r.f == pytest.approx(7.292e-5)
+    assert (r.d, r.n, r.k, r.p) == (pytest.approx(90), pytest.approx(0, abs=1e-9), 293.15, "cold")
