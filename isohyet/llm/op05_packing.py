@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ CAPACITY, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 22
 CACHED, CACHED_CHARS = 500_000, 48
+#: Texts that are cut and encoded at a time.
+GROUP_DOCS, GROUP_BYTES = 2048, 6 << 20
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Fixed value: how byte-level vocabularies cut a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -169,12 +172,16 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
 
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                new = [t + end for t in encode([t or "" for t in part.column("text").to_pylist()])]
-                ids += part.column("doc_id").to_pylist()
+            texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+            ends, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+            while at < batch.num_rows:
+                # Many texts at once have few different stretches for their size.
+                upto = max(at + 1, min(at + GROUP_DOCS, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP_BYTES, "right"))))
+                new = [t + end for t in encode(texts.slice(at, upto - at).to_pylist())]
+                ids += batch.column("doc_id").slice(at, upto - at).to_pylist()
                 tokens += new
                 held += sum(map(len, new)) // 4
+                at = upto
                 if len(tokens) >= BLOCK_DOCS or held >= BLOCK_TOKENS:
                     yield block()
         if tokens:
