@@ -42,6 +42,8 @@ CAPACITY, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 22
 CACHED, CACHED_CHARS = 500_000, 48
+#: White space, as Arrow's regular expressions have it.
+BLANK = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 #: Texts that are cut and encoded at a time.
 GROUP_DOCS, GROUP_BYTES = 2048, 6 << 20
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -91,7 +93,7 @@ def encoder(path: str | None):
         _encoders[path] = tok, stretch_encoder(path, tok), [{}, {}]
     tok, one, tables = _encoders[path]
     added = "".join(f"|{re.escape(t.content)}" for t in tok.get_added_tokens_decoder().values())
-    mixed, plain = re.compile(rf" \s|\s |\x00{added}"), re.compile(r" ?\S+").fullmatch
+    mixed, plain = rf" {BLANK}|{BLANK} |\x00{added}", re.compile(r" ?\S+").fullmatch
     feed = tok.encode("\n").ids[0]
 
     def fresh(parts: set[str]) -> dict[str, bytes]:
@@ -107,7 +109,7 @@ def encoder(path: str | None):
         return out
 
     def encode(texts: list[str]) -> list[bytes]:
-        whole = [bool(mixed.search(t)) for t in texts]
+        whole = pc.match_substring_regex(pa.array(texts, pa.large_string()), mixed).to_pylist()
         parts = [[] if w else t.replace(" ", "\x00 ").split("\x00") for t, w in zip(texts, whole, strict=True)]
         used, old = tables
         new = set().union(*parts).difference(used)
