@@ -22,6 +22,27 @@ def fuzzy_column(df: DataFrame, keywords: Sequence[str]) -> str | None:
     return min(hits, key=lambda c: (len(c), c)) if hits else None
 
 
+def resolve_name(names: Sequence[str], *wanted: str) -> str | None:
+    """The name that is one of ``wanted``, else one that contains it, then either
+    without regard to case, then without digits, spaces, lines and hyphens too."""
+    plain = lambda x: re.sub(r"[0-9\s_-]+", "", x.lower())
+    for form in (str, str.lower, plain):
+        keys = [k for w in wanted if (k := form(w))]
+        for fits in (lambda k, n: k == n, lambda k, n: k in n):
+            hit = next((n for k in keys for n in names if fits(k, form(n))), None)
+            if hit is not None:
+                return hit
+    return None
+
+
+def marked_column(df: DataFrame, name: str, others: Sequence[str], markers: Sequence[str]) -> str | None:
+    """Shortest column that has ``name`` (no further digit behind it), none of
+    ``others``, and one of ``markers``, without regard to case."""
+    own = re.compile(rf"{re.escape(name)}(?!\d)", re.I)
+    hits = [c for c in df.columns if own.search(c) and not any(o.lower() in c.lower() for o in others) and any(m.lower() in c.lower() for m in markers)]
+    return min(hits, key=lambda c: (len(c), c)) if hits else None
+
+
 def without_units(df: DataFrame) -> DataFrame:
     """Column names without a trailing parenthesis."""
     return df.toDF(*[re.sub(r"\s*[（(][^()（）]*[)）]\s*$", "", c) for c in df.columns])
@@ -78,6 +99,30 @@ def affine_unpack(raw: Column, scale: float, offset: float, fill: float) -> Colu
     return F.when(raw != fill, raw * scale + offset)
 
 
+def overall_flag(flags: Sequence[Column], order: Sequence[int] = (4, 3, 9), good: int = 1) -> Column:
+    """The first of ``order`` that any flag of the row is, else ``good``."""
+    row = F.array(*flags)
+    return F.coalesce(*[F.when(F.array_contains(row, f), f) for f in order], F.lit(good))
+
+
+def if_complete(value: Column, inputs: Sequence[Column]) -> Column:
+    """``value`` where none of the numbers ``inputs`` is null or NaN."""
+    whole = F.lit(True)
+    for x in inputs:
+        whole &= x.isNotNull() & ~F.isnan(x)
+    return F.when(whole, value)
+
+
+def spaced(low: Column, high: Column, n: int) -> Column:
+    """``n`` (two or more) evenly spaced values, both ends included."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: low + i * (high - low) / (n - 1))
+
+
+def labelled(code: Column, labels: dict, other: str | None = None) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, code), F.lit(other))
+
+
 def cyclic_point(df: DataFrame, lon: str = "lon") -> DataFrame:
     """Adds, at lon + 360, the rows of the smallest longitude."""
     first = df.groupBy().agg(F.min(lon).alias(lon))

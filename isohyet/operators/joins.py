@@ -65,6 +65,16 @@ def overlaps(a: DataFrame, b: DataFrame, by: Sequence[str], days: int = 8) -> Da
     return pairs.where(F.col("_block") == block("start")).drop("_block")
 
 
+def pairs_within(pairs: DataFrame, windows: DataFrame, by: Sequence[str], days: int) -> DataFrame:
+    """Pairs of dates (first, last) of an entity that lie whole in a window
+    (start, stop), ends included, once a window. Windows are listed by the blocks
+    of ``days`` days that they touch; a pair is in the block of its first date."""
+    block = lambda d: F.floor(F.datediff(F.col(d), F.lit("1970-01-01").cast("date")) / days)
+    listed = windows.where("start <= stop").withColumn("_block", F.explode(F.sequence(block("start"), block("stop"))))
+    found = pairs.withColumn("_block", block("first")).join(listed, [*by, "_block"])
+    return found.where("first >= start and last <= stop").drop("_block")
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in km."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2

@@ -50,10 +50,25 @@ def wind_at_2m(u: Column, height: float = 10.0) -> Column:
     return u * (4.87 / F.log(F.lit(67.8 * height - 5.42)))
 
 
-def penman_monteith(rn: Column, t: Column, u2: Column, es: Column, ea: Column, gamma: float = 0.066) -> Column:
-    """Reference evapotranspiration, mm a day (net radiation in MJ/m2/day)."""
-    slope = 4098 * (0.6108 * F.exp(17.27 * t / (t + 237.3))) / F.pow(t + 237.3, 2)
-    return (0.408 * slope * rn + gamma * 900 / (t + 273) * u2 * (es - ea)) / (slope + gamma * (1 + 0.34 * u2))
+#: Megajoules a day of a watt; specific heat of air in MJ/(kg K) and
+#: latent heat of water in MJ/kg; by reference crop, factor of the wind above and below.
+DAY_MJ, SPECIFIC_HEAT, LATENT_HEAT = 0.0864, 1.004e-3, 2.45
+CROPS = {"grass": (900.0, 0.34), "alfalfa": (1600.0, 0.38)}
+
+
+def net_radiation(sensible: Column, latent: Column) -> Column:
+    """MJ/m2/day that leave as heat fluxes (W/m2, upwards)."""
+    return DAY_MJ * (sensible + latent)
+
+
+def penman_monteith(rn: Column, t: Column, u2: Column, pressure: Column, rh: Column, crop: str = "grass") -> tuple[Column, Column]:
+    """Reference evapotranspiration in mm a day, its radiation and its advection
+    part: MJ/m2/day, Celsius, m/s at two metres, Pa and per cent."""
+    above, below = CROPS[crop]
+    saturated = 0.6108 * F.exp(17.27 * t / (t + 237.3))
+    slope, gamma = 4098 * saturated / F.pow(t + 237.3, 2), SPECIFIC_HEAT * pressure / (1000 * LATENT_HEAT * 0.622)
+    whole = slope + gamma * (1 + below * u2)
+    return 0.408 * slope * rn / whole, gamma * above * u2 * (1 - rh / 100) * saturated / (t + 273) / whole
 
 
 def piecewise_weight(x: Column, low: float, high: float, top: float) -> Column:

@@ -317,3 +317,46 @@ def test_air(spark):
     r = one.select(lcl.alias("lcl"), w.alias("w"), air.coriolis(F.lit(30.0)).alias("f"), air.true_wind(F.lit(3.0), F.lit(90.0), F.lit(0.0), F.lit(0.0))[1].alias("d"), air.direction_from(F.lit(0.0), F.lit(-5.0)).alias("n"), air.kelvin(F.lit(20.0), F.lit(18.0)).alias("k"), air.enso_phase(F.lit(-0.6)).alias("p")).first()
     assert r.lcl == pytest.approx(300) and r.w == pytest.approx(0.01487, abs=2e-4) and r.f == pytest.approx(7.292e-5)
     assert (r.d, r.n, r.k, r.p) == (pytest.approx(90), pytest.approx(0, abs=1e-9), 293.15, "cold")
+
+
+def test_names_are_resolved_in_order(spark):
+    names = ["Tide Gauge 2", "tide", "Salt_01"]
+    assert frames.resolve_name(names, "tide") == "tide"
+    assert frames.resolve_name(names, "Gauge") == "Tide Gauge 2"
+    assert frames.resolve_name(names, "TIDE") == "tide"
+    assert frames.resolve_name(names, "salt-7") == "Salt_01"
+    assert frames.resolve_name(names, "wind") is None
+    assert frames.resolve_name(names, "12") is None and frames.resolve_name([], "tide") is None
+    df = spark.range(1).selectExpr("0 as month", "1 as `M2 balance yoy`", "1 as `M2 yoy`", "1 as `M1-M2 yoy`", "1 as `M12 yoy`")
+    assert frames.marked_column(df, "m2", ["m1"], ["YoY"]) == "M2 yoy"
+    assert frames.marked_column(df, "m1", ["m2"], ["yoy"]) is None
+
+
+def test_flags_guards_and_grids(spark):
+    df = spark.createDataFrame([(1, 9, 1.0, 2.0), (3, 9, None, 2.0), (4, 3, float("nan"), 2.0), (1, None, 3.0, 3.0)], "a int, b int, x double, y double")
+    row = df.select(frames.overall_flag([F.col("a"), F.col("b")]).alias("f"), frames.if_complete(F.col("y") + 1, [F.col("x"), F.col("y")]).alias("v"), frames.spaced(F.col("y"), F.lit(4.0), 3).alias("s")).collect()
+    assert [r.f for r in row] == [9, 3, 4, 1]
+    assert [r.v for r in row] == [3.0, None, None, 4.0]
+    assert row[0].s == [2.0, 3.0, 4.0]
+    assert [r.x for r in spark.createDataFrame([("a",), ("z",), (None,)], "c string").select(frames.labelled(F.col("c"), {"a": "first"}, "none").alias("x")).collect()] == ["first", "none", "none"]
+
+
+def test_pairs_within_windows_at_their_ends(spark):
+    day = lambda a, b, names: spark.createDataFrame([(1, *p) for p in zip(a, b, strict=True)], "k int, a string, b string").selectExpr("k", f"date(a) as {names[0]}", f"date(b) as {names[1]}")
+    pairs = day(["2020-01-01", "2020-01-02", "2020-03-01", "2020-02-29"], ["2020-01-05", None, "2020-03-02", "2020-03-02"], ("first", "last"))
+    windows = day(["2020-01-01", "2020-02-29", "2020-05-01"], ["2020-01-05", "2020-03-01", "2020-04-01"], ("start", "stop"))
+    for days in (1, 7, 400):
+        assert [str(r["first"]) for r in joins.pairs_within(pairs, windows, ["k"], days).collect()] == ["2020-01-01"]
+    assert joins.pairs_within(pairs.limit(0), windows, ["k"], 7).count() == 0
+
+
+def test_evapotranspiration_of_crops(spark):
+    args = [F.lit(x) for x in (12.0, 20.0, 2.0, 100000.0, 50.0)]
+    grass, alfalfa = physics.penman_monteith(*args), physics.penman_monteith(*args, crop="alfalfa")
+    got = spark.range(1).select(*grass, *alfalfa).first()
+    es = 0.6108 * math.exp(17.27 * 20 / 257.3)
+    slope, gamma = 4098 * es / 257.3**2, 1.004e-3 * 100000 / (1000 * 2.45 * 0.622)
+    for i, (above, below) in enumerate([(900, 0.34), (1600, 0.38)]):
+        whole = slope + gamma * (1 + below * 2)
+        assert got[2 * i] == pytest.approx(0.408 * slope * 12 / whole)
+        assert got[2 * i + 1] == pytest.approx(gamma * above * 2 * 0.5 * es / 293 / whole)
