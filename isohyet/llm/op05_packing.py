@@ -41,11 +41,11 @@ from .common import table
 CAPACITY, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 22
-CACHED, CACHED_CHARS = 500_000, 48
+CACHED, CACHED_CHARS = 200_000, 48
 #: White space, as Arrow's regular expressions have it.
 BLANK = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 #: Texts that are cut and encoded at a time.
-GROUP_DOCS, GROUP_BYTES = 2048, 6 << 20
+GROUP_DOCS, GROUP_BYTES = 1024, 2 << 20
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Fixed value: how byte-level vocabularies cut a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -172,6 +172,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
             held = 0
             return out
 
+        # A worker that ran other tasks before still holds what Arrow had for them.
+        pa.default_memory_pool().release_unused()
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
