@@ -79,20 +79,22 @@ def barrier_exits(bars: DataFrame, entries: DataFrame, stop: float, take: float,
     return out.select("symbol", F.col("entry_date").alias("date"), F.col("x.k").alias("bars_held"), F.col("x.reason").alias("reason"), (F.col("x.px") / F.col("entry") - 1).alias("ret"))
 
 
-def calm(rows: DataFrame, by: list[str], order: list[str], n: int, lookback: int, q: float) -> DataFrame:
-    """Rows on which the smoothed true range or the bandwidth ranks in the lowest
-    ``q`` of the ``lookback`` rows up to it."""
+def calm(rows: DataFrame, by: list[str], order: list[str], n: int, lookback: int, q: float, q_band: float | None = None) -> DataFrame:
+    """Rows on which the smoothed true range ranks in the lowest ``q``, or the
+    bandwidth in the lowest ``q_band`` (else ``q``, too), of the ``lookback`` rows
+    up to it."""
     s = Ordered(by, order)
     rows = ewms(rows.withColumn("_tr", true_range(s)), by, order, [("_atr", "_tr", 1.0 / n, n)])
     rows = rows.withColumn("_bbw", 4 * s.std("close", n, ddof=0) / s.mean("close", n))
     least = max(5, lookback // 5)
-    low = F.least(s.rank_last("_atr", lookback, least), s.rank_last("_bbw", lookback, least))
-    return rows.withColumn("_low", low).where(F.col("_low") <= q)
+    narrow = (F.col("_range") <= q) | (F.col("_band") <= (q if q_band is None else q_band))
+    return rows.withColumns({"_range": s.rank_last("_atr", lookback, least), "_band": s.rank_last("_bbw", lookback, least)}).where(narrow)
 
 
-def low_volatility_days(days: DataFrame, n: int, weeks: tuple[int, float], daily: tuple[int, float], after: int) -> DataFrame:
+def low_volatility_days(days: DataFrame, n: int, weeks: tuple[float, ...], daily: tuple[float, ...], after: int) -> DataFrame:
     """Calm days in the ``after`` + 1 days that follow a calm week; ``weeks`` and
-    ``daily`` are the rows looked back on and the share of them."""
+    ``daily`` are the rows looked back on and the share of them, or a share for
+    the range and one for the band."""
     flagged = calm(weekly(days), ["symbol"], ["week_end"], n, *weeks)
     # Each flag covers a bounded number of days: listing them makes the range
     # join an equi-join.
@@ -149,3 +151,15 @@ def contractions(swings: DataFrame, min_drop: float, max_drop: float, min_bars:
     for test in [*shrink, *above]:
         valid = valid & test
     return legs.select("symbol", F.col("date").alias("high_date"), F.col("price").alias("high"), F.col("low.date").alias("low_date"), F.col("low.price").alias("low"), "drop", F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
+def tight_contractions(legs: DataFrame, need: int, less: float, rise: float, last: float) -> DataFrame:
+    """``legs`` of :func:`contractions` with another ``valid``: of the last
+    ``need`` each drop is under the one before by more than ``less``, each low
+    over the one before by more than ``rise``, and the last drop is at most ``last``."""
+    w = Window.partitionBy("symbol").orderBy("high_date")
+    at = lambda c, k: F.lag(c, k).over(w) if k else F.col(c)
+    valid = F.col("drop") <= last
+    for k in range(need - 1):
+        valid &= (at("drop", k + 1) > at("drop", k) + less) & (at("low", k) - at("low", k + 1) > rise)
+    return legs.withColumn("valid", F.coalesce(valid, F.lit(False)))

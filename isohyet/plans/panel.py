@@ -232,7 +232,7 @@ def group_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir).select("symbol", "date", r(z, 4).alias("z"), r(scaled).alias("scaled"))
 
 
-def calm_sql(rows: str, date: str, n: int, lookback: int, q: float, out: str) -> str:
+def calm_sql(rows: str, date: str, n: int, lookback: int, q: float, out: str, q_band: float | None = None) -> str:
     """Recursive SQL of ``market.calm`` over ``rows`` (symbol, ``date``, t)."""
     w, least = f"partition by symbol order by {date}", max(5, lookback // 5)
     rank = lambda c: f"case when len(l_{c}) >= {least} then (len(list_filter(l_{c}, lambda v: v < l_{c}[len(l_{c})])) + (len(list_filter(l_{c}, lambda v: v = l_{c}[len(l_{c})])) + 1) / 2.0) / len(l_{c}) end"
@@ -241,7 +241,7 @@ def calm_sql(rows: str, date: str, n: int, lookback: int, q: float, out: str) ->
 {out}_m as (select symbol, t, cast(tr as double) as m from {out}_tr where t = 1 union all select x.symbol, x.t, f.m * (1 - {alpha}) + x.tr * {alpha} from {out}_m f join {out}_tr x on x.symbol = f.symbol and x.t = f.t + 1),
 {out}_v as (select x.*, case when x.t >= {n} then m end as atr, case when x.t >= {n} then 4 * stddev_pop(close) over (partition by x.symbol order by x.t rows between {n - 1} preceding and current row) / avg(close) over (partition by x.symbol order by x.t rows between {n - 1} preceding and current row) end as bbw from {out}_tr x join {out}_m f on x.symbol = f.symbol and x.t = f.t),
 {out}_l as (select symbol, {date}, list(atr) filter (atr is not null) over k as l_atr, list(bbw) filter (bbw is not null) over k as l_bbw from {out}_v window k as (partition by symbol order by t rows between {lookback - 1} preceding and current row)),
-{out} as (select symbol, {date} from {out}_l where least({rank("atr")}, {rank("bbw")}) <= {q})"""
+{out} as (select symbol, {date} from {out}_l where {rank("atr")} <= {q} or {rank("bbw")} <= {q if q_band is None else q_band})"""
 
 
 @query(f"""with recursive {BARS}, {WEEKLY}, weeks as (select *, row_number() over (partition by symbol order by week_end) as t from weekly), {calm_sql("weeks", "week_end", 20, 52, 0.35, "cw")}, {calm_sql("bars", "date", 20, 252, 0.2, "cd")}
@@ -251,6 +251,13 @@ def low_volatility_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.low_volatility_days(bars(spark, sf_dir), 20, (52, 0.35), (252, 0.2), 40).select("symbol", "date", "close")
 
 
+@query(f"""with recursive {BARS}, {WEEKLY}, weeks as (select *, row_number() over (partition by symbol order by week_end) as t from weekly), {calm_sql("weeks", "week_end", 20, 52, 0.3, "cw", 0.2)}, {calm_sql("bars", "date", 20, 126, 0.15, "cd", 0.1)}
+select symbol, date, close from bars join cd using (symbol, date) where exists (select 1 from cw where cw.symbol = bars.symbol and bars.date between cw.week_end + 1 and cw.week_end + 21)""")
+def low_volatility_either(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``low_volatility_screen``, with a share of its own for each measure."""
+    return market.low_volatility_days(bars(spark, sf_dir), 20, (52, 0.3, 0.2), (126, 0.15, 0.1), 20).select("symbol", "date", "close")
+
+
 ZIGZAG = """zz as (
   select symbol, t, 0 as trend, high as mx, t as mi, low as mn, t as ni, cast(null as bigint) as st, cast(null as double) as sp, cast(null as varchar) as kind from bars where t = 1
   union all
@@ -281,6 +288,15 @@ def vcp_contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.contractions(market.zigzag(bars(spark, sf_dir), 0.3), 0.03, 0.99, 1, 3).withColumn("drop", r("drop"))
 
 
+@query(f"""with recursive {BARS}, {ZIGZAG}, h as (select s.*, (select min(struct_pack(t := l.t, d := l.date, p := l.price)) from swings l where l.symbol = s.symbol and l.kind = 'low' and l.t > s.t) as low, (select min(x.t) from swings x where x.symbol = s.symbol and x.kind = 'high' and x.t > s.t) as nxt from swings s where kind = 'high'),
+legs as (select symbol, t, date as high_date, price as high, low.d as low_date, low.p as low, (price - low.p) / price as dr from h where low is not null and (nxt is null or nxt >= low.t) and low.t - t >= 1 and (price - low.p) / price between 0.03 and 0.99)
+select symbol, high_date, high, low_date, low, round(dr, 6) as drop, coalesce(dr <= 0.9 and lag(dr) over w > dr + 0.02 and low - lag(low) over w > 100, false) as valid from legs window w as (partition by symbol order by t)""")
+def vcp_tight_contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contractions whose drop shrinks and whose low rises by more than a margin."""
+    legs = market.contractions(market.zigzag(bars(spark, sf_dir), 0.3), 0.03, 0.99, 1, 2)
+    return market.tight_contractions(legs, 2, 0.02, 100.0, 0.9).withColumn("drop", r("drop"))
+
+
 BREAKOUTS = f"""x as (select *, case when count(high) over p >= 20 then max(high) over p end as pivot_high, case when count(volume) over v >= 20 then avg(volume) over v end as mv from bars window p as ({W} rows between 20 preceding and 1 preceding), v as ({W} rows between 19 preceding and current row))"""
 
 

@@ -153,6 +153,8 @@ def eof_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.leading_patterns(by_cell_year(spark, sf_dir), ["lat", "lon"], "year", "value", F.sqrt(F.cos(F.radians(F.col("lat") * 10.0))), 2)
 
 
-@query()
+@query(f"""with {FEATURES}, d as (select * from feat where x1 is not null and x2 is not null), m as (select avg(x1) as m1, avg(x2) as m2, stddev_samp(x1) as s1, stddev_samp(x2) as s2 from d where year < 1999),
+z as (select unit, year, y, (x1 - m1) / s1 as z1, (x2 - m2) / s2 as z2 from d cross join m), c as (select avg(y) as y0, var_pop(z1) + 0.1 / stddev_pop(y) as c11, var_pop(z2) + 0.1 / stddev_pop(y) as c22, covar_pop(z1, z2) as c12, covar_pop(z1, y) as c1, covar_pop(z2, y) as c2 from z where year < 1999)
+select unit, year, y, round(y0 + ((c22 * c1 - c12 * c2) * z1 + (c11 * c2 - c12 * c1) * z2) / (c11 * c22 - c12 * c12), 6) as prediction from z cross join c where year >= 1999""")
 def ridge_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.linear_predictions(features(spark, sf_dir).dropna(), ["x1", "x2"], "y", "year", 1999, 0.1, 0.0)
