@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_quality, op02_decontaminate, op03_html, op04_pii, op05_packing, op06_sharding, op07_toxicity, op08_language_model, op09_simhash, op10_licenses
+from . import op01_quality, op02_decontaminate, op03_html, op04_pii, op05_packing, op06_sharding, op07_toxicity, op08_language_model, op09_simhash, op10_licenses, op11_spelling, op12_language_id, op13_hard_negatives
 
 QUERIES = {
     "op1_quality_rules": op01_quality.op1_quality_rules,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_elias_fano_lm": op08_language_model.op8_elias_fano_lm,
     "op9_simhash_mih": op09_simhash.op9_simhash_mih,
     "op10_license_digests": op10_licenses.op10_license_digests,
+    "op11_spelling_variants": op11_spelling.op11_spelling_variants,
+    "op12_bloom_language_id": op12_language_id.op12_bloom_language_id,
+    "op13_distance_keys": op13_hard_negatives.op13_distance_keys,
 }
-ORACLES = {"op10_license_digests": op10_licenses.oracle()}
+ORACLES = {"op10_license_digests": op10_licenses.oracle(), "op13_distance_keys": op13_hard_negatives.ORACLE}
