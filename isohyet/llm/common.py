@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +74,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def give_back() -> None:
+    """Returns to the system what this Python worker still holds of the tasks
+    that it ran before: garbage, Arrow's pool, and the heap's free pages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, its lineage cut."""
     shared_dir(df.sparkSession)

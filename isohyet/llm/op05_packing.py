@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 
 CAPACITY, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -172,8 +172,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
             held = 0
             return out
 
-        # A worker that ran other tasks before still holds what Arrow had for them.
-        pa.default_memory_pool().release_unused()
+        give_back()
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
