@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.llm import op02_decontaminate, op04_pii, op05_packing, op07_toxicity, op09_simhash
@@ -32,6 +32,11 @@ TOXIC = 0.5
 MAX_BROADCAST_ROWS = 1_000_000
 
 
+def own(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, whatever signs their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the noisy-or model holds to be toxic.
 
@@ -40,7 +45,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels of both kinds every row stays."""
     model = op07_toxicity.train(docs, table(spark, sf_dir, "labels"))
     name = free_name(docs, "toxicity")
-    return op07_toxicity.score_toxicity(docs, model).where(F.col(name) < TOXIC).select(docs.columns)
+    return op07_toxicity.score_toxicity(docs, model).where(F.col(name) < TOXIC).select(*own(docs))
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -61,7 +66,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     input stays, and a row with a null id only if the whole group has none."""
     rows, name = _placed(docs)
     kept = checkpointed(op09_simhash.representatives(rows, name).withColumnRenamed("place", name))
-    return rows.join(small_or_shuffled(kept, MAX_BROADCAST_ROWS), name, "left_semi").select(docs.columns)
+    return rows.join(small_or_shuffled(kept, MAX_BROADCAST_ROWS), name, "left_semi").select(*own(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +78,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = op02_decontaminate.find_contamination(rows, table(spark, sf_dir, "benchmark"), place=name)
     dirty = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("place").alias(name))
     # Written once: counting it and joining it would search all texts twice.
-    return rows.join(small_or_shuffled(checkpointed(dirty), MAX_BROADCAST_ROWS), name, "left_anti").select(docs.columns)
+    return rows.join(small_or_shuffled(checkpointed(dirty), MAX_BROADCAST_ROWS), name, "left_anti").select(*own(docs))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +89,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = free_name(docs, "pii")
     rows = op04_pii.find_pii(docs)
     text = F.when(F.col("text").isNotNull(), op04_pii.masked(F.col("text"), F.col(name))).alias("text")
-    rows = rows.select(*[text if c == "text" else c for c in docs.columns])
+    rows = rows.select(*[text if n == "text" else c for n, c in zip(docs.columns, own(docs), strict=True)])
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
 
