@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     place, out = tmp_path_factory.mktemp("stages"), {}
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"place": F.lit(1), "toxicity": F.lit("kept"), "a.b": F.lit(2), "c`d e": F.lit(3)})
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"place": F.lit(1), "toxicity": F.lit("kept"), "a.b": F.lit(2), "c d": F.lit(3), "c`d": F.lit(4)})
     docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string"))).write.parquet(f"{place}/documents")
     out["documents"] = docs = spark.read.parquet(f"{place}/documents")
     for name, stage in cp.STAGES:
