@@ -43,9 +43,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no sentence and stays; rows with one text have one
     score and go or stay together; a null id is never learned from; without
     labels of both kinds every row stays."""
-    model = op07_toxicity.train(docs, table(spark, sf_dir, "labels"))
-    name = free_name(docs, "toxicity")
-    return op07_toxicity.score_toxicity(docs, model).where(F.col(name) < TOXIC).select(*own(docs))
+    # Rows that go through Python as a whole can't have dots or backticks there.
+    rows = docs.toDF(*[free_name(docs, f"column{i}") if set(c) & {".", "`"} else c for i, c in enumerate(docs.columns)])
+    model = op07_toxicity.train(rows, table(spark, sf_dir, "labels"))
+    name = free_name(rows, "toxicity")
+    return op07_toxicity.score_toxicity(rows, model).where(F.col(name) < TOXIC).select(rows.columns).toDF(*docs.columns)
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, str]:
