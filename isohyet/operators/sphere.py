@@ -72,3 +72,56 @@ def gaussian(df: DataFrame, value: str, axis: str, size: int, sigma: float, keys
     want = want.select(*[F.col(c).alias(f"_{c}") if c == axis else F.col(c) for c in keys], F.exp(-k * k / (2.0 * sigma * sigma)).alias("_g"), F.when(at < size, at).otherwise(2 * size - 1 - at).cast("int").alias(axis))
     out = want.join(df.select(*keys, value), list(keys)).groupBy(*[F.col(f"_{c}").alias(c) if c == axis else F.col(c) for c in keys])
     return out.agg((F.sum(F.col("_g") * F.col(value)) / F.sum("_g")).alias(value))
+
+
+def slope(value: str, axis: str, step: float, by: Sequence[str], columns: int | None = None) -> Column:
+    """Derivative along an axis in units of ``step`` a place: centred, one-sided
+    beside an end or a missing cell, null without a neighbour."""
+    ahead, behind = shifted(value, axis, 1, by, columns), shifted(value, axis, -1, by, columns)
+    places = ahead.isNotNull().cast("int") + behind.isNotNull().cast("int")
+    return F.try_divide(F.coalesce(ahead, F.col(value)) - F.coalesce(behind, F.col(value)), places * F.lit(step))
+
+
+def slope_up(value: str, height: str, by: Sequence[str], order: str) -> Column:
+    """Derivative along ``height`` between the rows above and below in ``order``,
+    one-sided at the ends."""
+    w = Window.partitionBy(*by).orderBy(order)
+    near = lambda c, fn: F.coalesce(fn(c).over(w), F.col(c))
+    return F.try_divide(near(value, F.lead) - near(value, F.lag), near(height, F.lead) - near(height, F.lag))
+
+
+#: Constants of the flux: gas constant, gravity, scale height, radius, as fixed values.
+GAS, FALL, SCALE_HEIGHT, RADIUS = 290.0, 9.80665, 8000.0, 6378388.0
+
+
+def wave_activity_flux(df: DataFrame, anomaly: str, u: str, v: str, temperature: str, step: float, columns: int, level: str = "level", pressure: str = "p", tropics: float = 10.0, westerly: float = 5.0) -> DataFrame:
+    """``df`` with fx, fy and fz, the flux of stationary wave activity on the
+    sphere: the products of first and second derivatives of the stream-function
+    of the height ``anomaly``, projected on the basic wind (u, v).
+
+    Rows have i, j, ``lat``, ``level`` (upwards) and ``pressure`` in hPa. Null in
+    the ``tropics``, where the basic wind is no westerly of the given strength,
+    and where stratification (from ``temperature``) is not stable. Three shuffles:
+    one an axis, whatever the number of derivatives."""
+    p, lat = F.col(pressure), F.radians("lat")
+    f = F.when(F.abs("lat") >= tropics, 4 * math.pi / 86400 * F.sin(lat))
+    rows = df.withColumns({"_f": f, "_psi": F.col(anomaly) * FALL / f, "_h": -SCALE_HEIGHT * F.log(p / 1000), "_theta": F.col(temperature) * F.pow(1000 / p, 0.286)})
+    turn, on = math.radians(step), [level]
+    rows = rows.withColumn("_x", slope("_psi", "j", turn, on, columns)).withColumn("_xx", slope("_x", "j", turn, on, columns))
+    rows = rows.withColumns({"_y": slope("_psi", "i", turn, on), "_xy": slope("_x", "i", turn, on)}).withColumn("_yy", slope("_y", "i", turn, on))
+    up = lambda c: slope_up(c, "_h", ["i", "j"], level)
+    rows = rows.withColumns({"_z": up("_psi"), "_xz": up("_x"), "_yz": up("_y"), "_tz": up("_theta")})
+    c = {k: F.col(f"_{k}") for k in ("psi", "x", "xx", "y", "xy", "yy", "z", "xz", "yz")}
+    xu, xv, yv = c["x"] * c["x"] - c["psi"] * c["xx"], c["x"] * c["y"] - c["psi"] * c["xy"], c["y"] * c["y"] - c["psi"] * c["yy"]
+    zu, zv = c["x"] * c["z"] - c["psi"] * c["xz"], c["y"] * c["z"] - c["psi"] * c["yz"]
+    stability = GAS * F.pow(p / 1000, 0.286) / SCALE_HEIGHT * F.col("_tz")
+    stable = F.when(stability > 0, stability)
+    speed, cos, wind, cross = F.sqrt(F.col(u) * F.col(u) + F.col(v) * F.col(v)), F.cos(lat), F.col(u), F.col(v)
+    flat = p / 1000 / (2 * speed * RADIUS * RADIUS)
+    fluxes = {
+        "fx": flat * (wind / cos * xu + cross * xv),
+        "fy": flat * (wind * xv + cos * cross * yv),
+        "fz": F.try_divide(p / 1000 * F.col("_f") * F.col("_f") * (wind * zu + cos * cross * zv), 2 * speed * stable * RADIUS),
+    }
+    rows = rows.withColumns({k: F.when(F.col(u) >= westerly, x) for k, x in fluxes.items()})
+    return rows.drop("_f", "_h", "_theta", "_tz", *[f"_{k}" for k in c])
