@@ -101,34 +101,49 @@ def centred_day_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.where(F.col("doy").between(158, 265)).groupBy("doy").agg(F.count("*").alias("n"), r(F.percentile("value", 0.9), 3).alias("threshold"))
 
 
-@query(f"""with {GRID}, x as (select lat, lon, value, case when month(month) between 5 and 9 then 'may_sep' when month(month) in (11, 12, 1, 2, 3) then 'nov_mar' end as season, cast(year(month) + case when month(month) >= 11 then 1 else 0 end as integer) as year from grid),
-s as (select lat, lon, year, sum(value) filter (season = 'may_sep') as warm, sum(value) filter (season = 'nov_mar') as cold, sum(value) as total from x where season is not null group by 1, 2, 3),
-m as (select lat, lon, avg(case when lat >= 6 then warm else cold end) as summer, avg(case when lat >= 6 then cold else warm end) as winter, avg(total) as total from s group by 1, 2)
-select lat, lon, round(summer, 2) as summer, round(winter, 2) as winter, coalesce(summer - winter > 300 and summer / total > 0.55, false) as monsoon, total < 150 as arid from m""")
+RAIN = "n * (20 + 140 * (lat % 4))"
+
+
+@query(f"""with {GRID}, y as (select month(month) as m, count(distinct year(month)) as years from grid group by 1), c as (select lat, lon, month(month) as m, sum({RAIN}) as rain from grid group by 1, 2, 3), d as (select lat, lon, m, rain / years as rain from c join y using (m)),
+s as (select lat, lon, coalesce(sum(rain) filter (m between 5 and 9), 0) as warm, coalesce(sum(rain) filter (m in (11, 12, 1, 2, 3)), 0) as cold, sum(rain) as annual from d group by 1, 2),
+h as (select lat, lon, annual, case when lat >= 6 then warm else cold end as summer, case when lat >= 6 then cold else warm end as winter from s)
+select lat, lon, round(summer, 2) as summer, round(summer - winter, 2) as difference, round(summer / annual, 5) as share, summer - winter > 300 and summer / annual > 0.55 as monsoon, summer < 150 as arid from h""")
 def hemisphere_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summer and winter sums of each hemisphere; a winter has the year in which
-    it ends. The area in which summers are wet."""
-    month = F.month("month")
-    warm, cold = month.between(5, 9), month.isin(11, 12, 1, 2, 3)
-    x = grid(spark, sf_dir).where(warm | cold).withColumn("year", F.year("month") + F.when(month >= 11, 1).otherwise(0))
-    s = x.groupBy(*CELL, "year").agg(F.sum(F.when(warm, F.col("value"))).alias("warm"), F.sum(F.when(cold, F.col("value"))).alias("cold"), F.sum("value").alias("total"))
+    """Monsoon and arid areas of a mean year: summers of each hemisphere that
+    exceed the winter by a margin and hold most of the *whole* year's rain, and
+    summers with little. A calendar month's mean is over the years that have it,
+    a month without rows in a cell counting as nothing."""
+    rows = grid(spark, sf_dir).withColumn("m", F.month("month"))
+    years = rows.groupBy("m").agg(F.countDistinct(F.year("month")).alias("years"))
+    rain = rows.groupBy(*CELL, "m").agg(F.sum(F.expr(RAIN)).alias("rain")).join(F.broadcast(years), "m").withColumn("rain", F.col("rain") / F.col("years"))  # twelve rows
+    of = lambda months: F.coalesce(F.sum(F.when(months, F.col("rain"))), F.lit(0.0))
+    s = rain.groupBy(*CELL).agg(of(F.col("m").between(5, 9)).alias("warm"), of(F.col("m").isin(11, 12, 1, 2, 3)).alias("cold"), F.sum("rain").alias("annual"))
     north = F.col("lat") >= 6
-    m = s.groupBy(*CELL).agg(F.avg(F.when(north, F.col("warm")).otherwise(F.col("cold"))).alias("summer"), F.avg(F.when(north, F.col("cold")).otherwise(F.col("warm"))).alias("winter"), F.avg("total").alias("total"))
-    monsoon = (F.col("summer") - F.col("winter") > 300) & (F.col("summer") / F.col("total") > 0.55)
-    return m.select(*CELL, r("summer", 2).alias("summer"), r("winter", 2).alias("winter"), F.coalesce(monsoon, F.lit(False)).alias("monsoon"), (F.col("total") < 150).alias("arid"))
+    s = s.withColumns({"summer": F.when(north, F.col("warm")).otherwise(F.col("cold")), "winter": F.when(north, F.col("cold")).otherwise(F.col("warm"))})
+    more, share = F.col("summer") - F.col("winter"), F.col("summer") / F.col("annual")
+    return s.select(*CELL, r("summer", 2).alias("summer"), r(more, 2).alias("difference"), r(share, 5).alias("share"), ((more > 300) & (share > 0.55)).alias("monsoon"), (F.col("summer") < 150).alias("arid"))
 
 
-@query(f"""with {DAYS}, x as (select *, avg(value) over w as m5, count(*) over w as n5, avg(value) filter (month = 1) over (partition by year) as january, (value - min(value) over (partition by year)) / nullif(max(value) over (partition by year) - min(value) over (partition by year), 0) as share, avg(value) over (partition by year order by date rows between 4 preceding and current row) as s5 from days window w as (partition by year order by date rows between current row and 4 following))
-select year, min(doy) filter (month >= 3 and n5 = 5 and m5 - january > 5000) as onset, max(doy) filter (month >= 6 and n5 = 5 and m5 - january > 5000) as withdrawal, min(doy) filter (share >= 0.618) as onset_normalised from x group by 1""")
+@query(f"""with {DAYS}, x as (select *, avg(value) over w as m5, count(*) over w as n5, avg(value) over nxt as m5_next, count(*) over nxt as n5_next, avg(value) filter (doy < 30) over (partition by year) as january, (value - min(value) over (partition by year)) / nullif(max(value) over (partition by year) - min(value) over (partition by year), 0) as share
+ from days window w as (partition by year order by date rows between current row and 4 following), nxt as (partition by year order by date rows between 5 following and 9 following)),
+y as (select *, min(share) over (partition by year order by date rows between current row and 2 following) as held, count(*) over (partition by year order by date rows between current row and 2 following) as n3 from x)
+select year, min(doy) filter (month >= 3 and n5 = 5 and m5 - january > 5000) as onset, min(doy + 5) filter (doy between 150 and 339 and n5 = 5 and n5_next = 5 and m5 - january >= 5000 and m5_next - january <= 5000) as withdrawal, min(doy) filter (doy >= 70 and n3 = 3 and held >= 0.618) as onset_normalised from y group by 1""")
 def onset_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and last five days above January's mean by a threshold, and the
-    first day at the golden share of the year's range."""
+    """First five days above the mean of the year's first thirty by a threshold;
+    the end of the first five days from day 150 on that are above it while the
+    next five are not; and, from day 70 on, the first of three days at the golden
+    share of the year's range or over. Null where a rule is never met."""
     s, year = Ordered(["year"], ["date"]), Window.partitionBy("year")
-    x = days(spark, sf_dir).withColumns({"m5": s.guarded(F.avg("value"), "value", s.rows(0, 4), 5), "january": F.avg(F.when(F.col("month") == 1, F.col("value"))).over(year), "low": F.min("value").over(year), "high": F.max("value").over(year)})
-    wet = F.col("m5") - F.col("january") > 5000
-    share = F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low"))
-    first = lambda cond: F.min(F.when(cond, F.col("doy")))
-    return x.groupBy("year").agg(first((F.col("month") >= 3) & wet).alias("onset"), F.max(F.when((F.col("month") >= 6) & wet, F.col("doy"))).alias("withdrawal"), first(share >= 0.618).alias("onset_normalised"))
+    five = lambda at: s.guarded(F.avg("value"), "value", s.rows(at, at + 4), 5)
+    low, high = F.min("value").over(year), F.max("value").over(year)
+    x = days(spark, sf_dir).withColumns({"m5": five(0), "next": five(5), "january": F.avg(F.when(F.col("doy") < 30, F.col("value"))).over(year), "share": F.try_divide(F.col("value") - low, high - low)})
+    x = x.withColumn("held", s.guarded(F.min("share"), "share", s.rows(0, 2), 3))
+    over, after = F.col("m5") - F.col("january"), F.col("next") - F.col("january")
+    first = lambda cond, day="doy": F.min(F.when(cond, F.expr(day)))
+    return x.groupBy("year").agg(
+        first((F.col("month") >= 3) & (over > 5000)).alias("onset"), first(F.col("doy").between(150, 339) & (over >= 5000) & (after <= 5000), "doy + 5").alias("withdrawal"),
+        first((F.col("doy") >= 70) & (F.col("held") >= 0.618)).alias("onset_normalised"),
+    )
 
 
 @query(f"""with {CELL_YEAR}, k as (select unnest(generate_series(0, 3)) as k) select lat, lon, cast(year - k as integer) as start, count(*) as n, round(regr_slope(value, year), 3) as slope from cells, k where year - k between 1992 and 1995 group by 1, 2, 3 having count(*) >= 3""")

@@ -154,13 +154,16 @@ def heatwave_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("event_type").agg(F.count("*").alias("waves"), r(F.avg("length")).alias("mean_length"), F.max("length").alias("longest"))
 
 
-@query(f"""with {DAILY}, x as (select *, row_number() over (partition by event_type order by date) as d, avg(value) over a5 as m5, count(*) over a5 as c5, sum(cast(value > 49 as int)) over a10 as p10, count(*) over a10 as c10 from daily
- window a5 as (partition by event_type order by date rows between current row and 4 following), a10 as (partition by event_type order by date rows between current row and 9 following))
-select event_type, min(d) as onset from x where c5 = 5 and c10 = 10 and m5 > 49 and p10 >= 5 group by 1""")
+@query(f"""with {DAILY}, x as (select *, row_number() over (partition by event_type order by date) as d, avg(value) over a5 as m5, count(*) over a5 as c5, sum(cast(value > 49 as int)) over a20 as p20, avg(value) over a20 as m20, count(*) over a20 as c20 from daily
+ window a5 as (partition by event_type order by date rows between current row and 4 following), a20 as (partition by event_type order by date rows between current row and 19 following))
+select event_type, min(d) as onset from x where value >= 49 and c5 = 5 and c20 = 20 and m5 >= 49 and p20 >= 10 and m20 > 49.5 group by 1""")
 def monsoon_onset_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First day that reaches a value, as do the five from it on in the mean and
+    enough of twenty each by itself, the twenty being over another in the mean."""
     s = Ordered(["event_type"], ["date"])
-    rows = daily(spark, sf_dir).withColumns({"d": F.row_number().over(s.spec()).cast("long"), "m5": s.guarded(F.avg("value"), "value", s.rows(0, 4), 5), "p10": s.guarded(F.sum((F.col("value") > 49).cast("int")), "value", s.rows(0, 9), 10)})
-    return rows.where("m5 > 49 and p10 >= 5").groupBy("event_type").agg(F.min("d").alias("onset"))
+    ahead = lambda agg, n: s.guarded(agg, "value", s.rows(0, n - 1), n)
+    rows = daily(spark, sf_dir).withColumns({"d": F.row_number().over(s.spec()).cast("long"), "m5": ahead(F.avg("value"), 5), "p20": ahead(F.sum((F.col("value") > 49).cast("int")), 20), "m20": ahead(F.avg("value"), 20)})
+    return rows.where("value >= 49 and m5 >= 49 and p20 >= 10 and m20 > 49.5").groupBy("event_type").agg(F.min("d").alias("onset"))
 
 
 @query(f"""with {DAILY}, a as (select date, value as v from daily where event_type = 'click'), b as (select date, value as w from daily where event_type = 'view'), h as (select unnest(generate_series(-3, 3)) as lag)

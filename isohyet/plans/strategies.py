@@ -12,21 +12,31 @@ from .fields import monthly
 
 M = Ordered([], ["month"])
 
-SIGNAL = f"""{MONTHLY}, g as (select month, t, value / 100000 - n / 100.0 as gap, value from monthly),
+def signal_sql(inclusive: bool = False) -> str:
+    """Targets by month; the threshold's months include this one or end before it."""
+    before = "23 preceding and current row" if inclusive else "24 preceding and 1 preceding"
+    return f"""{MONTHLY}, g as (select month, t, value / 100000 - n / 100.0 as gap, value from monthly),
 h as (select *, case when count(gap) over (order by month rows between 2 preceding and current row) >= 3 then avg(gap) over (order by month rows between 2 preceding and current row) end as ma3 from g),
-k as (select *, lag(ma3) over (order by month) as before, case when count(ma3) over (order by month rows between 24 preceding and 1 preceding) >= 12 then quantile_cont(ma3, 0.2) over (order by month rows between 24 preceding and 1 preceding) end as thr,
- case when count(value) over (order by month rows between 23 preceding and current row) >= 12 then (value - min(value) over (order by month rows between 23 preceding and current row)) / nullif(max(value) over (order by month rows between 23 preceding and current row) - min(value) over (order by month rows between 23 preceding and current row), 0) end as pct from h),
-s as (select *, case when ma3 > before and ma3 > thr then 1 when not ma3 > before then -1 else 0 end as signal, case when pct <= 0.25 then 1.2 when pct >= 0.8 then 0.0 else 1.2 * (0.8 - pct) / (0.8 - 0.25) end as weight from k where thr is not null and before is not null and pct is not null),
+k as (select *, lag(ma3) over (order by month) as before, case when count(ma3) over (order by month rows between {before}) >= 12 then quantile_cont(ma3, 0.2) over (order by month rows between {before}) end as thr,
+ list(value) over (order by month rows between 23 preceding and current row) as held from h),
+p as (select * exclude (held), case when len(held) >= 12 then len([v for v in held if v <= value]) / cast(len(held) as double) end as pct from k),
+s as (select *, case when ma3 > before and ma3 > thr then 1 when not ma3 > before then -1 else 0 end as signal, case when pct <= 0.25 then 1.2 when pct >= 0.8 then 0.0 else 1.2 * (0.8 - pct) / (0.8 - 0.25) end as weight from p where thr is not null and before is not null and pct is not null),
 targets as (select month, t, signal, weight, greatest(0.0, least(1.0, (0.5 + 0.3 * signal) * weight)) as target, row_number() over (order by month) as i from s)"""
 
 
-def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+SIGNAL = signal_sql()
+
+
+def targets(spark: SparkSession, sf_dir: str, inclusive: bool = False) -> DataFrame:
+    """Signal, valuation weight and target of each month. The valuation is the
+    share of the last 24 months at or below this one's; the trend's threshold is a
+    quantile of the months before this one (``inclusive``: up to it)."""
     m = monthly(spark, sf_dir).withColumn("gap", F.col("value") / 100000 - F.col("n") / 100)
     m = m.withColumn("ma3", M.mean("gap", 3))
     span = M.rows(-23)
-    thr = M.quantile_before("ma3", 0.2, 24, 12)  # of months before this one
-    low, high = F.min("value").over(span), F.max("value").over(span)
-    pct = F.when(F.count("value").over(span) >= 12, F.try_divide(F.col("value") - low, high - low))
+    thr = M.rolling(lambda c: F.percentile(c, F.lit(0.2)), "ma3", 24, 12) if inclusive else M.quantile_before("ma3", 0.2, 24, 12)
+    held = F.collect_list("value").over(span)  # 24 at most
+    pct = F.when(F.size(held) >= 12, F.size(F.filter(held, lambda v: v <= F.col("value"))) / F.size(held))
     m = m.withColumns({"before": M.lag("ma3"), "thr": thr, "pct": pct}).where("thr is not null and before is not null and pct is not null")
     m = m.withColumns({"signal": bt.trend_signal(F.col("ma3"), F.col("before"), F.col("thr")), "weight": ph.piecewise_weight(F.col("pct"), 0.25, 0.8, 1.2)})
     return m.select("month", "t", "signal", "weight", bt.target_position(F.col("signal"), F.col("weight")).alias("target"))
@@ -37,6 +47,12 @@ def valuation_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets(spark, sf_dir).select("month", "signal", r("weight").alias("weight"), r("target").alias("target"))
 
 
+@query(f"with {signal_sql(inclusive=True)} select month, signal, round(target, 6) as target from targets")
+def valuation_signal_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a threshold of months up to the one that is judged."""
+    return targets(spark, sf_dir, inclusive=True).select("month", "signal", r("target").alias("target"))
+
+
 BAND = """fold as (select month, i, target, cast(target as double) as position from targets where i = 1
  union all select x.month, x.i, x.target, case when abs(x.target - f.position) >= 0.1 then x.target else f.position end from fold f join targets x on x.i = f.i + 1)"""
 
