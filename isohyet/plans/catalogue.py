@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import atmosphere, climate, dynamics, fields, inference, panel, quality, series, storms, strategies, streams, tables, trading  # noqa: F401
+from . import atmosphere, climate, dynamics, fields, inference, panel, patterns, quality, series, storms, strategies, streams, tables, trading  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
