@@ -31,6 +31,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -115,7 +116,9 @@ def blocks(page: str) -> tuple[Tree, list[tuple[int, str]]]:
     """The paths, and (path, text) of every block of text outside dropped
     elements."""
     tree, out = Tree(), []
-    stack: list[tuple[str, int, bool]] = []  # tag, path and whether it is dropped
+    # Tag, path, whether it is dropped, and the place of the nearest open block.
+    stack: list[tuple[str, int, bool, int]] = []
+    opened: Counter[str] = Counter()  # open elements by tag: most stray end tags stop here
     text: list[str] = []
     at, size, path, blank = 0, len(page), 0, True
 
@@ -134,6 +137,10 @@ def blocks(page: str) -> tuple[Tree, list[tuple[int, str]]]:
                 path, blank = stack[-1][1] if stack else 0, False
             text.append(piece)
 
+    def close(k: int) -> None:
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
     while at < size:
         m = TAG.search(page, at)
         if not m:
@@ -148,21 +155,17 @@ def blocks(page: str) -> tuple[Tree, list[tuple[int, str]]]:
         if tag == "br":
             take(" ")
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
         elif tag in RAW:
             end = ENDS[tag].search(page, at)
             at = end.end() if end else size
         elif tag not in VOID:
             # As in HTML: a new block ends an open one of its kind, with all
             # unclosed inline elements inside it.
-            k = len(stack) - 1
-            while k > 0 and stack[k][0] in INLINE:
-                k -= 1
+            k = stack[-1][3] if stack else -1
             if k >= 0 and tag in CLOSES.get(stack[k][0], ()):
-                del stack[k:]
+                close(k)
             above, dropped = (stack[-1][1], stack[-1][2]) if stack else (0, False)
             own = attributes_of(m[3])
             role = tree.role[above]
@@ -175,7 +178,8 @@ def blocks(page: str) -> tuple[Tree, list[tuple[int, str]]]:
                 here = tree.child(above, " ".join([tag, own.get("class", ""), own.get("id", "")]), edge, role)
             elif role != tree.role[above]:
                 here = tree.child(above, tag + role, 0.0, role)
-            stack.append((tag, here, dropped))
+            opened[tag] += 1
+            stack.append((tag, here, dropped, len(stack) if tag not in INLINE else stack[-1][3] if stack else 0))
     flush()
     return tree, out
 

@@ -204,6 +204,13 @@ def test_html_linear(page):
     assert time.process_time() - began < 5
 
 
+@pytest.mark.parametrize("page", ["<i>" * 30_000 + "</b>" * 30_000, "<div>" * 30_000 + "</p>x" * 30_000, "<div>" + "<i><p>" * 15_000, ("<div>" + "<i>" * 50) * 600])
+def test_html_stray_tags_linear(page):
+    began = time.process_time()
+    q3.main_text(page)
+    assert time.process_time() - began < 2
+
+
 # 4 personal data -------------------------------------------------------------
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
