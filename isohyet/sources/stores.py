@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.frames import increment
+from ..session import shared
 
 
 def save(df: DataFrame, path: str, by: Sequence[str] = (), mode: str = "overwrite", units: dict[str, str] | None = None) -> None:
@@ -18,6 +19,11 @@ def save(df: DataFrame, path: str, by: Sequence[str] = (), mode: str = "overwrit
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def units(df: DataFrame) -> dict[str, str]:
+    """Units that columns were saved with."""
+    return {f.name: f.metadata["units"] for f in df.schema.fields if "units" in f.metadata}
+
+
 def save_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).csv(path, header=True, encoding="UTF-8")
 
@@ -34,11 +40,8 @@ def append_increment(spark: SparkSession, path: str, new: DataFrame, keys: Seque
     touched = new.select(part).distinct()
     stored = spark.read.parquet(path).join(touched, part, "left_semi")
     out = increment(stored, new, keys, time)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        out.checkpoint().write.mode("overwrite").partitionBy(part).parquet(path)
-    finally:
-        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    # The option of this write alone; no setting of the session changes.
+    shared(out).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
 
 
 def not_done(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

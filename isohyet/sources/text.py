@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared
+
 
 def csv(spark: SparkSession, path: str, schema: str | T.StructType, encoding: str = "UTF-8", key: str | None = None) -> DataFrame:
     """CSV by an explicit schema; codes keep leading zeros as strings. With a
@@ -16,11 +18,33 @@ def csv(spark: SparkSession, path: str, schema: str | T.StructType, encoding: st
     return df if key is None else df.where(F.col(key).isNotNull())
 
 
+def csv_with_issues(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+    """Good rows of many CSV files, and how many rows of each file are malformed
+    (file, rows, malformed): one bad file does not end the batch."""
+    whole = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    df = spark.read.csv(path, schema=whole, header=True, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    # Written once with all columns: rows are malformed by all, not by those that a
+    # later step happens to use.
+    df = shared(df.select("*", F.col("_metadata.file_path").alias("file")))
+    issues = df.groupBy("file").agg(F.count("*").alias("rows"), F.count("_bad").alias("malformed"))
+    return df.where(F.col("_bad").isNull()).drop("_bad"), issues
+
+
+def json_lists(spark: SparkSession, path: str, key: str, values: str, kind: str = "int") -> DataFrame:
+    """A row a value of JSON records that have a key and a list, such as the
+    years of an event; a record without a list has no row."""
+    df = spark.read.json(path, schema=f"`{key}` string, `{values}` array<{kind}>")
+    return df.select(key, F.explode(values).alias(values))
+
+
 def whitespace_table(spark: SparkSession, path: str, names: Sequence[str], skip: int = 0, missing: Sequence[float] = (99.99, -99.99)) -> DataFrame:
     """Numbers between white space, one record a line; sentinels become null.
-    ``skip`` leading lines of each file are headings."""
-    lines = spark.read.text(path, wholetext=False).select("value", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    lines = lines.withColumn("_nth", F.row_number().over(Window.partitionBy("_file").orderBy("_at"))).where(F.col("_nth") > skip)
+    ``skip`` leading lines of each file are headings. Large files are read in
+    parts: only lines of a file's first part are numbered, from its first line."""
+    lines = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    if skip:
+        first = lines.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("_first"))
+        lines = lines.join(first, "_file").where((F.col("_block") > 0) | (F.col("_at") - F.col("_first") >= skip))
     parts = F.split(F.trim("value"), r"\s+")
 
     def number(i: int) -> Column:
