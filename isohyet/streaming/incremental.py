@@ -33,8 +33,10 @@ def user_sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
 
 
 def notify_once(stream: DataFrame, keys: list[str], late: str) -> DataFrame:
-    """The first event of each key, by time, then id. A key is forgotten ``late``
-    after its last event; its state is one flag, kept in the checkpoint."""
+    """One event of each key: the first by time, then id, of the batch that first
+    has the key. Events that arrive in a later batch are not told of, even if they
+    are older. A key is forgotten ``late`` after its last event, and told of again
+    from then on; its state is one flag, kept in the checkpoint."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     wait = int(pd.Timedelta(late).total_seconds() * 1000)
