@@ -1,48 +1,74 @@
-"""Best-track text to storms, points and yearly statistics."""
+"""Best-track text to storms, points and yearly statistics. The files, one a year,
+are written from orders (storms) and their line items (points): some headers
+count a point too many or list two ids, and some storms have a line that is no
+point."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reachable, shared_root
 from ..sources import text
-from ..session import reachable
-from .base import query
-
-#: A small best-track file.
-SAMPLE = """66666 0000 3 0001 0001 1 6 ALPHA 19960401
-1996010200 1 065 1320 1004 15
-1996010206 2 070 1310 1000 18
-1996010212 3 078 1302 998 20 12
-66666 0000 4 0002 0002,0003 0 6 BETA(-)1 19960801
-1996071500 2 120 1400 1000 18
-1996071506 6 128 1391 940 52
-1996071512 6 137 1380 935 55
-bad line here
-66666 0000 2 0003 0004 1 6 GAMMA 19990101
-1998090100 3 150 1290 990 25
-1998090106 5 155 1281 965 40"""
-
-
-def lines(spark: SparkSession) -> DataFrame:
-    rows = [("sample", i, v) for i, v in enumerate(SAMPLE.split("\n"))]
-    return reachable(spark).createDataFrame(rows, "file string, line int, value string")
-
-
-@query("""select * from (values ('sample', 1, 1, 1, 6.5, 132.0, 1004), ('sample', 1, 2, 2, 7.0, 131.0, 1000), ('sample', 1, 3, 3, 7.8, 130.2, 998), ('sample', 2, 1, 2, 12.0, 140.0, 1000), ('sample', 2, 2, 6, 12.8, 139.1, 940),
-('sample', 2, 3, 6, 13.7, 138.0, 935), ('sample', 3, 1, 3, 15.0, 129.0, 990), ('sample', 3, 2, 5, 15.5, 128.1, 965)) t(file, storm, record_no, grade, lat, lon, pressure)""".replace("('sample', 1, 1, 1, 6.5,", "('sample', 1, 1, 1, 6.5::double,").replace(" 132.0, 1004)", " 132.0::double, 1004)"))
+from .base import query, table
+
+#: Fields of a point, by line item, in both dialects.
+LAT, LON, DEPTH = "cast(50 + l_quantity * 7 as int)", "cast(1100 + l_partkey % 600 as int)", "cast(1010 - l_quantity as int)"
+
+TRACKS = f"""
+pt as (
+  select o_orderkey as id, cast(year(o_orderdate) as integer) as year, l_linenumber as k, cast(l_linenumber as integer) as grade, {LAT} / 10.0 as lat, {LON} / 10.0 as lon, {DEPTH} as pressure,
+         cast(l_shipdate as timestamp) + to_hours(cast(6 * (l_linenumber % 4) as integer)) as time, row_number() over (partition by o_orderkey order by l_linenumber) as record_no
+  from orders join lineitem on l_orderkey = o_orderkey),
+st as (select id, year, row_number() over (partition by year order by id) as storm, min(time) as first, max(grade) as grade, min(pressure) as pressure from pt group by 1, 2)
+"""
+
+
+def best_track_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files, written to the shared folder and read as numbered lines."""
+    spark = reachable(spark)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.date_format("o_orderdate", "yyyyMMdd").alias("day"))
+    points = o.join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    n, key = F.col("l_linenumber"), F.col("o_orderkey")
+    hour = F.concat(F.date_format("l_shipdate", "yyyyMMdd"), F.lpad((6 * (n % 4)).cast("string"), 2, "0"))
+    fields = [hour, n, F.expr(LAT), F.expr(LON), F.expr(DEPTH), F.expr("cast(l_quantity as int)"), F.when(n % 3 == 0, F.expr("cast(l_quantity / 2 as int)"))]
+    rows = points.select("year", "o_orderkey", n.cast("int").alias("k"), F.concat_ws(" ", *[x.cast("string") for x in fields]).alias("value"))
+    count = F.count("*") + F.max(F.when(key % 50 == 0, 1).otherwise(0))
+    ids = F.when(key % 40 == 0, F.concat_ws(",", key, key + 1)).otherwise(key.cast("string"))
+    heads = points.groupBy("year", "o_orderkey", "day").agg(count.alias("n")).select("year", "o_orderkey", F.lit(0).alias("k"), F.concat_ws(" ", F.lit("66666 0000"), "n", F.lit("0001"), ids, F.lit("1 6 STORM(-1)"), "day").alias("value"))
+    bad = o.where(key % 60 == 0).join(heads.select("o_orderkey"), "o_orderkey", "left_semi").select("year", "o_orderkey", F.lit(99).alias("k"), F.lit("no point here").alias("value"))
+    path = f"{shared_root(spark)}/tracks-{uuid.uuid4().hex}"
+    lines = rows.union(heads).union(bad).repartition("year").sortWithinPartitions("year", "o_orderkey", "k")
+    lines.drop("o_orderkey", "k").write.partitionBy("year").text(path)
+    return text.numbered_lines(spark, path).withColumn("file", F.regexp_extract("file", r"year=(\d+)", 1))
+
+
+@query(f"with {TRACKS} select cast(pt.year as varchar) as file, cast(storm as integer) as storm, cast(record_no as integer) as record_no, time, pt.grade, lat, lon, pt.pressure from pt join st using (id)")
 def besttrack_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, tracks, _ = text.best_tracks(lines(spark))
-    return tracks.select("file", F.col("storm").cast("int").alias("storm"), "record_no", "grade", "lat", "lon", "pressure")
+    """All points of all storms."""
+    _, tracks, _ = text.best_tracks(best_track_lines(spark, sf_dir))
+    return tracks.select("file", F.col("storm").cast("int").alias("storm"), "record_no", F.col("time").cast("timestamp_ntz").alias("time"), "grade", "lat", "lon", "pressure")
 
 
-@query("""select * from (values (1995, 0::bigint, 0::bigint, null::integer), (1996, 2, 1, 935), (1997, 0, 0, null), (1998, 1, 0, 965)) t(year, storms, strong, deepest)""")
+@query(f"with {TRACKS}, y as (select unnest(range(1991, 2000)) as year) select cast(y.year as integer) as year, count(id) as storms, count_if(coalesce(grade, 0) >= 6) as strong, min(pressure) as deepest from y left join st on year(first) = y.year group by 1")
 def storm_yearly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    storms, tracks, _ = text.best_tracks(lines(spark))
-    return text.yearly_storms(storms, tracks, 1995, 1998)
+    """Storms of each year by their first points, with the years that have none."""
+    storms, tracks, _ = text.best_tracks(best_track_lines(spark, sf_dir))
+    return text.yearly_storms(storms, tracks, 1991, 1999)
 
 
-@query("select * from (values ('composite id', 1::bigint), ('malformed point', 1), ('record count', 1)) t(issue, n)")
+@query(f"""with {TRACKS}, i as (select 'record count' as issue, year from st where id % 50 = 0 union all select 'composite id', year from st where id % 40 = 0 union all select 'malformed point', year from st where id % 60 = 0)
+select cast(year as varchar) as file, issue, count(*) as n from i group by 1, 2""")
 def besttrack_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, issues = text.best_tracks(lines(spark))
-    return issues.groupBy("issue").agg(F.count("*").alias("n"))
+    """What is wrong in each file; the rest of the file is read all the same."""
+    _, _, issues = text.best_tracks(best_track_lines(spark, sf_dir))
+    return issues.groupBy("file", "issue").agg(F.count("*").alias("n"))
+
+
+@query(f"with {TRACKS} select cast(year as varchar) as file, cast(storm as integer) as storm, cast(id as varchar) as cn_id, 'STORM' as name, cast(count(*) as integer) + case when id % 50 = 0 then 1 else 0 end as record_count from pt join st using (id, year) group by year, storm, id")
+def besttrack_storms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers: the first of several ids, names without their counters."""
+    storms, _, _ = text.best_tracks(best_track_lines(spark, sf_dir))
+    return storms.select("file", F.col("storm").cast("int").alias("storm"), "cn_id", "name", "record_count")

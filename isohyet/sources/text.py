@@ -54,6 +54,13 @@ def whitespace_table(spark: SparkSession, path: str, names: Sequence[str], skip:
     return lines.where(F.trim("value") != "").select(*[number(i).alias(n) for i, n in enumerate(names)])
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file (its path), line (from 1, in the file's order) and value of all lines of
+    text files, of which large ones are read in parts."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    return lines.select("file", F.row_number().over(Window.partitionBy("file").orderBy("_block", "_at")).alias("line"), "value")
+
+
 def year_by_month(wide: DataFrame, year: str, months: Sequence[str], value: str = "value") -> DataFrame:
     """A row a year with twelve columns, as a monthly series."""
     long = wide.unpivot([year], list(months), "_month", value)
