@@ -20,7 +20,7 @@ LAT, LON, DEPTH = "cast(50 + l_quantity * 7 as int)", "cast(1100 + l_partkey % 6
 TRACKS = f"""
 pt as (
   select o_orderkey as id, cast(year(o_orderdate) as integer) as year, l_linenumber as k, cast(l_linenumber as integer) as grade, {LAT} / 10.0 as lat, {LON} / 10.0 as lon, {DEPTH} as pressure,
-         cast(l_shipdate as timestamp) + to_hours(cast(6 * (l_linenumber % 4) as integer)) as time, row_number() over (partition by o_orderkey order by l_linenumber) as record_no
+         cast(l_shipdate as timestamp) + to_hours(cast(6 * (l_linenumber % 4) as integer)) as time, row_number() over (partition by o_orderkey order by l_linenumber, l_shipdate, l_partkey, l_quantity) as record_no
   from orders join lineitem on l_orderkey = o_orderkey),
 st as (select id, year, row_number() over (partition by year order by id) as storm, min(time) as first, max(grade) as grade, min(pressure) as pressure from pt group by 1, 2)
 """
@@ -34,14 +34,14 @@ def best_track_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, key = F.col("l_linenumber"), F.col("o_orderkey")
     hour = F.concat(F.date_format("l_shipdate", "yyyyMMdd"), F.lpad((6 * (n % 4)).cast("string"), 2, "0"))
     fields = [hour, n, F.expr(LAT), F.expr(LON), F.expr(DEPTH), F.expr("cast(l_quantity as int)"), F.when(n % 3 == 0, F.expr("cast(l_quantity / 2 as int)"))]
-    rows = points.select("year", "o_orderkey", n.cast("int").alias("k"), F.concat_ws(" ", *[x.cast("string") for x in fields]).alias("value"))
+    rows = points.select("year", "o_orderkey", n.cast("int").alias("k"), F.concat_ws(" ", *[x.cast("string") for x in fields]).alias("value"), F.struct("l_shipdate", "l_partkey", "l_quantity").alias("tie"))
     count = F.count("*") + F.max(F.when(key % 50 == 0, 1).otherwise(0))
     ids = F.when(key % 40 == 0, F.concat_ws(",", key, key + 1)).otherwise(key.cast("string"))
     heads = points.groupBy("year", "o_orderkey", "day").agg(count.alias("n")).select("year", "o_orderkey", F.lit(0).alias("k"), F.concat_ws(" ", F.lit("66666 0000"), "n", F.lit("0001"), ids, F.lit("1 6 STORM(-1)"), "day").alias("value"))
     bad = o.where(key % 60 == 0).join(heads.select("o_orderkey"), "o_orderkey", "left_semi").select("year", "o_orderkey", F.lit(99).alias("k"), F.lit("no point here").alias("value"))
     path = f"{shared_root(spark)}/tracks-{uuid.uuid4().hex}"
-    lines = rows.union(heads).union(bad).repartition("year").sortWithinPartitions("year", "o_orderkey", "k")
-    lines.drop("o_orderkey", "k").write.partitionBy("year").text(path)
+    lines = rows.unionByName(heads.unionByName(bad), allowMissingColumns=True).repartition("year").sortWithinPartitions("year", "o_orderkey", "k", "tie")
+    lines.drop("o_orderkey", "k", "tie").write.partitionBy("year").text(path)
     return text.numbered_lines(spark, path).withColumn("file", F.regexp_extract("file", r"year=(\d+)", 1))
 
 
