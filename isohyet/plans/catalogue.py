@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import atmosphere, climate, dynamics, fields, files, inference, panel, patterns, quality, regions, seasons, series, storms, strategies, streams, tables, trading  # noqa: F401
+from . import atmosphere, climate, dynamics, fields, files, inference, panel, patterns, quality, regions, regressors, seasons, series, storms, strategies, streams, tables, trading  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
