@@ -6,11 +6,14 @@ is one group of ``applyInPandas``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def butterworth(order: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
@@ -26,32 +29,66 @@ def butterworth(order: int, low: float, high: float) -> tuple[np.ndarray, np.nda
     return gain * np.poly(np.concatenate([np.ones(order), -np.ones(order)])), np.real(np.poly((4 + poles) / (4 - poles)))
 
 
-def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Direct form II transposed, from an initial state."""
-    y, z = np.empty(len(x)), np.append(state, 0.0)
-    for i, v in enumerate(x):
-        y[i] = b[0] * v + z[0]
-        z[:-1] = z[1:] + b[1:] * v - a[1:] * y[i]
+@lru_cache(maxsize=8)
+def blocks(b: tuple[float, ...], a: tuple[float, ...], size: int) -> tuple[np.ndarray, ...]:
+    """What a filter makes of ``size`` samples and of its state, as matrices: the
+    output from both, and the next state from both."""
+    n, wide = len(a) - 1, size + len(a) - 1
+    unit, z = np.eye(wide), np.zeros((n + 1, wide))
+    z[:n] = unit[size:]
+    y = np.empty((size, wide))
+    for i in range(size):
+        y[i] = b[0] * unit[i] + z[0]
+        z[:-1] = z[1:] + np.outer(b[1:], unit[i]) - np.outer(a[1:], y[i])
+    return y[:, :size], y[:, size:], z[:n, :size], z[:n, size:]
+
+
+def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, size: int = 64) -> np.ndarray:
+    """Direct form II transposed, from an initial state, ``size`` samples a step."""
+    y, z = np.empty(len(x)), state
+    for at in range(0, len(x), size):
+        part = x[at : at + size]
+        from_x, from_z, next_x, next_z = blocks(tuple(b), tuple(a), len(part))
+        y[at : at + size] = from_x @ part + from_z @ z
+        z = next_x @ part + next_z @ z
     return y
 
 
+def resting(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The state that an endless series of ones leaves."""
+    n = len(a) - 1
+    m = np.eye(n) - np.column_stack([-a[1:], np.vstack([np.eye(n - 1), np.zeros(n - 1)])])
+    return np.linalg.solve(m, b[1:] - a[1:] * b[0])
+
+
 def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and backward, with odd extensions at both ends."""
-    pad, n = 3 * max(len(a), len(b)), len(a) - 1
+    pad = 3 * max(len(a), len(b))
     if len(x) <= pad:
         return np.full(len(x), np.nan)
-    m = np.eye(n) - np.column_stack([-a[1:], np.vstack([np.eye(n - 1), np.zeros(n - 1)])])
-    start = np.linalg.solve(m, b[1:] - a[1:] * b[0])
+    start = resting(b, a)
     ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
     y = lfilter(b, a, ext, start * ext[0])[::-1]
     return lfilter(b, a, y, start * y[0])[::-1][pad:-pad]
 
 
-def harmonics(x: np.ndarray, k: int) -> np.ndarray:
-    """The mean and the first ``k`` harmonics."""
-    f = np.fft.rfft(x)
-    f[k + 1 :] = 0
-    return np.fft.irfft(f, len(x))
+def harmonics(df: DataFrame, by: Sequence[str], position: str, value: str, k: int, name: str) -> DataFrame:
+    """The mean and the first ``k`` harmonics of each group, as a new column.
+
+    ``position`` counts the evenly spaced rows of a group. The coefficients are
+    sums, so a long series, or many, is one grouping and never a task's own; nulls
+    add nothing to them. Groups with a null key have none.
+    """
+    n = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    rows = df.join(n, list(by))
+    turn = lambda j: 2 * math.pi * ((F.col(position) * j) % F.col("_n")) / F.col("_n")
+    v = F.col(value).cast("double")
+    sums = [F.sum(v * f(turn(j))).alias(f"_{c}{j}") for j in range(1, k + 1) for c, f in (("c", F.cos), ("s", F.sin))]
+    waves = rows.groupBy(*by).agg(F.avg(v).alias("_mean"), *sums)
+    # The fastest wave is counted once, those beyond it not at all.
+    share = lambda j: F.when(F.col("_n") > 2 * j, 2 / F.col("_n")).when(F.col("_n") == 2 * j, 1 / F.col("_n")).otherwise(0.0)
+    fit = sum(((F.col(f"_c{j}") * F.cos(turn(j)) + F.col(f"_s{j}") * F.sin(turn(j))) * share(j) for j in range(1, k + 1)), F.col("_mean"))
+    return rows.join(waves, list(by)).select(*df.columns, fit.alias(name))
 
 
 def per_series(df: DataFrame, by: Sequence[str], order: str, value: str, name: str, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

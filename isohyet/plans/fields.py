@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import signal, statistics as st
 from ..operators.windows import Ordered
-from .base import CELL_YEAR, GRID, MONTHLY, by_cell_year, grid, query, r, table
+from .base import BARS, CELL_YEAR, GRID, MONTHLY, bars, by_cell_year, grid, query, r, table
 
 CELL = ["lat", "lon"]
 
@@ -25,7 +25,10 @@ def trend_slope_r(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.trend(by_cell_year(spark, sf_dir), CELL, "year", "value").select("lat", "lon", r("slope", 4).alias("slope"), r("r").alias("r"), "n")
 
 
-@query()
+# The t distribution of whole degrees of freedom is a finite sum of powers of cosines.
+@query(f"""with {CELL_YEAR}, f as (select lat, lon, regr_slope(value, year) as k, corr(value, year) as r, count(*) - 2 as nu from cells group by 1, 2), a as (select *, case when nu > 0 and r * r < 1 then atan(abs(r) / sqrt(1 - r * r)) end as h from f),
+s as (select *, list_sum(list_transform(range(0, (nu - nu % 2) // 2), lambda i: pow(cos(h), 2 * i) * coalesce(list_product(list_transform(range(1, i + 1), lambda j: case when nu % 2 = 1 then 2.0 * j / (2 * j + 1) else (2.0 * j - 1) / (2 * j) end)), 1.0))) as total from a)
+select lat, lon, round(k, 4) as slope, round(1 - case when nu % 2 = 1 then 2 / pi() * (h + sin(h) * cos(h) * coalesce(total, 0.0)) else sin(h) * total end, 6) as p from s""")
 def trend_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = st.trend(by_cell_year(spark, sf_dir), CELL, "year", "value")
     return t.select("lat", "lon", r("slope", 4).alias("slope"), r(st.t_two_sided("t", (F.col("n") - 2).cast("double"))).alias("p"))
@@ -218,25 +221,46 @@ def regrid_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.bilinear(fine, z, 1.0, "value").where("value is not null").select("lat", "lon", r("value", 4).alias("v"))
 
 
-@query()
+@query(f"""with {MONTHLY}, k as (select unnest([1, 2, 3]) as j), m as (select month, t, value, count(*) over () as p, avg(value) over () as mean from monthly),
+w as (select j, sum(value * cos(2 * pi() * ((j * t) % p) / p)) as c, sum(value * sin(2 * pi() * ((j * t) % p) / p)) as s from m, k group by 1)
+select month, round(max(mean) + sum((c * cos(2 * pi() * ((j * t) % p) / p) + s * sin(2 * pi() * ((j * t) % p) / p)) * 2 / p), 4) as smooth from m, w where p > 6 group by 1""")
 def harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = monthly(spark, sf_dir).withColumn("k", F.lit(1))
-    return signal.per_series(m, ["k"], "month", "value", "smooth", lambda x: signal.harmonics(x, 3)).select("month", r("smooth", 4).alias("smooth"))
+    return signal.harmonics(m, ["k"], "t", "value", 3, "smooth").select("month", r("smooth", 4).alias("smooth"))
 
 
-@query()
-def butter_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .panel import bars
+BAND = signal.butterworth(3, 2 / 20, 2 / 8)
+
+
+def filter_sql(name: str, source: str) -> str:
+    """One pass of the band's filter over the list ``x`` of each symbol, from the
+    state that a constant series at its first value would have left."""
+    b, a = ([repr(float(v)) for v in c] for c in BAND)
+    start = signal.resting(*BAND)
+    first = ", ".join(f"{float(v)!r} * x[1] as z{i}" for i, v in enumerate(start))
+    step = ", ".join(f"{f'z{i + 1} + ' if i + 1 < len(start) else ''}{b[i + 1]} * v - {a[i + 1]} * ({b[0]} * v + z0)" for i in range(len(start)))
+    return f"""{name}_i as (select symbol, 0 as i, 0.0::double as y, {first} from {source} union all
+ select symbol, i + 1, {b[0]} * v + z0, {step} from (select {name}_i.*, x[i + 1] as v from {name}_i join {source} using (symbol) where i < len(x))),
+{name} as (select symbol, list(y order by i desc) as x from {name}_i where i > 0 group by 1)"""
 
-    b, a = signal.butterworth(3, 2 / 20, 2 / 8)
+
+@query(f"""with recursive {BARS}, l as (select symbol, list(close order by date) as x from bars group by 1 having count(*) > 21),
+ext as (select symbol, list_concat(list_transform(range(22, 1, -1), lambda i: 2 * x[1] - x[i]), x, list_transform(range(1, 22), lambda i: 2 * x[-1] - x[-1 - i])) as x from l),
+{filter_sql("there", "ext")}, {filter_sql("back", "there")}
+select b.symbol, b.date, round(k.x[t + 21], 4) as band from bars b left join back k on k.symbol = b.symbol""")
+def butter_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, a = BAND
     return signal.per_series(bars(spark, sf_dir), ["symbol"], "date", "close", "band", lambda x: signal.filtfilt(b, a, x)).select("symbol", "date", r("band", 4).alias("band"))
 
 
-@query()
+@query(f"""with {BARS}, l as (select symbol, count(*) as n, regr_slope(close, t - 1) as k, regr_intercept(close, t - 1) as c, greatest(1, count(*) // 20) as m from bars group by 1 having count(*) >= 4),
+x as (select b.symbol, n, t - 1 as i, (close - (c + k * (t - 1))) * case when least(t - 1, n - t) < m then 0.5 * (1 - cos(pi() * (least(t - 1, n - t) + 0.5) / m)) else 1.0 end as x from bars b join l using (symbol)),
+f as (select symbol, n, unnest(range(1, n // 2 + 1)) as j from l), s as (select symbol, f.n, j, sum(x * cos(2 * pi() * ((i * j) % f.n) / f.n)) as re, sum(x * sin(2 * pi() * ((i * j) % f.n) / f.n)) as im from f join x using (symbol) group by 1, 2, 3)
+select symbol, round(j / n, 9) as frequency, round((re * re + im * im) / n / 1e6, 3) as power from s""")
 def power_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .panel import bars
-
-    return signal.spectrum(bars(spark, sf_dir).select("symbol", "date", "close"), ["symbol"], "date", "close")
+    """Power in millions, by days of trading."""
+    s = signal.spectrum(bars(spark, sf_dir).select("symbol", "date", "close"), ["symbol"], "date", "close")
+    return s.select("symbol", r("frequency", 9).alias("frequency"), r(F.col("power") / 1e6, 3).alias("power"))
 
 
 @query("""select l_returnflag, cast(count_if(l_quantity > 45) as bigint) as hot, round(avg(cast(l_quantity > 45 as int)), 6) as frequency, cast(count_if(l_quantity > 10 and l_quantity < 20) as bigint) as wet from lineitem group by 1""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest as bt, learning, physics as ph, statistics as st
 from ..operators.windows import Ordered
-from .base import BARS, MONTHLY, bars, query, r, table
+from .base import BARS, CELL_YEAR, MONTHLY, bars, by_cell_year, query, r, table
 from .fields import monthly
 
 M = Ordered([], ["month"])
@@ -157,16 +157,32 @@ def poisson_nb_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("unit", r("m").alias("lambda"), r(F.col("v") / F.col("m")).alias("vmr"), r(F.when(over, F.col("m") * F.col("m") / (F.col("v") - F.col("m")))).alias("size"), r(F.when(over, F.col("m") / F.col("v"))).alias("prob"))
 
 
-@query()
+@query(f"""with {FEATURES}, v as (select unit, y, row_number() over (partition by unit order by year) - 1 as nth, count(*) over (partition by unit) as n from feat),
+whole as (select unit, count(*) as n, avg(y) as mean from feat group by 1), d as (select unit, b, cast('0x' || substr(md5(b || ':' || k), 1, 8) as bigint) % n as nth from whole, (select unnest(range(500)) as b), (select unnest(range((select max(n) from whole))) as k) where k < n),
+m as (select unit, b, avg(y) as m from d join v using (unit, nth) group by 1, 2), l as (select unit, list(m order by m) as stars from m group by 1)
+select unit, n, round(mean, 6) as mean, round(stars[13], 6) as low, round(stars[488], 6) as high from whole join l using (unit)""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.bootstrap_mean(features(spark, sf_dir).select("unit", "year", "y"), ["unit"], ["year"], "y", 500, 0.95)
+    b = learning.bootstrap_mean(features(spark, sf_dir).select("unit", "year", "y"), ["unit"], ["year"], "y", 500, 0.95)
+    return b.select("unit", "n", r("mean").alias("mean"), r("low").alias("low"), r("high").alias("high"))
 
 
-@query()
-def eof_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .base import by_cell_year
+def power_steps(name: str, matrix: str, steps: int = 3000) -> str:
+    """The leading vector of a matrix, a list of rows, by repeated products."""
+    times = lambda m, v: f"list_transform({m}, lambda row: list_dot_product(row, {v}))"
+    return f"""{name}_i as (select 0 as i, m, list_transform(m, lambda row: 1.0 + row[1] / m[1][1]) as v from {matrix} union all
+ select i + 1, m, list_transform(w, lambda e: e / sqrt(list_dot_product(w, w))) from (select i, m, {times('m', 'v')} as w from {name}_i where i < {steps})),
+{name} as (select m, v, list_dot_product(v, {times('m', 'v')}) as size from {name}_i where i = {steps})"""
+
 
-    return learning.leading_patterns(by_cell_year(spark, sf_dir), ["lat", "lon"], "year", "value", F.sqrt(F.cos(F.radians(F.col("lat") * 10.0))), 2)
+@query(f"""with recursive {CELL_YEAR}, a as (select lat, lon, year as t, (value - avg(value) over (partition by lat, lon)) * sqrt(cos(radians(lat * 10.0))) as a from cells), years as (select distinct t from a),
+c as (select x.t, y.t as u, sum(x.a * y.a) as c from a x join a y on x.lat = y.lat and x.lon = y.lon group by 1, 2), full_c as (select p.t, q.t as u, coalesce(c, 0.0) as c from years p cross join years q left join c on c.t = p.t and c.u = q.t),
+rws as (select t, list(c order by u) as r from full_c group by 1), mat as (select list(r order by t) as m from rws), {power_steps("one", "mat")},
+rest as (select list_transform(m, lambda row, i: list_transform(row, lambda e, j: e - size * v[i] * v[j])) as m from one), {power_steps("two", "rest")},
+both_ as (select 1 as mode, v, size from one union all select 2, v, size from two), tr as (select sum(c) as total from full_c where t = u), n as (select t, row_number() over (order by t) as i from years)
+select cast(mode as integer) as mode, t, round(v[i] * sqrt(size) * sign(list_extract(list_sort(list_transform(v, lambda e: {{'a': abs(e), 'e': e}}), 'DESC'), 1).e), 3) as score, round(size / total, 6) as share from both_, tr, n""")
+def eof_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = learning.leading_patterns(by_cell_year(spark, sf_dir), ["lat", "lon"], "year", "value", F.sqrt(F.cos(F.radians(F.col("lat") * 10.0))), 2)
+    return e.select("mode", "t", r("score", 3).alias("score"), r("share").alias("share"))
 
 
 @query(f"""with {FEATURES}, d as (select * from feat where x1 is not null and x2 is not null), m as (select avg(x1) as m1, avg(x2) as m2, stddev_samp(x1) as s1, stddev_samp(x2) as s2 from d where year < 1999),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 import numpy as np
 import pandas as pd
 import pytest
@@ -116,7 +118,24 @@ def test_butterworth_response():
     wave = np.sin(np.pi * 0.16 * t)
     y = signal.filtfilt(b, a, wave + 5 + 0.01 * t)
     assert np.abs(y - wave)[100:300].max() < 0.05
-    assert np.allclose(signal.harmonics(np.cos(2 * np.pi * t / 400), 1), np.cos(2 * np.pi * t / 400))
+    x = np.random.default_rng(0).normal(size=150)
+    for n in (1, 7, 64, 150):
+        z = np.linspace(-1, 1, 6)
+        assert np.allclose(signal.lfilter(b, a, x[:n], z), signal.lfilter(b, a, x[:n], z, size=1))
+
+
+def test_harmonics(spark):
+    rng = np.random.default_rng(5)
+    series = {"even": rng.normal(size=12), "odd": rng.normal(size=9), "short": rng.normal(size=3), "one": np.array([2.0])}
+    df = spark.createDataFrame([(g, i, float(v)) for g, x in series.items() for i, v in enumerate(x)] + [("gap", 0, 1.0), ("gap", 1, None)], "g string, i int, v double").repartition(3)
+    got = signal.harmonics(df, ["g"], "i", "v", 3, "fit")
+    assert got.columns == [*df.columns, "fit"] and got.count() == df.count()
+    pdf = got.toPandas().sort_values(["g", "i"])
+    for g, x in series.items():
+        f = np.fft.rfft(x)
+        f[4:] = 0
+        assert pdf[pdf["g"] == g]["fit"].to_numpy() == pytest.approx(np.fft.irfft(f, len(x)))
+    assert signal.harmonics(df.where("false"), ["g"], "i", "v", 3, "fit").count() == 0
 
 
 def test_folds_and_performance(spark):
@@ -212,6 +231,25 @@ def test_bootstrap_repeats(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(50)], "k string, t int, v double")
     one, two = (learning.bootstrap_mean(df, ["k"], ["t"], "v", 300, 0.95).first() for _ in range(2))
     assert one == two and one.low < one["mean"] < one.high
+    at = lambda b, k: int(hashlib.md5(f"{b}:{k}".encode()).hexdigest()[:8], 16) % 50
+    means = sorted(sum(at(b, k) for k in range(50)) / 50 for b in range(300))
+    assert (one.low, one.high) == (means[7], means[292])
+
+
+def test_leading_patterns(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 7)) + np.outer(rng.normal(size=40) * 3, np.sin(np.arange(7)))
+    known = rng.random(x.shape) > 0.1
+    rows = [(c, 2000 + t, float(x[c, t])) for c in range(40) for t in range(7) if known[c, t]] + [(99, 2001, None)]
+    df = spark.createDataFrame(rows, "c int, t int, v double").repartition(5)
+    got = learning.leading_patterns(df, ["c"], "t", "v", F.lit(1.0), 2).toPandas().sort_values(["mode", "t"])
+    a = np.where(known, x - np.nanmean(np.where(known, x, np.nan), axis=1, keepdims=True), 0.0)
+    u, s, _ = np.linalg.svd(a.T)
+    for i in range(2):
+        v, g = u[:, i] * s[i], got[got["mode"] == i + 1]
+        assert g["score"].to_numpy() == pytest.approx(v * np.sign(v[np.argmax(np.abs(v))]))
+        assert g["share"].iloc[0] == pytest.approx(s[i] ** 2 / (s**2).sum())
+    assert learning.leading_patterns(df.where("false"), ["c"], "t", "v", F.lit(1.0), 2).count() == 0
 
 
 def test_stores(spark, tmp_path):
