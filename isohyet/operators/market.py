@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared
 from .windows import Ordered, ewms
 
 P = Ordered(["symbol"], ["date"])
@@ -84,17 +85,17 @@ def calm(rows: DataFrame, by: list[str], order: list[str], n: int, lookback: int
     bandwidth in the lowest ``q_band`` (else ``q``, too), of the ``lookback`` rows
     up to it."""
     s = Ordered(by, order)
-    rows = ewms(rows.withColumn("_tr", true_range(s)), by, order, [("_atr", "_tr", 1.0 / n, n)])
-    rows = rows.withColumn("_bbw", 4 * s.std("close", n, ddof=0) / s.mean("close", n))
+    rows = rows.withColumns({"_tr": true_range(s), "_bbw": 4 * s.std("close", n, ddof=0) / s.mean("close", n)})
     least = max(5, lookback // 5)
-    narrow = (F.col("_range") <= q) | (F.col("_band") <= (q if q_band is None else q_band))
-    return rows.withColumns({"_range": s.rank_last("_atr", lookback, least), "_band": s.rank_last("_bbw", lookback, least)}).where(narrow)
+    rows = ewms(rows, by, order, [("_atr", "_tr", 1.0 / n, n)], [("_range", "_atr", lookback, least), ("_band", "_bbw", lookback, least)])
+    return rows.where((F.col("_range") <= q) | (F.col("_band") <= (q if q_band is None else q_band)))
 
 
 def low_volatility_days(days: DataFrame, n: int, weeks: tuple[float, ...], daily: tuple[float, ...], after: int) -> DataFrame:
     """Calm days in the ``after`` + 1 days that follow a calm week; ``weeks`` and
     ``daily`` are the rows looked back on and the share of them, or a share for
-    the range and one for the band."""
+    the range and one for the band. Days are written once and read twice."""
+    days = shared(days)
     flagged = calm(weekly(days), ["symbol"], ["week_end"], n, *weeks)
     # Each flag covers a bounded number of days: listing them makes the range
     # join an equi-join.

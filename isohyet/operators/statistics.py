@@ -8,7 +8,7 @@ aggregated rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -61,20 +61,88 @@ def welch(a: str, b: str) -> tuple[Column, Column]:
     return t, F.try_divide(F.pow(va + vb, 2), va * va / (F.col(f"n_{a}") - 1) + vb * vb / (F.col(f"n_{b}") - 1))
 
 
+def inversions(a: np.ndarray) -> int:
+    """Pairs of places whose values fall, by merging sorted runs."""
+    ranks = np.unique(a, return_inverse=True)[1].astype(np.int64)
+    n, total, width = len(ranks), 0, 1
+    if n < 2:
+        return 0
+    top = int(ranks.max()) + 1
+    ranks = np.append(ranks, np.full((1 << (n - 1).bit_length()) - n, top - 1))
+    while width < n:
+        runs = ranks.reshape(-1, 2 * width)
+        base = np.arange(len(runs))[:, None]
+        left, right = (runs[:, :width] + base * top).ravel(), (runs[:, width:] + base * top).ravel()
+        total += int((np.searchsorted(right, left, "left") - np.repeat(np.arange(len(runs)) * width, width)).sum())
+        ranks = np.sort(runs, axis=1).ravel()
+        width *= 2
+    return total
+
+
+def pairs_of(*columns: np.ndarray) -> int:
+    """Pairs of places with equal values in all columns."""
+    n = np.unique(np.column_stack(columns), axis=0, return_counts=True)[1].astype(np.int64)
+    return int((n * (n - 1) // 2).sum())
+
+
+def sen_slope(x: np.ndarray, y: np.ndarray, direct: int = 1000) -> float:
+    """Median of the slopes between places of different ``x``, which ascends.
+    Beyond ``direct`` places it is halved in on by counting smaller slopes: those
+    of pairs whose order turns when the slope is taken off."""
+    n = len(x)
+    if n <= direct:
+        i, j = np.triu_indices(n, 1)
+        apart = x[j] > x[i]
+        return float(np.median((y[j] - y[i])[apart] / (x[j] - x[i])[apart])) if apart.any() else np.nan
+    many = n * (n - 1) // 2 - pairs_of(x)
+    if not many:
+        return np.nan
+    first = np.flatnonzero(np.diff(x, prepend=x[0] - 1))
+    low, high = np.minimum.reduceat(y, first), np.maximum.reduceat(y, first)
+    steps = np.diff(x[first])
+    span = ((low[1:] - high[:-1]) / steps).min(), ((high[1:] - low[:-1]) / steps).max()
+
+    def smaller(s: float) -> int:
+        # Pairs of equal x ascend in y, so they never turn.
+        rest = y - s * x
+        return inversions(rest[np.lexsort((rest, x))])
+
+    def nth(k: int) -> float:
+        a, b = span
+        for _ in range(100):
+            middle = (a + b) / 2
+            if not a < middle < b:
+                break
+            a, b = (a, middle) if smaller(middle) > k else (middle, b)
+        return (a + b) / 2
+
+    k = (many - 1) // 2
+    return nth(k) if many % 2 else (nth(k) + nth(k + 1)) / 2
+
+
 def mann_kendall(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """S, its z (no tie correction), and Theil-Sen's slope, from the sorted
-    series of each group (a series is one row)."""
-    s = F.sort_array(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))))
-    rows = df.where(F.col(y).isNotNull()).groupBy(*by).agg(s.alias("s"))
-    pairs = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice(F.col("s"), i + 2, F.size("s")), lambda b: F.struct(F.signum(b["y"] - a["y"]).alias("g"), F.try_divide(b["y"] - a["y"], b["x"] - a["x"]).alias("k")))))
-    rows = rows.withColumn("p", pairs).withColumn("n", F.size("s"))
-    rows = rows.withColumn("S", F.aggregate("p", F.lit(0.0), lambda acc, v: acc + v["g"]))
-    k = F.sort_array(F.transform("p", lambda v: v["k"]))
-    m = F.size(k)
-    sen = F.when(m > 0, (F.get(k, F.floor((m - 1) / 2).cast("int")) + F.get(k, F.floor(m / 2).cast("int"))) / 2)
-    var = F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18
+    """S, its z (no tie correction), and Theil-Sen's slope of each group. A series
+    is one row and is counted by merging, n log n; pairs of equal ``x`` count
+    neither in S nor among the slopes."""
+    s = F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
+    known = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))
+    rows = df.where(known).groupBy(*by).agg(s.alias("s")).select(*by, F.col("s.x").alias("_x"), F.col("s.y").alias("_y"))
+    schema = T.StructType([*rows.select(*by).schema.fields, T.StructField("n", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("S", "sen")]])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for a, b in zip(pdf["_x"], pdf["_y"], strict=True):
+                a, b = np.asarray(a, float), np.asarray(b, float)
+                untied = len(a) * (len(a) - 1) // 2 - pairs_of(a) - pairs_of(b) + pairs_of(a, b)
+                out.append((len(a), float(untied - 2 * inversions(b)), sen_slope(a, b)))
+            yield pdf.drop(columns=["_x", "_y"]).assign(n=[o[0] for o in out], S=[o[1] for o in out], sen=[o[2] for o in out])
+
+    rows = rows.mapInPandas(count, schema)
+    n = F.col("n").cast("double")
+    var = n * (n - 1) * (2 * n + 5) / 18
     z = F.when(F.col("S") > 0, (F.col("S") - 1) / F.sqrt(var)).when(F.col("S") < 0, (F.col("S") + 1) / F.sqrt(var)).otherwise(0.0)
-    return rows.select(*by, "n", "S", z.alias("z"), sen.alias("sen"))
+    return rows.select(*by, "n", "S", z.alias("z"), "sen")
 
 
 def weighted_mean(x: str | Column, w: str | Column) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -64,14 +65,6 @@ class Ordered:
         """Linear quantile of the ``n`` rows before the current one."""
         return self.guarded(F.percentile(_col(value), F.lit(q)), value, self.rows(-n, -1), min_periods)
 
-    def rank_last(self, value: str | Column, n: int, min_periods: int) -> Column:
-        """Share of the frame at or below its last value, ties averaged. If the
-        current value is null the last non-null one of the frame is ranked."""
-        frame = self.rows(1 - n)
-        held, last = F.collect_list(_col(value)).over(frame), F.last(_col(value), ignorenulls=True).over(frame)
-        below, equal = F.size(F.filter(held, lambda x: x < last)), F.size(F.filter(held, lambda x: x == last))
-        return F.when(F.count(_col(value)).over(frame) >= min_periods, (below + (equal + 1) / 2) / F.size(held))
-
     def range_position(self, value: str | Column, n: int) -> Column:
         low, high = self.min(value, n), self.max(value, n)
         return F.try_divide(_col(value) - low, high - low)
@@ -147,22 +140,49 @@ def ranked_pct(df: DataFrame, group: Sequence[str], value: str, name: str) -> Da
     return df.withColumn(name, (less + 1 + (ties - 1) / 2) / F.count("*").over(w))
 
 
-def ewms(df: DataFrame, by: Sequence[str], order: Sequence[str], means: Sequence[tuple[str, str, float, int]]) -> DataFrame:
+def rank_of_last(x: np.ndarray, n: int, least: int, block: int = 4096) -> np.ndarray:
+    """Share of the ``n`` values up to each that are at or below it, ties
+    averaged; where it is missing, the last known one of the frame is ranked. No
+    rank where the frame has fewer than ``least`` known values."""
+    x = np.asarray(x, float)
+    if not len(x):
+        return x
+    last = pd.Series(x).ffill(limit=n - 1).to_numpy() if n > 1 else x
+    frames = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), x]), n)
+    out = np.full(len(x), np.nan)
+    for at in range(0, len(x), block):
+        frame, now = frames[at : at + block], last[at : at + block, None]
+        held = (~np.isnan(frame)).sum(1)
+        rank = ((frame < now).sum(1) + ((frame == now).sum(1) + 1) / 2) / np.maximum(held, 1)
+        out[at : at + block] = np.where(held >= max(least, 1), rank, np.nan)
+    return out
+
+
+def ewms(df: DataFrame, by: Sequence[str], order: Sequence[str], means: Sequence[tuple[str, str, float, int]], ranks: Sequence[tuple[str, str, int, int]] = ()) -> DataFrame:
     """Exponentially weighted means with ``adjust=False``, seeded by the first
     non-null value: for each (name, value, alpha, min_periods) a column, which
-    later ones may have as their value. One pass of a function an entity for all
-    of them; an entity's series must fit a task."""
-    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name, *_ in means]])
+    later ones may have as their value; then for each (name, value, n, least) of
+    ``ranks`` the rank of the last of ``n`` rows. One pass of a function an entity
+    for all of them; an entity's series must fit a task."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name, *_ in (*means, *ranks)]])
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order), kind="stable")
         for name, value, alpha, least in means:
             pdf[name] = pdf[value].astype(float).ewm(alpha=alpha, adjust=False, ignore_na=True, min_periods=least).mean()
+        for name, value, n, least in ranks:
+            pdf[name] = rank_of_last(pdf[value].astype(float).to_numpy(), n, least)
         return pdf
 
     return df.groupBy(*by).applyInPandas(each, schema)
 
 
+def ranked_last(df: DataFrame, by: Sequence[str], order: Sequence[str], ranks: Sequence[tuple[str, str, int, int]]) -> DataFrame:
+    """For each (name, value, n, least) the rank of the last of ``n`` rows, see
+    :func:`rank_of_last`."""
+    return ewms(df, by, order, (), ranks)
+
+
 def ewm(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, alpha: float, name: str, min_periods: int = 1) -> DataFrame:
     return ewms(df, by, order, [(name, value, alpha, min_periods)])
 

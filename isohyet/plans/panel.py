@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import market
-from ..operators.windows import Ordered, ewm, ranked_pct
+from ..operators.windows import Ordered, ewm, ranked_last, ranked_pct
 from .base import BARS, bars, query, r
 
 P = Ordered(["symbol"], ["date"])
@@ -72,7 +72,8 @@ def rolling_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {BARS}, x as (select symbol, date, close, list(close) over {frame(50)} as held from bars)
 select symbol, date, round(case when len(held) >= 10 then (len(list_filter(held, lambda v: v < close)) + (len(list_filter(held, lambda v: v = close)) + 1) / 2.0) / len(held) end, 6) as rank_last from x""")
 def rolling_rank_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(spark, sf_dir).select("symbol", "date", r(P.rank_last("close", 50, 10)).alias("rank_last"))
+    days = bars(spark, sf_dir).select("symbol", "date", "close")
+    return ranked_last(days, ["symbol"], ["date"], [("at", "close", 50, 10)]).select("symbol", "date", r("at").alias("rank_last"))
 
 
 @query(f"""with {BARS}, x as (select *, {guarded("min(close)", "close", 52)} as lo, {guarded("max(close)", "close", 52)} as hi from bars)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import math
 
-import numpy as np
 import numpy as np
 import pandas as pd
 import pytest
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions import air
 from isohyet.operators import backtest, frames, joins, learning, market, physics, signal, sphere, statistics
-from isohyet.operators.windows import Ordered, ewm, interpolated, islands, merged_intervals, ranked_pct
+from isohyet.operators.windows import Ordered, ewm, interpolated, islands, merged_intervals, rank_of_last, ranked_last, ranked_pct
 
 S = Ordered(["k"], ["t"])
 
@@ -64,7 +63,42 @@ def test_rank_of_last(series):
         x = x[~np.isnan(x)]
         return pd.Series(x).rank(pct=True).iloc[-1] if len(x) >= 4 else np.nan
 
-    same(df.withColumn("x", S.rank_last("v", 8, 4)), pdf, "x", by_key(pdf, lambda v: v.rolling(8, min_periods=1).apply(last, raw=True) if True else v))
+    same(ranked_last(df, ["k"], ["t"], [("x", "v", 8, 4)]), pdf, "x", by_key(pdf, lambda v: v.rolling(8, min_periods=1).apply(last, raw=True)))
+    x = np.random.default_rng(1).integers(0, 9, 300).astype(float)
+    for n, block in ((1, 7), (5, 7), (400, 64)):
+        want = pd.Series(x).rolling(n, min_periods=1).rank(pct=True).to_numpy()
+        assert np.allclose(rank_of_last(x, n, 1, block), want)
+    assert len(rank_of_last(np.empty(0), 5, 1)) == 0
+
+
+def test_mann_kendall_by_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for g, n, levels in (("one", 1, 9), ("two", 2, 9), ("ties", 40, 3), ("flat", 10, 1), ("odd", 33, 1000), ("same", 6, 50)):
+        x = np.zeros(n) if g == "same" else rng.integers(0, 30, n) if g == "ties" else rng.permutation(n)
+        rows += [(g, int(a), float(b)) for a, b in zip(x, rng.integers(0, levels, n), strict=True)]
+    df = spark.createDataFrame([*rows, ("odd", 99, None), ("odd", None, 1.0), ("odd", 98, float("nan"))], "g string, x int, y double").repartition(4)
+    got = {r["g"]: r for r in statistics.mann_kendall(df, ["g"], "x", "y").collect()}
+    for g in {r[0] for r in rows}:
+        p = [(a, b) for k, a, b in rows if k == g]
+        s = sum(np.sign(c - a) * np.sign(d - b) for i, (a, b) in enumerate(p) for c, d in p[:i])
+        k = [(d - b) / (c - a) for i, (a, b) in enumerate(p) for c, d in p[:i] if c != a]
+        assert (got[g]["n"], got[g]["S"]) == (len(p), s)
+        assert got[g]["sen"] == (pytest.approx(np.median(k)) if k else None)
+    assert statistics.mann_kendall(df.where("false"), ["g"], "x", "y").count() == 0
+
+
+def test_sen_slope_by_counting():
+    rng = np.random.default_rng(3)
+    for n, ties in ((2, False), (31, False), (40, True), (120, False)):
+        x = np.sort(rng.integers(0, n // 2, n).astype(float)) if ties else np.arange(n, dtype=float)
+        y = 0.3 * x + rng.normal(size=n).round(1 if ties else 9)
+        y = y[np.lexsort((y, x))]
+        assert statistics.sen_slope(x, y, direct=1) == pytest.approx(statistics.sen_slope(x, y), rel=1e-9, abs=1e-12)
+    long = np.arange(20000.0)
+    assert statistics.sen_slope(long, 2 * long + rng.normal(size=20000)) == pytest.approx(2, abs=1e-3)
+    falls = rng.integers(0, 50, 500)
+    assert statistics.inversions(falls) == sum(int((falls[i] > falls[i + 1 :]).sum()) for i in range(500))
 
 
 def test_runs_and_intervals(spark):
