@@ -155,3 +155,18 @@ def op2_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit, n_words = F.col("n_hit"), F.col("n_words")
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"))
+
+
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Every shingle of a window's length is met with the windows; a row is a place.
+ORACLE = f"""
+with d as (select doc_id, row_number() over () as place, {WORDS} as w from documents),
+i as (select cast(item_id as varchar) as item_id, {WORDS} as w, least(len(w), {WINDOW}) as size from benchmark),
+win as (select distinct item_id, size, array_to_string(w[p : p + size - 1], ' ') as s from (select *, unnest(range(1, len(w) - size + 2)) as p from i where size > 0)),
+spots as (select place, size, w, unnest(range(1, len(w) - size + 2)) as p from d, (select distinct size from win)),
+met as (select place, p, win.size, item_id from (select place, size, p, array_to_string(w[p : p + size - 1], ' ') as s from spots) sh join win on win.size = sh.size and win.s = sh.s),
+hit as (select place, count(*) as n_hit from (select distinct place, unnest(range(p, p + size)) as q from met) group by 1),
+found as (select place, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct place, item_id from met) group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit using (place) left join found using (place)
+"""

@@ -19,4 +19,4 @@ QUERIES = {
     "op12_bloom_language_id": op12_language_id.op12_bloom_language_id,
     "op13_distance_keys": op13_hard_negatives.op13_distance_keys,
 }
-ORACLES = {"op10_license_digests": op10_licenses.oracle(), "op13_distance_keys": op13_hard_negatives.ORACLE}
+ORACLES = {"op2_prefix_filter": op02_decontaminate.ORACLE, "op10_license_digests": op10_licenses.oracle(), "op13_distance_keys": op13_hard_negatives.ORACLE}
