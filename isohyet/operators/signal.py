@@ -16,17 +16,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def butterworth(order: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
-    """Band-pass coefficients for cut-offs in units of the Nyquist frequency:
-    analogue low-pass poles, moved to the band, through the bilinear transform."""
+def butterworth(order: int, low: float | None, high: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of a pass between cut-offs in units of the Nyquist frequency;
+    without ``low`` all slower waves pass, without ``high`` all faster ones.
+    Analogue low-pass poles, moved to the band, through the bilinear transform."""
+    if low is None and high is None:
+        raise ValueError("a filter needs a cut-off")
     k = np.arange(1, order + 1)
     poles = np.exp(1j * np.pi * (2 * k + order - 1) / (2 * order))
-    w1, w2 = 4 * np.tan(np.pi * low / 2), 4 * np.tan(np.pi * high / 2)
-    width, centre = w2 - w1, np.sqrt(w1 * w2)
-    half = poles * width / 2
-    poles = np.concatenate([half + np.sqrt(half**2 - centre**2), half - np.sqrt(half**2 - centre**2)])
-    gain = width**order * np.real(4.0**order / np.prod(4 - poles))
-    return gain * np.poly(np.concatenate([np.ones(order), -np.ones(order)])), np.real(np.poly((4 + poles) / (4 - poles)))
+    w1, w2 = (4 * np.tan(np.pi * w / 2) if w is not None else None for w in (low, high))
+    if low is None:
+        poles, gain, zeros = poles * w2, w2**order, -np.ones(order)
+    elif high is None:
+        poles, gain, zeros = w1 / poles, 4.0**order, np.ones(order)
+    else:
+        width, centre = w2 - w1, np.sqrt(w1 * w2)
+        half = poles * width / 2
+        poles = np.concatenate([half + np.sqrt(half**2 - centre**2), half - np.sqrt(half**2 - centre**2)])
+        gain, zeros = (4 * width) ** order, np.concatenate([np.ones(order), -np.ones(order)])
+    return np.real(gain / np.prod(4 - poles)) * np.poly(zeros), np.real(np.poly((4 + poles) / (4 - poles)))
 
 
 @lru_cache(maxsize=8)
@@ -91,13 +99,18 @@ def harmonics(df: DataFrame, by: Sequence[str], position: str, value: str, k: in
     return rows.join(waves, list(by)).select(*df.columns, fit.alias(name))
 
 
-def per_series(df: DataFrame, by: Sequence[str], order: str, value: str, name: str, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``fn`` of every entity's ordered values, as a new column."""
-    schema = df.select(*by, order, value).schema.add(name, "double")
+def per_series(df: DataFrame, by: Sequence[str], order: str, value: str, name: str | Sequence[str], fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``fn`` of every entity's ordered values, as a new column, or as several of
+    a matrix's columns where ``name`` has several."""
+    names = [name] if isinstance(name, str) else list(name)
+    schema = df.select(*by, order, value).schema
+    for c in names:
+        schema = schema.add(c, "double")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        return pdf.assign(**{name: fn(pdf[value].to_numpy(float))})
+        found = np.asarray(fn(pdf[value].to_numpy(float))).reshape(len(pdf), len(names))
+        return pdf.assign(**{c: found[:, i] for i, c in enumerate(names)})
 
     return df.select(*by, order, value).groupBy(*by).applyInPandas(one, schema)
 

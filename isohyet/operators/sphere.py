@@ -125,3 +125,33 @@ def wave_activity_flux(df: DataFrame, anomaly: str, u: str, v: str, temperature:
     }
     rows = rows.withColumns({k: F.when(F.col(u) >= westerly, x) for k, x in fluxes.items()})
     return rows.drop("_f", "_h", "_theta", "_tz", *[f"_{k}" for k in c])
+
+
+def resampled(df: DataFrame, axis: str, targets: Sequence[float], value: str, by: Sequence[str], period: float | None = None) -> DataFrame:
+    """Each line along ``axis``, drawn straight between its known points, at
+    ``targets``; rows are ``by``, ``axis`` and ``value``. Beyond its ends a line
+    keeps its end value; with a ``period`` its last point is followed by its first
+    one. Points without a value or place do not count, a line without any has no
+    rows, and of points at one place the mean counts.
+
+    A leg between two points lists the targets on it and no others, so the work
+    is the points and the results, whatever the number of targets.
+    """
+    x, v = F.col(axis).cast("double"), F.col(value).cast("double")
+    points = df.where(x.isNotNull() & v.isNotNull()).groupBy(*by, x.alias("_x0")).agg(F.avg(v).alias("_v0"))
+    w = Window.partitionBy(*by).orderBy("_x0")
+    legs = points.withColumns({"_x1": F.lead("_x0").over(w), "_v1": F.lead("_v0").over(w), "_f": F.first("_x0").over(w), "_fv": F.first("_v0").over(w)})
+    at = F.array(*[F.lit(float(t)) for t in targets])
+    if period:
+        legs = legs.withColumns({"_x1": F.coalesce("_x1", F.col("_f") + period), "_v1": F.coalesce("_v1", "_fv")})
+        turn = lambda t: F.col("_f") + F.pmod(t - F.col("_f"), F.lit(float(period)))
+        on = F.filter(at, lambda t: (turn(t) >= F.col("_x0")) & (turn(t) < F.col("_x1")))
+        place = turn(F.col("_t"))
+        flat = F.lit(False)
+    else:
+        before = (F.col("_x0") == F.col("_f"))
+        on = F.filter(at, lambda t: ((t >= F.col("_x0")) & (F.col("_x1").isNull() | (t < F.col("_x1")))) | (before & (t < F.col("_x0"))))
+        place = F.col("_t")
+        flat = (place < F.col("_x0")) | F.col("_x1").isNull()
+    straight = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (place - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))
+    return legs.withColumn("_t", F.explode(on)).select(*by, F.col("_t").alias(axis), F.when(flat, F.col("_v0")).otherwise(straight).alias(value))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import signal, statistics as st
+from ..operators import signal, sphere, statistics as st
 from ..operators.windows import Ordered
 from .base import BARS, CELL_YEAR, GRID, MONTHLY, bars, by_cell_year, grid, query, r, table
 
@@ -232,25 +233,66 @@ def harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
 BAND = signal.butterworth(3, 2 / 20, 2 / 8)
 
 
-def filter_sql(name: str, source: str) -> str:
-    """One pass of the band's filter over the list ``x`` of each symbol, from the
-    state that a constant series at its first value would have left."""
-    b, a = ([repr(float(v)) for v in c] for c in BAND)
-    start = signal.resting(*BAND)
+def filter_sql(name: str, coefficients: tuple, source: str = "l") -> str:
+    """Both passes of a filter over the list ``x`` of each symbol, with odd
+    extensions, each from the state that a constant series at its first value
+    would have left; ``name`` has the list of results."""
+    b, a = ([repr(float(v)) for v in c] for c in coefficients)
+    pad, start = 3 * len(a), signal.resting(*coefficients)
     first = ", ".join(f"{float(v)!r} * x[1] as z{i}" for i, v in enumerate(start))
     step = ", ".join(f"{f'z{i + 1} + ' if i + 1 < len(start) else ''}{b[i + 1]} * v - {a[i + 1]} * ({b[0]} * v + z0)" for i in range(len(start)))
-    return f"""{name}_i as (select symbol, 0 as i, 0.0::double as y, {first} from {source} union all
- select symbol, i + 1, {b[0]} * v + z0, {step} from (select {name}_i.*, x[i + 1] as v from {name}_i join {source} using (symbol) where i < len(x))),
-{name} as (select symbol, list(y order by i desc) as x from {name}_i where i > 0 group by 1)"""
+    out = [f"{name}_0 as materialized (select symbol, list_concat(list_transform(range({pad + 1}, 1, -1), lambda i: 2 * x[1] - x[i]), x, list_transform(range(1, {pad + 1}), lambda i: 2 * x[-1] - x[-1 - i])) as x from {source} where len(x) > {pad})"]
+    for k in (1, 2):
+        now, before = f"{name}_{k}", f"{name}_{k - 1}"
+        out.append(f"""{now}_i as (select symbol, 0 as i, 0.0::double as y, {first} from {before} union all
+ select symbol, i + 1, {b[0]} * v + z0, {step} from (select {now}_i.*, x[i + 1] as v from {now}_i join {before} using (symbol) where i < len(x)))""")
+        out.append(f"{now} as materialized (select symbol, list(y order by i desc) as x from {now}_i where i > 0 group by 1)")
+    out.append(f"{name} as materialized (select symbol, list_slice(x, {pad + 1}, len(x) - {pad}) as x from {name}_2)")
+    return ",\n".join(out)
 
 
-@query(f"""with recursive {BARS}, l as (select symbol, list(close order by date) as x from bars group by 1 having count(*) > 21),
-ext as (select symbol, list_concat(list_transform(range(22, 1, -1), lambda i: 2 * x[1] - x[i]), x, list_transform(range(1, 22), lambda i: 2 * x[-1] - x[-1 - i])) as x from l),
-{filter_sql("there", "ext")}, {filter_sql("back", "there")}
-select b.symbol, b.date, round(k.x[t + 21], 4) as band from bars b left join back k on k.symbol = b.symbol""")
+SERIES = f"{BARS}, l as materialized (select symbol, list(close order by date) as x from bars group by 1)"
+
+
+@query(f"""with recursive {SERIES}, {filter_sql("band", BAND)} select b.symbol, b.date, round(k.x[t], 4) as band from bars b left join band k on k.symbol = b.symbol""")
 def butter_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, a = BAND
-    return signal.per_series(bars(spark, sf_dir), ["symbol"], "date", "close", "band", lambda x: signal.filtfilt(b, a, x)).select("symbol", "date", r("band", 4).alias("band"))
+    return signal.per_series(bars(spark, sf_dir), ["symbol"], "date", "close", "band", lambda x: signal.filtfilt(*BAND, x)).select("symbol", "date", r("band", 4).alias("band"))
+
+
+SLOW, FAST = signal.butterworth(4, None, 2 / 30), signal.butterworth(4, 2 / 10, None)
+
+
+@query(f"""with recursive {SERIES}, {filter_sql("slow", SLOW)}, {filter_sql("fast", FAST)}
+select b.symbol, b.date, round(s.x[t], 2) as slow, round(f.x[t], 2) as fast from bars b left join slow s on s.symbol = b.symbol left join fast f on f.symbol = b.symbol""")
+def butter_low_high(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waves of more than 30 days, and of less than 10; one pass over each series."""
+    pair = lambda x: np.column_stack([signal.filtfilt(*c, x) for c in (SLOW, FAST)])
+    return signal.per_series(bars(spark, sf_dir), ["symbol"], "date", "close", ("slow", "fast"), pair).select("symbol", "date", r("slow", 2).alias("slow"), r("fast", 2).alias("fast"))
+
+
+AXES = ("level", (150.0, 300.0, 850.0, 1100.0), None), ("lat", (-5.0, 5.0, 12.5, 50.0), None), ("lon", (0.0, 22.5, 100.0, 350.0), 360.0)
+
+
+def axis_sql(name: str, source: str, axis: str, targets: tuple, period: float | None) -> str:
+    keys = ", ".join(c for c in ("year", "level", "lat", "lon") if c != axis)
+    legs = f"select {keys}, {axis} as x0, v as v0, lead({axis}) over w as x1, lead(v) over w as v1, first_value({axis}) over w as f, first_value(v) over w as fv from {source} window w as (partition by {keys} order by {axis})"
+    if period:
+        legs = f"select * replace (coalesce(x1, f + {period}) as x1, coalesce(v1, fv) as v1) from ({legs})"
+        return f"""{name} as (select {keys}, t as {axis}, v0 + (v1 - v0) * (case when t < f then t + {period} else t end - x0) / (x1 - x0) as v from ({legs}), (select unnest({list(targets)}) as t)
+ where case when t < f then t + {period} else t end >= x0 and case when t < f then t + {period} else t end < x1)"""
+    return f"""{name} as (select {keys}, t as {axis}, case when t < x0 or x1 is null then v0 else v0 + (v1 - v0) * (t - x0) / (x1 - x0) end as v from ({legs}), (select unnest({list(targets)}) as t)
+ where (t >= x0 and (x1 is null or t < x1)) or (t < x0 and x0 = f))"""
+
+
+@query(f"""with f0 as (select cast(year(o_orderdate) as integer) as year, cast(left(o_orderpriority, 1) as integer) * 200.0::double as level, (o_custkey % 6) * 10.0::double as lat, ((o_custkey // 6) % 8) * 45.0::double as lon, avg(o_totalprice) as v from orders group by 1, 2, 3, 4),
+{", ".join(axis_sql(f"f{i + 1}", f"f{i}", *a) for i, a in enumerate(AXES))} select year, level, lat, lon, round(v, 3) as v from f3""")
+def grid_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of four dimensions on other levels, latitudes and longitudes."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_custkey")
+    f = o.groupBy(F.year("o_orderdate").alias("year"), (F.substring("o_orderpriority", 1, 1).cast("int") * 200.0).alias("level"), (k % 6 * 10.0).alias("lat"), (F.floor(k / 6) % 8 * 45.0).alias("lon")).agg(F.avg("o_totalprice").alias("v"))
+    for axis, targets, period in AXES:
+        f = sphere.resampled(f, axis, targets, "v", [c for c in ("year", "level", "lat", "lon") if c != axis], period)
+    return f.select("year", "level", "lat", "lon", r("v", 3).alias("v"))
 
 
 @query(f"""with {BARS}, l as (select symbol, count(*) as n, regr_slope(close, t - 1) as k, regr_intercept(close, t - 1) as c, greatest(1, count(*) // 20) as m from bars group by 1 having count(*) >= 4),

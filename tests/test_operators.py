@@ -158,6 +158,28 @@ def test_butterworth_response():
         assert np.allclose(signal.lfilter(b, a, x[:n], z), signal.lfilter(b, a, x[:n], z, size=1))
 
 
+def test_low_and_high_pass():
+    for low, high in ((None, 0.2), (0.2, None)):
+        b, a = signal.butterworth(4, low, high)
+        gain = lambda w: abs(np.polyval(b, np.exp(1j * np.pi * w)) / np.polyval(a, np.exp(1j * np.pi * w)))  # noqa: B023, E731
+        assert gain(0.2) == pytest.approx(2**-0.5, rel=1e-6)
+        assert (gain(0.0), gain(1.0)) == pytest.approx((1, 0) if low is None else (0, 1), abs=1e-6)
+    with pytest.raises(ValueError):
+        signal.butterworth(4, None, None)
+
+
+def test_resampled(spark):
+    rows = [("a", 10.0, 1.0), ("a", 30.0, 5.0), ("a", 30.0, 7.0), ("a", 350.0, 3.0), ("a", None, 9.0), ("a", 20.0, None), ("one", 5.0, 2.0), ("none", 1.0, None)]
+    df = spark.createDataFrame(rows, "k string, x double, v double")
+    at = [0.0, 10.0, 20.0, 190.0, 355.0]
+    for period in (None, 360.0):
+        got = {(r["k"], r["x"]): r["v"] for r in sphere.resampled(df, "x", at, "v", ["k"], period).collect()}
+        assert len(got) == 10
+        for t in at:
+            assert got["a", t] == pytest.approx(np.interp(t, [10, 30, 350], [1, 6, 3], period=period)) and got["one", t] == 2
+    assert sphere.resampled(df.where("false"), "x", at, "v", ["k"]).count() == 0
+
+
 def test_harmonics(spark):
     rng = np.random.default_rng(5)
     series = {"even": rng.normal(size=12), "odd": rng.normal(size=9), "short": rng.normal(size=3), "one": np.array([2.0])}
