@@ -184,8 +184,11 @@ def poisson_boosting(
     that loses less. ``rows`` and ``columns`` are the shares drawn for each round
     by a hash of ``key`` and of the names.
 
+    Rows are written once before they are cut: cuts are values of rows, and a mean
+    computed anew may differ in its last bit and so change sides. For the same
+    reason rows that the model is asked about should be written, if they are means.
     Binned rows and, every ``write_every`` rounds, their sums go to the shared
-    folder; between, the trees are one expression, so that no plan grows with the
+    folder, too; between, the trees are one expression, so that no plan grows with the
     number of rounds. Rows whose count is null, negative or no number take no
     part; without any row, or where all counts are 0, the model is a constant 0.
     """
@@ -193,7 +196,7 @@ def poisson_boosting(
         raise ValueError("at least one feature, two bins and one level are needed")
     features = list(features)
     count = number(y)
-    data = df.where(count >= 0).select(F.col(key).alias("_key"), count.alias("_y"), *[number(c).alias(f"_x{i}") for i, c in enumerate(features)])
+    data = shared(df.where(count >= 0).select(F.col(key).alias("_key"), count.alias("_y"), *[number(c).alias(f"_x{i}") for i, c in enumerate(features)]))
     at = [i / bins for i in range(1, bins)]
     first = data.agg(F.avg("_y").alias("mean"), *[F.percentile_approx(f"_x{i}", at, 10000).alias(f"c{i}") for i in range(len(features))]).first()
     cuts = [sorted(set(first[f"c{i}"] or [])) for i in range(len(features))]

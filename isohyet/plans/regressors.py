@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import regressors as reg
+from ..session import shared
 from .base import query, r, table
 
 SPLIT = 1997 * 12 + 1
@@ -101,7 +102,7 @@ def boosted(rows: DataFrame) -> reg.BoostedCounts:
 @query(BOOST_SQL + f" select unit, t, y, round(exp(f), 5) as expected from f{BOOST['rounds']} where not seen")
 def poisson_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts expected from 1997 on, by trees of the months before."""
-    rows = unit_months(spark, sf_dir)
+    rows = shared(unit_months(spark, sf_dir))
     return rows.where(F.col("t") >= SPLIT).select("unit", "t", "y", r(boosted(rows).expected(), 5).alias("expected"))
 
 

@@ -145,3 +145,21 @@ def test_columns_and_rows_are_drawn_alike(spark):
     df = spark.range(4000).withColumn("id", F.col("id"))
     share = df.where(reg.drawn("id", 1, 0.8)).count() / 4000
     assert 0.77 < share < 0.83 and share == df.repartition(7).where(reg.drawn("id", 1, 0.8)).count() / 4000
+
+
+def test_boosted_rows_are_computed_once(spark, monkeypatch):
+    """Cuts and bins come from one evaluation: the sums of another may end in
+    another bit."""
+    from isohyet.plans import regressors as plans
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def price(i):
+        calls.add(1)
+        return i % 7 / 3
+
+    rows = spark.range(120).select((F.col("id") % 6).cast("int").alias("unit"), (F.lit(plans.SPLIT - 10) + F.floor(F.col("id") / 6)).cast("int").alias("t"), (F.col("id") % 7 + 1).cast("double").alias("y"), price("id").alias("price"), (F.col("id") % 3 / 3).alias("urgent"))
+    monkeypatch.setattr(plans, "unit_months", lambda spark, sf_dir: rows)
+    assert plans.poisson_boosting(spark, "").count() == 60 and calls.value == 120
+    assert plans.boosting_gains(spark, "").count() > 0 and calls.value == 2 * 120 - 60
