@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared
+from ..session import shared, shared_root
 
 
 def csv(spark: SparkSession, path: str, schema: str | T.StructType, encoding: str = "UTF-8", key: str | None = None) -> DataFrame:
@@ -54,11 +55,21 @@ def whitespace_table(spark: SparkSession, path: str, names: Sequence[str], skip:
     return lines.where(F.trim("value") != "").select(*[number(i).alias(n) for i, n in enumerate(names)])
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file (its path), line (from 1, in the file's order) and value of all lines of
-    text files, of which large ones are read in parts."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    return lines.select("file", F.row_number().over(Window.partitionBy("file").orderBy("_block", "_at")).alias("line"), "value")
+def numbered_lines(spark: SparkSession, path: str, name: Callable[[Column], Column] = lambda path: path) -> DataFrame:
+    """file (its path, or ``name`` of it: files of one name are parts that follow
+    each other by path), line (from 1, in the file's order) and value of all lines
+    of text files. Large files are read in parts; lines are written once to the
+    shared folder with their place in their part, and only the lengths of the parts
+    are added up, so that no task holds a file."""
+    source = F.col("_metadata.file_path")
+    lines = spark.read.text(path).select("value", name(source).alias("file"), source.alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    kept = f"{shared_root(spark)}/lines-{uuid.uuid4().hex}"
+    lines.write.option("compression", "zstd").parquet(kept)
+    lines = spark.read.parquet(kept)
+    parts = lines.groupBy("file", "_path", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = shared(parts.select("_path", "_block", (before - F.col("_first") + 1).alias("_start")))
+    return lines.join(F.broadcast(starts), ["_path", "_block"]).select("file", (F.col("_at") + F.col("_start")).alias("line"), "value")
 
 
 def year_by_month(wide: DataFrame, year: str, months: Sequence[str], value: str = "value") -> DataFrame:
@@ -75,6 +86,8 @@ def file_parts(path: Column, names: Sequence[str], separator: str = "_") -> list
 
 
 HEADER = "66666"
+#: Lines that one task counts headers of.
+BLOCK = 1 << 17
 
 
 def best_tracks(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -84,30 +97,40 @@ def best_tracks(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     starts a storm; the lines up to the next belong to it. Header fields:
     marker, class, number of points, sequence, id, end flag, hours, name, date.
     Point fields: yyyymmddhh, grade, latitude and longitude in tenths, hPa, wind
-    and, optionally, mean wind. Storms are counted within their file.
+    and, optionally, mean wind. Storms are counted within their file: headers by
+    blocks of lines, and the counts of the blocks are added up.
     """
-    f = F.split(F.trim("value"), r"\s+")
     head = F.startswith(F.trim("value"), F.lit(HEADER))
-    rows = lines.where(F.trim("value") != "").withColumns({"_h": head.cast("int"), "_f": f})
-    rows = rows.withColumn("storm", F.sum("_h").over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines.where(F.trim("value") != "").select("file", "line", F.floor(F.col("line") / BLOCK).alias("_b"), head.cast("int").alias("_h"), F.split(F.trim("value"), r"\s+").alias("_f"))
     at = lambda i, kind="int": F.get("_f", F.lit(i)).try_cast(kind)
-    heads = rows.where("_h = 1")
-    storms = heads.select(
-        "file", "storm", at(2).alias("record_count"), F.get(F.split(F.get("_f", F.lit(4)), ","), F.lit(0)).alias("cn_id"), F.trim(F.regexp_replace(F.get("_f", F.lit(7)), r"\(.*?\)", "")).alias("name"),
+    time = F.try_to_timestamp(F.get("_f", F.lit(0)), F.lit("yyyyMMddHH"))
+    counts = lines.groupBy("file", "_b").agg(F.sum("_h").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    counts = shared(counts.select("file", "_b", F.coalesce(earlier, F.lit(0)).alias("_earlier")))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        within = F.sum("_h").over(Window.partitionBy("file", "_b").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+        return rows.withColumn("_within", within).join(F.broadcast(counts), ["file", "_b"]).withColumn("storm", F.col("_earlier") + F.col("_within"))
+
+    # Fields are read before lines are moved; lists of words stay behind.
+    storms = counted(lines.where("_h = 1").select(
+        "file", "_b", "line", "_h", at(2).alias("record_count"), F.get(F.split(F.get("_f", F.lit(4)), ","), F.lit(0)).alias("cn_id"), F.trim(F.regexp_replace(F.get("_f", F.lit(7)), r"\(.*?\)", "")).alias("name"),
         at(5).alias("end_flag"), at(6).alias("interval_hours"), F.try_to_timestamp(F.get("_f", F.lit(8)), F.lit("yyyyMMdd")).cast("date").alias("dataset_date"),
-    )
-    good = (F.size("_f").isin(6, 7)) & F.try_to_timestamp(F.get("_f", F.lit(0)), F.lit("yyyyMMddHH")).isNotNull()
-    points = rows.where("_h = 0 and storm > 0")
+    )).select("file", "storm", "record_count", "cn_id", "name", "end_flag", "interval_hours", "dataset_date")
+    good = F.coalesce(F.size("_f").isin(6, 7) & time.isNotNull(), F.lit(False)) & (F.col("_h") == 0)
+    rows = counted(lines.select(
+        "file", "_b", "line", "_h", good.alias("_good"), F.when(F.col("_h") == 1, at(2)).alias("record_count"), F.when(F.col("_h") == 1, F.contains(F.get("_f", F.lit(4)), F.lit(","))).alias("_listed"),
+        time.alias("time"), at(1).alias("grade"), (at(2, "double") / 10).alias("lat"), (at(3, "double") / 10).alias("lon"), at(4).alias("pressure"), at(5).alias("wind"), at(6).alias("mean_wind"),
+    )).where("storm > 0")
     nth = F.row_number().over(Window.partitionBy("file", "storm").orderBy("line"))
-    tracks = points.where(good).select(
-        "file", "storm", nth.alias("record_no"), F.try_to_timestamp(F.get("_f", F.lit(0)), F.lit("yyyyMMddHH")).alias("time"), at(1).alias("grade"),
-        (at(2, "double") / 10).alias("lat"), (at(3, "double") / 10).alias("lon"), at(4).alias("pressure"), at(5).alias("wind"), at(6).alias("mean_wind"),
-    )
-    counted = tracks.groupBy("file", "storm").agg(F.count("*").alias("n"))
-    wrong = storms.join(counted, ["file", "storm"], "left").where(F.coalesce("n", F.lit(0)) != F.coalesce("record_count", F.lit(-1))).select("file", "storm", F.lit("record count").alias("issue"))
-    listed = heads.where(F.contains(F.get("_f", F.lit(4)), F.lit(","))).select("file", "storm", F.lit("composite id").alias("issue"))
-    bad = points.where(~F.coalesce(good, F.lit(False))).select("file", "storm", F.lit("malformed point").alias("issue"))
-    return storms, tracks, wrong.unionByName(listed).unionByName(bad)
+    tracks = rows.where("_good").select("file", "storm", nth.alias("record_no"), "time", "grade", "lat", "lon", "pressure", "wind", "mean_wind")
+    each = rows.groupBy("file", "storm").agg(F.count_if("_good").alias("n"), F.max("record_count").alias("record_count"), F.max("_listed").alias("listed"), F.count_if(~F.col("_good") & (F.col("_h") == 0)).alias("bad"))
+    # Malformed points by the thousand, so that a storm of many makes no long list.
+    each = each.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("bad") / 1000))).alias("_k"))
+    once = F.array(F.when((F.col("_k") == 0) & (F.col("n") != F.coalesce("record_count", F.lit(-1))), "record count"), F.when((F.col("_k") == 0) & F.col("listed"), "composite id"))
+    many = F.array_repeat(F.lit("malformed point"), F.least(F.lit(1000), F.col("bad") - 1000 * F.col("_k")).cast("int"))
+    issues = each.select("file", "storm", F.explode(F.concat(F.array_compact(once), many)).alias("issue"))
+    return storms, tracks, issues
 
 
 def yearly_storms(storms: DataFrame, tracks: DataFrame, first: int, last: int) -> DataFrame:

@@ -454,3 +454,26 @@ def test_evapotranspiration_of_crops(spark):
         whole = slope + gamma * (1 + below * 2)
         assert got[2 * i] == pytest.approx(0.408 * slope * 12 / whole)
         assert got[2 * i + 1] == pytest.approx(gamma * above * 2 * 0.5 * es / 293 / whole)
+
+
+def test_best_tracks_of_parts_and_blocks(spark, tmp_path, monkeypatch):
+    """A file in parts is one file; storms go on over the blocks of lines that
+    tasks count, and so do their points."""
+    from isohyet.sources import text
+
+    monkeypatch.setattr(text, "BLOCK", 3)
+    point = "2024010100 2 150 1300 990 30"
+    lines = ["no storm yet", "66666 0000 4 0001 7,8 1 6 ONE(-1) 20240101", point, "", point, point, point, "66666 0000 2 0001 9 1 6 TWO 20240102", *["bad"] * 2500, point]
+    for part, some in enumerate((lines[:3], lines[3:9], lines[9:])):
+        (tmp_path / "f=a").mkdir(exist_ok=True)
+        (tmp_path / "f=a" / f"part-{part}.txt").write_text("\n".join(some) + "\n")
+    (tmp_path / "f=b").mkdir()
+    (tmp_path / "f=b" / "part-0.txt").write_text("66666 0000 0 0001 5 1 6 NIL 20240103\n")
+    numbered = text.numbered_lines(spark, str(tmp_path), lambda p: F.regexp_extract(p, "f=(.)", 1))
+    assert [r.value for r in numbered.where("file = 'a'").orderBy("line").collect()] == lines
+    assert sorted(r.line for r in numbered.where("file = 'a'").collect()) == list(range(1, len(lines) + 1))
+    storms, tracks, issues = text.best_tracks(numbered)
+    assert sorted((r.file, r.storm, r.cn_id, r.name) for r in storms.collect()) == [("a", 1, "7", "ONE"), ("a", 2, "9", "TWO"), ("b", 1, "5", "NIL")]
+    assert sorted((r.file, r.storm, r.record_no) for r in tracks.collect()) == [("a", 1, 1), ("a", 1, 2), ("a", 1, 3), ("a", 1, 4), ("a", 2, 1)]
+    got = {(r.file, r.storm, r.issue): r["count"] for r in issues.groupBy("file", "storm", "issue").count().collect()}
+    assert got == {("a", 1, "composite id"): 1, ("a", 2, "record count"): 1, ("a", 2, "malformed point"): 2500}
