@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import market
 from ..operators.windows import Ordered, ewm, ranked_last, ranked_pct
+from ..session import shared
 from .base import BARS, bars, query, r
 
 P = Ordered(["symbol"], ["date"])
@@ -304,9 +305,14 @@ BREAKOUTS = f"""x as (select *, case when count(high) over p >= 20 then max(high
 @query(f"""with {BARS}, {BREAKOUTS}
 select symbol, date, close, pivot_high, round(volume / mv, 6) as volume_ratio from x where close > pivot_high and volume > 1.2 * mv and (high - close) <= 0.5 * (high - low)""")
 def breakout_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bars(spark, sf_dir).withColumns({"pivot_high": P.guarded(F.max("high"), "high", P.rows(-20, -1), 20), "mv": P.mean("volume", 20)})
+    return breakouts(bars(spark, sf_dir)).select("symbol", "date", "close", "pivot_high", "volume_ratio")
+
+
+def breakouts(rows: DataFrame) -> DataFrame:
+    """Bars that close above their pivot on volume."""
+    rows = rows.withColumns({"pivot_high": P.guarded(F.max("high"), "high", P.rows(-20, -1), 20), "mv": P.mean("volume", 20)})
     ok = (F.col("close") > F.col("pivot_high")) & (F.col("volume") > 1.2 * F.col("mv")) & (F.col("high") - F.col("close") <= 0.5 * (F.col("high") - F.col("low")))
-    return rows.where(ok).select("symbol", "date", "close", "pivot_high", r(F.col("volume") / F.col("mv")).alias("volume_ratio"))
+    return rows.where(ok).withColumn("volume_ratio", r(F.col("volume") / F.col("mv")))
 
 
 @query(f"""with {BARS}, {BREAKOUTS}, e as (select symbol, date, t, close as entry from x where close > pivot_high and volume > 1.2 * mv and (high - close) <= 0.5 * (high - low)),
@@ -315,8 +321,7 @@ y as (select e.symbol, e.date, e.entry, b.t - e.t as k, b.t > e.t and b.low <= e
 z as (select *, row_number() over (partition by symbol, date order by k) as nth from y where stop or take or final)
 select symbol, date, cast(k as integer) as bars_held, case when stop then 'stop' when take then 'take' else 'time' end as reason, round(case when stop then entry * 0.9 when take then entry * 1.2 else px end / entry - 1, 6) as ret from z where nth = 1""")
 def barrier_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exits of every breakout signal."""
-    rows = bars(spark, sf_dir)
-    entries = rows.join(breakout_signals(spark, sf_dir).select("symbol", "date"), ["symbol", "date"], "left_semi")
-    out = market.barrier_exits(rows, entries, stop=0.1, take=0.2, hold=20)
+    """Exits of every breakout signal. Bars are written once and read four times."""
+    rows = shared(bars(spark, sf_dir))
+    out = market.barrier_exits(rows, breakouts(rows), stop=0.1, take=0.2, hold=20)
     return out.select("symbol", "date", "bars_held", "reason", r("ret").alias("ret"))

@@ -477,3 +477,19 @@ def test_best_tracks_of_parts_and_blocks(spark, tmp_path, monkeypatch):
     assert sorted((r.file, r.storm, r.record_no) for r in tracks.collect()) == [("a", 1, 1), ("a", 1, 2), ("a", 1, 3), ("a", 1, 4), ("a", 2, 1)]
     got = {(r.file, r.storm, r.issue): r["count"] for r in issues.groupBy("file", "storm", "issue").count().collect()}
     assert got == {("a", 1, "composite id"): 1, ("a", 2, "record count"): 1, ("a", 2, "malformed point"): 2500}
+
+
+def test_exits_read_bars_once(spark, monkeypatch):
+    from conftest import SF
+    from isohyet.plans import base, panel
+
+    one, calls = base.bars(spark, SF).localCheckpoint(), spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    monkeypatch.setattr(panel, "bars", lambda spark, sf_dir: one.withColumn("close", counted("close")))
+    panel.barrier_exit(spark, SF).collect()
+    assert calls.value == one.count()
