@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,23 +57,31 @@ def notify_once(stream: DataFrame, keys: list[str], late: str) -> DataFrame:
     return marked.groupBy(*keys).applyInPandasWithState(first, stream.schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def last_target(stream: DataFrame, band: float) -> DataFrame:
+def last_target(stream: DataFrame, band: float, write: int = 100_000) -> DataFrame:
     """Targets by key that follow a value only when it moves by ``band``. The
-    state is one number a key and survives restarts in the checkpoint."""
+    state is one number a key and survives restarts in the checkpoint. Of a batch
+    a worker holds three numbers a row of the key, and ``write`` rows of results."""
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = state.get[0] if state.exists else None
-        out = []
-        for row in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
-            moved = held is None or abs(row.value - held) >= band
-            held = float(row.value) if moved else held
-            out.append((key[0], row.event_id, held, moved))
+        parts = [(f["ts"].to_numpy("datetime64[us]"), f["event_id"].to_numpy("int64"), f["value"].to_numpy("float64")) for f in frames]
+        ts, ids, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((ids, ts))
+        for at in range(0, len(order), write):
+            some, targets, moves = order[at : at + write], [], []
+            for v in values[some].tolist():
+                moved = held is None or abs(v - held) >= band
+                held = v if moved else held
+                targets.append(held)
+                moves.append(moved)
+            yield pd.DataFrame({"event_type": key[0], "event_id": ids[some], "target": targets, "moved": moves})
         state.update((held,))
-        yield pd.DataFrame(out, columns=["event_type", "event_id", "target", "moved"])
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return stream.groupBy("event_type").applyInPandasWithState(follow, "event_type string, event_id long, target double, moved boolean", "target double", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select("event_type", "event_id", "ts", "value")
+    return rows.groupBy("event_type").applyInPandasWithState(follow, "event_type string, event_id long, target double, moved boolean", "target double", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_once(result: DataFrame, target: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -72,3 +72,11 @@ def test_targets_carry_over_batches(spark, tmp_path):
         got = run(spark, tmp_path, lambda s: inc.last_target(s, 5.0))
     assert [(r["target"], r["moved"]) for r in got.orderBy("event_id").collect()] == [(10.0, True), (10.0, False), (16.0, True), (40.0, True)]
     assert got.agg(F.count("*")).first()[0] == 4
+
+
+def test_targets_in_small_parts(spark, tmp_path):
+    """Results of a batch are written in parts, and go on where the last ended."""
+    values = [10.0, 14.0, 16.0, 40.0, 41.0, 30.0, 33.0]
+    arrive(spark, tmp_path, [(k, k, 1, "x", v) for k, v in reversed(list(enumerate(values)))])
+    got = run(spark, tmp_path, lambda s: inc.last_target(s, 5.0, write=3))
+    assert [r["target"] for r in got.orderBy("event_id").collect()] == [10.0, 10.0, 16.0, 40.0, 40.0, 30.0, 30.0]
