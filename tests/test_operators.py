@@ -493,3 +493,19 @@ def test_exits_read_bars_once(spark, monkeypatch):
     monkeypatch.setattr(panel, "bars", lambda spark, sf_dir: one.withColumn("close", counted("close")))
     panel.barrier_exit(spark, SF).collect()
     assert calls.value == one.count()
+
+
+def test_flag_files_are_written_by_all_tasks(spark, tmp_path):
+    """No task takes a whole flag: as many parts as the input has."""
+    from pathlib import Path
+
+    from conftest import SF
+    from isohyet.plans import files
+    from isohyet.session import shared_root
+
+    spark.read.parquet(f"{SF}/lineitem.parquet").repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    root = Path(shared_root(spark).removeprefix("file:"))
+    before = set(root.glob("flags-*"))
+    assert files.files_with_malformed_rows(spark, str(tmp_path)).count() == 3
+    (new,) = set(root.glob("flags-*")) - before
+    assert len(list((new / "mode=A").glob("part-*.csv"))) > 1
