@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,39 +86,46 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 def nearest(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, k: int) -> DataFrame:
     """The ``k`` nearest sites (slat, slon) of each point (lat, lon).
 
-    Sites are dealt to cells of latitude and longitude, about ``k`` to a cell.
-    Points look up the cells around their own, in rings that double until no
-    site outside them can be nearer than the k-th found; only points that are
-    still open go on to the next round. Every lookup is an equi-join on the cell,
-    and every round is written to the shared folder."""
-    n = max(1, sites.count())
-    size = 360.0 / max(1, min(360, math.isqrt(max(1, n // k))))
-    columns = math.ceil(360 / size)
-    cell = lambda lat, lon: (F.floor((lat + 90) / size).alias("_i"), F.pmod(F.floor((lon + 180) / size), F.lit(columns)).alias("_j"))
-    stored = sites.select(site_id, "slat", "slon", *cell(F.col("slat"), F.col("slon")))
-    open_points, found, ring = points.select(point_id, "lat", "lon"), None, 1
+    Points at one place are looked up once, and of the sites at one place only
+    the ``k`` first ids can be among the nearest. Places are dealt to cubes that
+    cut the unit sphere, about ``k`` places of sites to a cube. A place looks up
+    the cubes around its own; their edge doubles from round to round until no
+    site outside them can be nearer than the k-th found, and only places that are
+    still open go on. Every lookup is an equi-join on the cube, and every round
+    is written to the shared folder."""
+    here = Window.partitionBy("slat", "slon").orderBy(site_id)
+    kept = shared(sites.select(site_id, "slat", "slon").withColumn("_r", F.row_number().over(here)).where(F.col("_r") <= k))
+    depth = min(20, int(math.log2(max(1.0, kept.where("_r = 1").count() / (math.pi * k))) / 2))
+    axes = {"_x": lambda lat, lon: F.cos(lat) * F.cos(lon), "_y": lambda lat, lon: F.cos(lat) * F.sin(lon), "_z": lambda lat, lon: F.sin(lat)}
+    open_places, found = points.select("lat", "lon").distinct(), []
     while True:
-        whole = (2 * ring + 1) * size >= 360
-        near = F.sequence(F.lit(-ring), F.lit(ring))
-        cells = open_points.select("*", *cell(F.col("lat"), F.col("lon")))
-        cells = cells.withColumn("_di", F.explode(near)).withColumn("_dj", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)) if whole else near))
-        cells = cells.withColumns({"_i": F.col("_i") + F.col("_di"), "_j": F.pmod(F.col("_j") + F.col("_dj"), F.lit(columns))})
-        rows = cells.join(stored, ["_i", "_j"]).withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")))
-        w = Window.partitionBy(point_id).orderBy("km", site_id)
-        best = rows.select(point_id, "lat", "lon", site_id, "km").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-        # The nearest that anything outside the rings can be.
-        across = F.asin(F.cos(F.radians("lat")) * math.sin(math.radians(min(90.0, ring * size)))) if not whole else F.lit(math.pi)
-        bound = EARTH_KM * F.least(F.lit(math.radians(ring * size)), across)
-        best = shared(best.withColumn("_bound", bound))
-        last = ring * size >= 180
-        done = best.groupBy(point_id).agg(F.count("*").alias("_n"), F.max("km").alias("_far"), F.first("_bound").alias("_b"))
-        done = done.where((F.col("_n") >= k) & (F.col("_far") < F.col("_b")) | F.lit(last)).select(point_id)
-        part = best.join(done, point_id, "left_semi").select(point_id, "place", site_id, "km")
-        found = part if found is None else found.unionByName(part)
-        open_points = shared(open_points.join(done, point_id, "left_anti"))
-        if last or open_points.isEmpty():
-            return found
-        ring *= 2
+        edge = 2.0 / 2**depth
+        cube = lambda lat, lon: {a: F.floor((at(F.radians(lat), F.radians(lon)) + 1) / edge) for a, at in axes.items()}  # noqa: B023, E731
+        cubes = open_places.withColumns(cube("lat", "lon"))
+        for a in axes:
+            cubes = cubes.withColumn(a, F.explode(F.array(*[F.col(a) + d for d in (-1, 0, 1)])))
+        off = F.sqrt(sum(((F.col(a) + 0.5) * edge - 1) ** 2 for a in axes)) - 1
+        rows = cubes.where(F.abs(off) < 0.87 * edge).join(kept.withColumns(cube("slat", "slon")), [*axes])
+        rows = rows.select("lat", "lon", site_id, haversine(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")).alias("km"))
+        w = Window.partitionBy("lat", "lon").orderBy("km", site_id)
+        best = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+        best = shared(best.groupBy("lat", "lon").agg(F.array_sort(F.collect_list(F.struct("km", site_id))).alias("_best")))
+        if depth == 0:
+            found.append(best)
+            break
+        # The nearest that anything outside the cubes can be, less what is rounded.
+        bound = EARTH_KM * 2 * math.asin(edge / 2) * (1 - 1e-9)
+        found.append(best.where((F.size("_best") >= k) & (F.element_at("_best", -1)["km"] < bound)))
+        open_places = shared(open_places.join(found[-1], ["lat", "lon"], "left_anti"))
+        if open_places.isEmpty():
+            break
+        depth -= 1
+    # Rows that repeat a point share its ``k`` places.
+    n = points.groupBy(point_id, "lat", "lon").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("_n"))
+    out = n.join(reduce(DataFrame.unionByName, found), ["lat", "lon"])
+    repeated = F.flatten(F.transform("_best", lambda x: F.array_repeat(x, F.col("_n"))))
+    out = out.select(point_id, F.posexplode(F.slice(repeated, 1, k)).alias("_at", "_b"))
+    return out.select(point_id, (F.col("_at") + 1).alias("place"), F.col(f"_b.{site_id}").alias(site_id), "_b.km")
 
 
 def in_box(lat: Column, lon: Column, south: float, north: float, west: float, east: float) -> Column:

@@ -254,6 +254,35 @@ def test_nearest_by_brute_force(spark):
     assert few.count() == 2 * len(pts)
 
 
+def test_nearest_of_many_at_one_place(spark, monkeypatch):
+    """Places are compared, not every row at them with every other."""
+    compared, plain = spark.sparkContext.accumulator(0), joins.haversine
+
+    def counted(*where):
+        seen = F.udf(lambda x: compared.add(1) or x, "double")
+        return plain(*where[:3], seen(where[3]))
+
+    monkeypatch.setattr(joins, "haversine", counted)
+    pts = spark.range(300).union(spark.range(300, 302)).union(spark.range(301, 302)).select(F.col("id").alias("p"), F.lit(10.0).alias("lat"), (F.col("id") % 2 * 30.0).alias("lon"))
+    sites = spark.range(600).select(F.col("id").alias("s"), F.lit(10.5).alias("slat"), (F.col("id") % 2 * 30.0).alias("slon"))
+    got = joins.nearest(pts, sites, "p", "s", 3).collect()
+    assert compared.value < 1000
+    # Point 301 is there twice: its nearest site counts twice.
+    assert sorted((r.p, r.place, r.s) for r in got if r.p != 301) == [(p, k + 1, 2 * k + p % 2) for p in range(301) for k in range(3)]
+    assert sorted((r.place, r.s) for r in got if r.p == 301) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_nearest_over_the_date_line_and_at_the_poles(spark):
+    """26,000 sites made 161 columns of cells, and 360 / (360 / 161) is above 161."""
+    sites = spark.range(26_000).select(F.col("id").alias("s"), (F.col("id") % 130 * 0.5 - 32).alias("slat"), (F.floor(F.col("id") / 130) * 1.79 - 178.5).alias("slon"))
+    sites = sites.union(spark.createDataFrame([(30_000, 0.1, 179.9), (30_001, 89.0, -170.0)], "s long, slat double, slon double"))
+    pts = spark.createDataFrame([(1, 0.1, -179.9), (2, 89.5, 10.0), (3, -89.9, 0.0)], "p long, lat double, lon double")
+    got = {r.p: (r.s, r.km) for r in joins.nearest(pts, sites, "p", "s", 1).collect()}
+    pairs = pts.crossJoin(sites).withColumn("km", joins.haversine(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")))
+    assert got == {r.p: (r.b.s, r.b.km) for r in pairs.groupBy("p").agg(F.min(F.struct("km", "s")).alias("b")).collect()}
+    assert got[1][0] == 30_000 and got[2][0] == 30_001
+
+
 def test_weighted_statistics(spark):
     d = spark.createDataFrame([("a", 1e9 + i, 1e9 + i, 1.0 + i) for i in range(5)], "k string, x double, y double, w double")
     assert statistics.weighted_corr(d, ["k"], "x", "y", "w", "r").first().r == pytest.approx(1.0)
