@@ -23,16 +23,15 @@ def finished(spark: SparkSession, result: DataFrame) -> DataFrame:
 
 
 def restarted(spark: SparkSession, sf_dir: str, result) -> DataFrame:
-    """``result`` (a function of the stream) over four files in the order of time,
-    stopped after two of them and started again: what is kept from batch to batch
-    is state, and what outlasts the stop is the checkpoint."""
+    """``result`` (a function of the stream) over four parts in the order of time, a
+    batch each, stopped after each of them and started again: what is kept from
+    batch to batch is state, and what outlasts the stop is the checkpoint."""
     p, e = place(reachable(spark)), table(spark, sf_dir, "events")
     ends = [F.lit(f"2024-01-{d:02d}").cast("timestamp_ntz") for d in (8, 16, 24)]
     for k in range(4):
         part = e.where((F.col("ts") >= ends[k - 1] if k else F.lit(True)) & (F.col("ts") < ends[k] if k < 3 else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(f"{p}/in")
-        if k % 2:
-            told = inc.run_once(result(inc.event_stream(spark, f"{p}/in", "*.parquet")), f"{p}/out", f"{p}/state")
+        part.write.mode("append").parquet(f"{p}/in")
+        told = inc.run_once(result(inc.event_stream(spark, f"{p}/in", "*.parquet", None)), f"{p}/out", f"{p}/state")
     return told
 
 

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int = 1) -> DataFrame:
-    """Parquet files as a stream; ts is an instant in the session's zone."""
+def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int | None = 1) -> DataFrame:
+    """Parquet files as a stream, ``per_trigger`` to a batch (None: all that are
+    there); ts is an instant in the session's zone."""
     schema = spark.read.parquet(f"{folder}/{files}").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", files if "." in files else "*").parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files if "." in files else "*")
+    stream = (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -33,28 +35,51 @@ def user_sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
     return g.agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-def notify_once(stream: DataFrame, keys: list[str], late: str) -> DataFrame:
+def notify_once(stream: DataFrame, keys: list[str], late: str, groups: int = 1024) -> DataFrame:
     """One event of each key: the first by time, then id, of the batch that first
     has the key. Events that arrive in a later batch are not told of, even if they
     are older. A key is forgotten ``late`` after its last event, and told of again
-    from then on; its state is one flag, kept in the checkpoint."""
+    from then on. Keys are dealt to ``groups`` by their hash; the state of a group,
+    kept in the checkpoint, is its keys and when each is forgotten. A worker holds
+    these and a row a key, not the rows of the batch. ``groups`` must stay as it is
+    for a checkpoint."""
     from pyspark.sql.streaming.state import GroupStateTimeout
+    from pyspark.sql.types import IntegralType, StringType, StructField, StructType
 
     wait = int(pd.Timedelta(late).total_seconds() * 1000)
-
-    def first(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    told = [f.name for f in stream.schema]
+
+    def first(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        known, mark = dict(zip(*state.get, strict=True)) if state.exists else {}, state.getCurrentWatermarkMs()
+        rows = last = None
+        for f in () if state.hasTimedOut else frames:
+            at = f.groupby("_key")["_at"].max()
+            last = at if last is None else pd.concat([last, at]).groupby(level=0).max()
+            f = f if rows is None else pd.concat([rows, f], ignore_index=True)
+            order = f[["_key", "_at", "_id"]].sort_values(["_at", "_id"]).drop_duplicates("_key").index
+            rows = f.loc[order].reset_index(drop=True)
+        new = {}
+        if rows is not None:
+            fresh = rows.loc[~rows["_key"].isin(known.keys()), told]
+            if len(fresh):
+                yield fresh
+            until = (last // 1000).fillna(mark).clip(lower=mark).astype("int64") + wait
+            new = dict(zip(until.index.tolist(), until.tolist(), strict=True))
+        known = {k: t for k, t in known.items() if t >= mark} | new
+        if known:
+            state.update((list(known), list(known.values())))
+            state.setTimeoutTimestamp(min(known.values()))
+        elif state.exists:
             state.remove()
-            return
-        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        if not state.exists:
-            yield pdf.head(1)
-        state.update((True,))
-        last = int(pdf["ts"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + wait)
-
-    marked = stream.withWatermark("ts", late)
-    return marked.groupBy(*keys).applyInPandasWithState(first, stream.schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+    # Whole numbers go as strings: pandas makes a column with a null one of floats.
+    as_text = [F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, IntegralType) else F.col(f.name) for f in stream.schema]
+    out = StructType([StructField(f.name, StringType() if isinstance(f.dataType, IntegralType) else f.dataType) for f in stream.schema])
+    key = F.to_json(F.array(*[F.col(k).cast("string") for k in keys])).alias("_key")
+    group = F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int").alias("_group")
+    rows = stream.withWatermark("ts", late).select(*as_text, key, F.unix_micros("ts").alias("_at"), F.col("event_id").alias("_id"), group)
+    first_rows = rows.groupBy("_group").applyInPandasWithState(first, out, "keys array<string>, until array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return first_rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in stream.schema])
 
 
 def last_target(stream: DataFrame, band: float, write: int = 100_000) -> DataFrame:

@@ -66,6 +66,35 @@ def test_a_forgotten_key_is_told_of_again(spark, tmp_path):
     assert sorted(r["event_id"] for r in got.select("event_id").collect())[:2] == [0, 2]
 
 
+def test_keys_share_calls_and_are_forgotten_one_by_one(spark, tmp_path, monkeypatch):
+    """Two groups of 100 keys: a call a group, not a key. A null key leaves the
+    others the last digit, which floats do not have."""
+    calls, big, grouped = spark.sparkContext.accumulator(0), 2**53 + 1, type(spark.range(1).groupBy("id"))
+    plain = grouped.applyInPandasWithState
+
+    def counted(self, f, *rest):
+        def call(key, frames, state):
+            calls.add(1)
+            return f(key, frames, state)
+
+        return plain(self, call, *rest)
+
+    monkeypatch.setattr(grouped, "applyInPandasWithState", counted)
+    batches = [
+        [(k, 0, big + k, "x", 1.0) for k in range(200)] + [(big, 0, None, "x", 1.0), (big + 2, 0.1, None, "x", 1.0)],
+        [(1000 + k, 8, big + k, "x", 1.0) for k in range(0, 200, 2)],
+        [(2000, 24, 7, "x", 1.0)],
+        [(4000 - 10 * d - k, 25 + d, big + k, "x", 1.0) for k in range(200) for d in (0, 1)],
+    ]
+    for rows in batches:
+        arrive(spark, tmp_path, rows)
+        got = run(spark, tmp_path, lambda s: inc.notify_once(s, ["user_id", "event_type"], "10 days", groups=2))
+    # At day 14 the odd keys are forgotten, heard of at day 0, the even ones are not.
+    again = [(4000 - k, big + k) for k in range(1, 200, 2)]
+    assert sorted(((r.event_id, r.user_id) for r in got.collect()), key=str) == sorted([(k, big + k) for k in range(200)] + [(big, None), (2000, 7)] + again, key=str)
+    assert calls.value <= 20
+
+
 def test_targets_carry_over_batches(spark, tmp_path):
     for k, v in enumerate((10.0, 14.0, 16.0, 40.0)):
         arrive(spark, tmp_path, [(k, k, 1, "x", v)])
@@ -74,6 +103,18 @@ def test_targets_carry_over_batches(spark, tmp_path):
     assert got.agg(F.count("*")).first()[0] == 4
 
 
+def test_parts_of_a_restarted_stream_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    from isohyet.plans import streams
+
+    ts = F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 6 * cast(id as int))")
+    rows = spark.range(120).select(F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 3).alias("user_id"), F.lit("x").alias("event_type"), F.lit(1.0).alias("value"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(streams, "place", lambda spark: f"{tmp_path}/place")
+    told = streams.restarted(spark, str(tmp_path), lambda s: inc.notify_once(s, ["user_id"], "60 days"))
+    assert sorted(r.event_id for r in told.collect()) == [0, 1, 2]
+    assert len(list((tmp_path / "place" / "in").glob("*.parquet"))) == 12
+
+
 def test_targets_in_small_parts(spark, tmp_path):
     """Results of a batch are written in parts, and go on where the last ended."""
     values = [10.0, 14.0, 16.0, 40.0, 41.0, 30.0, 33.0]
